@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_files
+from . import mixing, packing, simhash, token_files
 
-QUERIES = {"op1_source_mix": mixing.query, "op2_token_files": token_files.query, "op5_packing": packing.query}
+QUERIES = {"op1_source_mix": mixing.query, "op2_token_files": token_files.query, "op4_simhash": simhash.query, "op5_packing": packing.query}
 SQL = {"op1_source_mix": mixing.SQL}
