@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_embedding, mixing, packing, simhash, token_files
+from . import edit_embedding, mixing, neighbours, packing, simhash, token_files
 
-QUERIES = {"op1_source_mix": mixing.query, "op2_token_files": token_files.query, "op4_simhash": simhash.query, "op5_packing": packing.query, "op10_edit_embedding": edit_embedding.query}
-SQL = {"op1_source_mix": mixing.SQL}
+QUERIES = {"op1_source_mix": mixing.query, "op2_token_files": token_files.query, "op4_simhash": simhash.query, "op5_packing": packing.query, "op7_block_neighbours": neighbours.query, "op10_edit_embedding": edit_embedding.query}
+SQL = {"op1_source_mix": mixing.SQL, "op7_block_neighbours": neighbours.SQL}
