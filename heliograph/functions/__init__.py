@@ -1 +1,155 @@
+"""Column functions: text, hosts, links, names, counts, time buckets, JSON and scores. None needs a UDF but
+`unescaped`, which resolves character references of markup in Arrow batches."""
 
+from __future__ import annotations
+
+import html
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+#: Names of the twenty event roots and the four quad classes of the public event coding scheme.
+EVENT_ROOTS = {
+    "01": "Public statement", "02": "Appeal", "03": "Intent to cooperate", "04": "Consult", "05": "Diplomatic cooperation", "06": "Material cooperation", "07": "Aid",
+    "08": "Yield", "09": "Investigate", "10": "Demand", "11": "Disapprove", "12": "Reject", "13": "Threaten", "14": "Protest", "15": "Force posture", "16": "Reduce relations",
+    "17": "Coerce", "18": "Assault", "19": "Fight", "20": "Mass violence",
+}
+QUAD_CLASSES = {1: "Verbal cooperation", 2: "Material cooperation", 3: "Verbal conflict", 4: "Material conflict"}
+
+
+def empty_to_null(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def norm_title(title: Column) -> Column:
+    """A headline's key: lower case, without a trailing ` - Site`, ` | Site` and punctuation, one space between
+    words; null if nothing is left."""
+    bare = F.regexp_replace(F.lower(title), "(?U)\\s+[-|–—:]\\s+[^-|–—:]{1,60}$", "")
+    words = F.regexp_replace(bare, "[^\\p{L}\\p{M}\\p{Nd}\\s]", "")
+    return empty_to_null(F.trim(F.regexp_replace(words, "(?U)\\s+", " ")))
+
+
+def host_suffixes(host: Column) -> Column:
+    """The host and each of its parent domains, on label boundaries."""
+    parts = F.split(host, "\\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def link_host(url: Column) -> Column:
+    """Host of an absolute link as written, null if there is none."""
+    return empty_to_null(F.regexp_extract(url, "^[A-Za-z]+://([^/:?#]+)", 1))
+
+
+def site_of(url: Column) -> Column:
+    """Host in lower case, without `www.` and a trailing dot; null for what is no URL."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return empty_to_null(F.regexp_replace(F.regexp_replace(host, "^www\\.", ""), "\\.$", ""))
+
+
+def links_in(text: Column) -> Column:
+    """All links of a text in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(https?://[^\\s<>\"')]+)"), F.lit(1))
+
+
+@pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references resolved."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def page_title(page: Column, most: int = 300) -> Column:
+    """og:title, else the title element, of the part before the body; null if blank."""
+    head = F.regexp_extract(page, "(?is)^(.*?)(?:<body\\b|$)", 1)
+    meta = F.regexp_extract(head, "(?is)<meta\\b[^>]*\\bproperty\\s*=\\s*[\"']og:title[\"'][^>]*>", 0)
+    og = F.coalesce(empty_to_null(F.regexp_extract(meta, '(?is)\\bcontent\\s*=\\s*"([^"]*)"', 1)), F.regexp_extract(meta, "(?is)\\bcontent\\s*=\\s*'([^']*)'", 1))
+    plain = F.regexp_extract(head, "(?is)<title[^>]*>(.*?)</title>", 1)
+    clean = lambda c: empty_to_null(F.substring(F.trim(F.regexp_replace(unescaped(c), "(?U)\\s+", " ")), 1, most))
+    return F.coalesce(clean(og), clean(plain))
+
+
+def plain_text(fragment: Column) -> Column:
+    """Text of a piece of markup: line breaks kept, tags dropped, references resolved."""
+    return F.trim(unescaped(F.regexp_replace(F.regexp_replace(fragment, "(?i)<br\\s*/?>", "\n"), "<[^>]+>", "")))
+
+
+def human_count(text: Column) -> Column:
+    """`34.9K`, `1.2M`, `871` as a whole number, half to even; null for what is none."""
+    bare = F.upper(F.regexp_replace(text, "[\\s,]", ""))
+    by = F.when(bare.endswith("K"), 1e3).when(bare.endswith("M"), 1e6).when(bare.endswith("B"), 1e9).otherwise(1.0)
+    return F.bround(F.regexp_replace(bare, "[KMB]$", "").try_cast("double") * by, 0).cast("long")
+
+
+def name_variants(name: Column) -> Column:
+    """The full name, what stands before its parenthesis and what within, without blanks and repeats."""
+    before, within = F.regexp_extract(name, "^([^(]*)\\(", 1), F.regexp_extract(name, "\\(([^)]*)\\)", 1)
+    return F.array_distinct(F.filter(F.transform(F.array(name, before, within), F.trim), lambda x: x != ""))
+
+
+def name_keys(name: Column) -> Column:
+    """Lower-case letters and digits of each variant of a name."""
+    return F.array_distinct(F.filter(F.transform(name_variants(name), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")), lambda x: x != ""))
+
+
+def good_handle(handle: Column) -> Column:
+    """A channel's handle, not that of a bot."""
+    return handle.rlike("^[A-Za-z][A-Za-z0-9_]{3,31}$") & ~F.lower(handle).endswith("bot")
+
+
+def good_channel_id(channel: Column) -> Column:
+    return channel.rlike("^UC[A-Za-z0-9_-]{22}$")
+
+
+def usable_name(name: Column, primary: Column) -> Column:
+    """Whether a place's name may be looked for in posts: no digits; at least 3 letters in cased scripts and in
+    kana or Thai, 2 in Han; short all-capital names only where they are the place's first."""
+    cased, han = name.rlike("\\p{Lu}|\\p{Ll}"), name.rlike("\\p{IsHan}")
+    kana = name.rlike("\\p{IsHiragana}|\\p{IsKatakana}|\\p{IsThai}")
+    n = F.length(name)
+    capitals = cased & (F.upper(name) == name) & (n <= 4)
+    return ~name.rlike("\\p{Nd}") & F.when(cased, (n >= 3) & (primary | ~capitals)).when(kana, n >= 3).when(han, n >= 2).otherwise(n >= 3)
+
+
+def quarter_hour(ts: Column) -> Column:
+    """The start of the quarter of an hour."""
+    return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / 900) * 900)
+
+
+def five_minutes(ts: Column) -> Column:
+    return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / 300) * 300)
+
+
+def z_score(x: Column, mean: Column, sd: Column) -> Column:
+    """Deviation with a floor under sd: the square root of the mean (counts), and 1."""
+    return (x - mean) / F.greatest(sd, F.sqrt(F.greatest(mean, F.lit(0.0))), F.lit(1.0))
+
+
+def tint(x: Column) -> Column:
+    return 1 + F.log10(1 + x)
+
+
+def gated(z: Column, mentions: Column, least: int = 50) -> Column:
+    """z where there are enough mentions, else 0."""
+    return F.when(mentions >= least, z).otherwise(F.lit(0.0))
+
+
+def legend(code: Column, names: dict) -> Column:
+    """Name of a code, null for an unknown one."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code)
+
+
+def all_fields_json(*columns: str | Column) -> Column:
+    """A JSON object that keeps null fields."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def sphere_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371.0088) -> Column:
+    """Great-circle distance."""
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+
+
+def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))

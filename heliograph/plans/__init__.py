@@ -1,4 +1,6 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame; most have a DuckDB twin."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import attention, facts
+
+QUERIES = {**attention.QUERIES, **facts.QUERIES}
+SQL = {**attention.SQL, **facts.SQL}
