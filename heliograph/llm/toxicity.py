@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are runs of letters in lower case. Those that labelled toxic documents have far more often than clean
-ones (likelihood ratio over all labelled documents outside the held-out fold) make the vocabulary, at most
-TERMS. Document frequencies and so the TF-IDF weights come from all documents. At most EXAMPLES labelled
-documents with any of the terms, those of least hash, are the examples; both bounds are parameters.
+ones (likelihood ratio over at most LABELLED labelled documents outside the held-out fold, those of least
+hash) make the vocabulary, at most TERMS. Document frequencies and so the TF-IDF weights come from all
+documents. At most EXAMPLES labelled documents with any of the terms, again those of least hash, are the
+examples; all three bounds are parameters.
 
 Examples lie in an inverted index in blocks with each term's largest weight in each block. A document's
 terms give an upper bound of its cosine with any example of a block; blocks are scored in the order of
@@ -33,7 +34,7 @@ from .quality_rules import held_out
 from .shared import cut, table
 from .token_ids import _Memory
 
-TERMS, EXAMPLES, K, BLOCK, CUT = 1024, 4096, 15, 64, 0.7
+LABELLED, TERMS, EXAMPLES, K, BLOCK, CUT = 40_000, 1024, 4096, 15, 64, 0.7
 FOLDS, HELD_OUT = 3, 1
 #: Least likelihood ratio of a term, least toxic share of the labelled documents with it, and the votes that the overall share counts for.
 LEAST_RATIO, LEAST_SHARE, PRIOR_VOTES = 12.0, 0.5, 0.3
@@ -57,11 +58,12 @@ def likelihood_ratio(a: Column, b: Column, n_a: float, n_b: float) -> Column:
     return F.when((a / n_a > b / n_b) & (a >= LEAST_SHARE * (a + b)), g).otherwise(0.0)
 
 
-def vocabulary(docs: DataFrame, seen: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms in order of their likelihood ratio, from all labelled documents."""
-    # repeated labels or rows of a document count once each, like rows of their own
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(seen, "doc_id")
-    n = seen.agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")).first()
+def vocabulary(docs: DataFrame, seen: DataFrame, most: int = TERMS, labelled: int = LABELLED) -> list[str]:
+    """Terms in order of their likelihood ratio, from at most `labelled` labelled documents."""
+    # Of bounded size, so the texts need no shuffle. Repeated labels or rows of a document count once each.
+    chosen = cut(seen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(labelled))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    n = chosen.agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")).first()
     if not n["a"] or not n["b"]:
         return []
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+"))
