@@ -1 +1,116 @@
+"""Streams: edits, posts and file series, each with the same result as its batch twin once all has come.
 
+File sources go by modification time, so land files in time order; backfill as a batch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from heliograph.operators import gazetteer
+from heliograph.sources import files, snapshots
+
+LATE = "72 hours"
+
+
+def lines(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """New lines of a landing folder; the checkpoint remembers which files were read."""
+    return spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path)
+
+
+def edits(messages: DataFrame, late: str = LATE) -> DataFrame:
+    """Edits, each revision once."""
+    return snapshots.edit_rows(messages).withWatermark("at", late).dropDuplicatesWithinWatermark(["wiki", "rev"])
+
+
+def hourly_editors(rows: DataFrame, late: str = LATE) -> DataFrame:
+    """Distinct human editors per page and hour: each user of an hour once, then a count, given out when the
+    hour can get no more rows. State is a row a page, hour and user within the lateness."""
+    human = rows.filter(~F.col("bot")).withWatermark("at", late).withColumn("w", F.window("at", "1 hour"))
+    once = human.dropDuplicates(["wiki", "title", "w", "user_hash"])
+    return once.groupBy("wiki", "title", "w").agg(F.count("*").alias("editors")).select("wiki", "title", F.col("w.start").alias("hour"), "editors")
+
+
+def place_hits(messages: DataFrame, names: DataFrame) -> DataFrame:
+    """Posts that name a place: (at, uri, place_id), a place once a post. names is read anew each micro-batch."""
+    posts = snapshots.post_rows(messages).filter("op = 'create' and text is not null")
+    known = names.select(F.lower("name").alias("name"), "place_id")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
+    return posts.select("at", "uri", F.explode(words).alias("name")).join(known, "name").select("at", "uri", "place_id")
+
+
+def five_minute_counts(hits: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Posts per place and five minutes, updated as they come."""
+    return hits.withWatermark("at", late).groupBy(F.window("at", "5 minutes").alias("w"), "place_id").agg(F.count("*").alias("posts")).select(F.col("w.start").alias("bucket"), "place_id", "posts")
+
+
+def theme_counts(articles: DataFrame, late: str = LATE) -> DataFrame:
+    """Articles per country, theme and day as a stream; an article is taken once."""
+    once = articles.withWatermark("added_at", late).dropDuplicatesWithinWatermark(["gkg_id"])
+    countries = F.array_distinct(F.transform("places", lambda p: p["country"]))
+    flat = once.select("added_at", F.explode(countries).alias("region"), "themes").select("added_at", "region", F.explode("themes").alias("theme"))
+    return flat.groupBy(F.window("added_at", "1 day").alias("w"), "region", "theme").agg(F.count("*").alias("articles")).select(F.col("w.start").alias("day"), "region", "theme", "articles")
+
+
+def run_once(df: DataFrame, out: str, checkpoint: str, batch=None, mode: str = "append") -> StreamingQuery:
+    """All that has landed, then stop. Parquet below out, or batch(rows, batch_id) for each micro-batch."""
+    w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+    q = (w.foreachBatch(batch) if batch else w.format("parquet").option("path", out)).start()
+    q.awaitTermination()
+    return q
+
+
+def replacing(folder: str, keys: list[str]):
+    """For foreachBatch in update mode: each batch is a version of its own folder, so a repeated batch replaces
+    itself; readers take the latest value of each key (see `current`)."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
+def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/batch=*")
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
+
+
+def pointers(hits: DataFrame, deleted: DataFrame, most: int = 20) -> DataFrame:
+    """The first posts of each place and hour without the deleted ones; counts are never taken back."""
+    return gazetteer.first_pointers(hits, most).join(deleted.select("uri"), "uri", "left_anti")
+
+
+def keep_first(most: int = 20, hours: int = 48):
+    """State for a stream's pointers, by (place_id, hour): a count of those given out, for `hours` hours."""
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["at", "uri"]).head(max(0, most - n))
+        state.update((n + len(rows),))
+        state.setTimeoutDuration(hours * 3_600_000)
+        yield rows[["place_id", "hour", "at", "uri"]]
+
+    return run
+
+
+def first_pointers(hits: DataFrame, most: int = 20, hours: int = 48) -> DataFrame:
+    """The stream's own form of W05: the first `most` posts of each place and hour as they arrive."""
+    placed = hits.withColumn("hour", F.date_trunc("hour", "at"))
+    return placed.groupBy("place_id", "hour").applyInPandasWithState(keep_first(most, hours), "place_id long, hour timestamp, at timestamp, uri string", "n int", "append", "ProcessingTimeTimeout")
+
+
+def load_series(spark: SparkSession, landing: str, out: str, checkpoint: str, parse=files.events, per_trigger: int = 1) -> StreamingQuery:
+    """A file series, a micro-batch a file: parsed rows below out, a batch's rows in its own folder."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        parse(rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return run_once(lines(spark, landing, per_trigger), out, checkpoint, write)
