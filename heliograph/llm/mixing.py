@@ -136,10 +136,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, salt: str = SALT) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with docs' own columns. Rows of no words are left out."""
-    keyed = document_keys(docs, salt)
     narrow = cut(document_keys(docs.select("doc_id", "source", "text"), salt).drop("text"))
-    out = with_times(keyed, source_cuts(narrow, weights, max_epochs)).filter((F.col("mix_times") > 0) & (F.col("mix_size") > 0))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
+    held = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # names of docs' own can't clash then
+    out = with_times(document_keys(held, salt), source_cuts(narrow, weights, max_epochs)).filter((F.col("mix_times") > 0) & (F.col("mix_size") > 0))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

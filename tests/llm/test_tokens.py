@@ -64,4 +64,4 @@ def test_cuts_leave_little_padding():
     for n in range(1, 9000, 7):
         pieces = packing.cut_lengths(n, 4096)
         assert sum(p for p, _ in pieces) == n and all(p * k <= 4096 for p, k in pieces)
-        assert sum(4096 // k - p for p, k in pieces) <= 24
+        assert sum(4096 // k - p for p, k in pieces) <= 32
