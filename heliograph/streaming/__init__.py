@@ -95,16 +95,17 @@ def keep_first(most: int = 20, hours: int = 48):
         n = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["at", "uri"]).head(max(0, most - n))
         state.update((n + len(rows),))
-        state.setTimeoutDuration(hours * 3_600_000)
+        ends = int(pd.Timestamp(key[1]).timestamp() * 1000) + (hours + 1) * 3_600_000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows[["place_id", "hour", "at", "uri"]]
 
     return run
 
 
-def first_pointers(hits: DataFrame, most: int = 20, hours: int = 48) -> DataFrame:
-    """The stream's own form of W05: the first `most` posts of each place and hour as they arrive."""
-    placed = hits.withColumn("hour", F.date_trunc("hour", "at"))
-    return placed.groupBy("place_id", "hour").applyInPandasWithState(keep_first(most, hours), "place_id long, hour timestamp, at timestamp, uri string", "n int", "append", "ProcessingTimeTimeout")
+def first_pointers(hits: DataFrame, most: int = 20, hours: int = 48, late: str = "1 hour") -> DataFrame:
+    """The first `most` posts of each place and hour as they arrive; state goes by event time."""
+    placed = hits.withWatermark("at", late).withColumn("hour", F.date_trunc("hour", "at"))
+    return placed.groupBy("place_id", "hour").applyInPandasWithState(keep_first(most, hours), "place_id long, hour timestamp, at timestamp, uri string", "n int", "append", "EventTimeTimeout")
 
 
 def load_series(spark: SparkSession, landing: str, out: str, checkpoint: str, parse=files.events, per_trigger: int = 1) -> StreamingQuery:
