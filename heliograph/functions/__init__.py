@@ -85,7 +85,7 @@ def human_count(text: Column) -> Column:
 def name_variants(name: Column) -> Column:
     """The full name, what stands before its parenthesis and what within, without blanks and repeats."""
     before, within = F.regexp_extract(name, "^([^(]*)\\(", 1), F.regexp_extract(name, "\\(([^)]*)\\)", 1)
-    return F.array_distinct(F.filter(F.transform(F.array(name, before, within), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.array(name, before, within), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def name_keys(name: Column) -> Column:

@@ -130,7 +130,9 @@ def test_event_mention_article_files(spark, tmp_path):
     loc = files.article_places(a).withColumnRenamed("gkg_id", "article_id")
     daily = facts.theme_daily(a.withColumnRenamed("gkg_id", "article_id"), loc)
     assert daily.filter("region_kind = 'country'").count() == 2 and daily.filter("articles <> 1").count() == 0
-    q = streaming.load_series(spark, str(tmp_path / "e.tsv"), str(tmp_path / "ev"), str(tmp_path / "cpe"))
+    (tmp_path / "land").mkdir()
+    (tmp_path / "land" / "e.tsv").write_text((tmp_path / "e.tsv").read_text())
+    q = streaming.load_series(spark, str(tmp_path / "land"), str(tmp_path / "ev"), str(tmp_path / "cpe"))
     assert q.exception() is None and spark.read.parquet(str(tmp_path / "ev/batch=*")).count() == 2
     s = files.series_slots(spark, "2026-09-20 11:50:00", "2026-09-20 12:20:00", ".export").collect()
     assert [r.file for r in s] == ["20260920114500.export", "20260920120000.export", "20260920121500.export"]
