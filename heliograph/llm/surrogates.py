@@ -188,16 +188,16 @@ def pick(values: tuple[str, ...], n: Column) -> Column:
 
 
 def drawn_name(kind: Column, hexes: Column, draw: Column) -> Column:
-    """A given name of the kind's script and gender (two of them after the first draw), or a family name."""
-    n = F.array(*(number(hexes, F.lit(i)) for i in range(4)))
+    """A given name of the kind's script and gender, or a family name. Each draw adds a given name or a syllable, so
+    that there are always more surrogates than names."""
+    n = F.transform(F.sequence(F.lit(0), draw + 3), lambda i: number(hexes, i))
 
     def named(n: Column) -> Column:
         out = F.lit(None).cast("string")
         for (script, gender), names in GIVEN.items():
-            one, two = pick(names, n[0]), pick(names, n[1])
-            out = F.when(kind == f"given_{script}_{gender}", F.when(draw == 0, one).otherwise(F.concat(one, F.lit("-"), two))).otherwise(out)
+            out = F.when(kind == f"given_{script}_{gender}", F.array_join(F.transform(F.slice(n, F.lit(1), draw + 1), lambda i: pick(names, i)), "-")).otherwise(out)  # noqa: B023
         for script, syllables in SYLLABLES.items():
-            out = F.when(kind == f"family_{script}", F.initcap(F.concat(*(pick(syllables, n[i]) for i in range(4))))).otherwise(out)
+            out = F.when(kind == f"family_{script}", F.initcap(F.array_join(F.transform(n, lambda i: pick(syllables, i)), ""))).otherwise(out)  # noqa: B023
         return out
 
     return let(n, named)

@@ -133,6 +133,14 @@ def test_clashing_surrogates_are_drawn_again(spark):
     assert len(set(made)) == 120
 
 
+def test_ten_thousand_names_of_a_kind_get_their_own_surrogates(spark):
+    for kind in ("given_greek_m", "family_latin"):
+        forms = spark.range(10_000).select(F.lit(kind).alias("kind"), F.concat(F.lit("name"), "id").alias("norm"))
+        state = forms.join(surrogates.draws(forms), ["kind", "norm"], "left").withColumn("draw", F.coalesce("draw", F.lit(0)))
+        made = state.select(F.lower(surrogates.drawn(F.col("kind"), F.col("norm"), F.col("draw"))).alias("made"))
+        assert made.filter("made is not null").distinct().count() == 10_000
+
+
 def test_queries_are_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
 
