@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates of the same kind.
 
-Entities are found by one pattern over the whole text: e-mail addresses, names after a title, IPv4
-addresses, bank account numbers (IBAN), payment cards, phone and social security numbers, and secrets. A
+Entities are found by one pattern over the whole text: e-mail addresses, names after a title (any number of words, with initials and particles), IPv4
+addresses, bank account numbers (IBAN), payment cards, phone and social security numbers, and secrets to the
+end of their run or quotes. The family name of a titled name is also replaced where the same document has it without
+a title; these mentions are not counted as entities. A
 surrogate is drawn from a keyed hash of the entity's normal form, so that one entity has one surrogate
 everywhere, also where it is written otherwise (`+1 (456) 555-2186` and `+1 456 555 2186`, `Mrs Anna Berg`
 and `Mrs. Berg`), and it keeps kind, gender, script and format: signs stay in place, digits become digits
@@ -32,6 +34,9 @@ MOST_DRAWS = 40
 # Titles by gender.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
+NEUTRAL_TITLES = ("Dr", "Prof", "Professor")
+# Words within a name that stay.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ben", "ter", "ten", "zu", "zum", "und", "y", "e", "af", "av", "фон", "де", "ван")
 # Given names by script and gender, and syllables of family names by script.
 GIVEN = {
     ("latin", "m"): ("Adam", "Anton", "Bruno", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Marco", "Noah", "Oscar"),
@@ -41,19 +46,45 @@ GIVEN = {
     ("greek", "m"): ("Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Ιάσων", "Κώστας", "Λάμπρος", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος", "Στέλιος", "Τάσος", "Φώτης"),
     ("greek", "f"): ("Αγγελική", "Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ειρήνη", "Ζωή", "Ιωάννα", "Κατερίνα", "Λένα", "Μαρία", "Νίκη", "Ξένια", "Ρένα", "Σοφία", "Χρύσα"),
 }
+GIVEN |= {(script, "n"): GIVEN[script, "m"] + GIVEN[script, "f"] for script in ("latin", "cyrillic", "greek")}
 SYLLABLES = {
     "latin": ("ba", "bel", "cor", "da", "den", "fal", "gar", "hol", "ker", "lan", "lo", "mar", "mi", "nor", "or", "per", "ral", "sa", "ser", "tan", "tor", "val", "ven", "wil"),
     "cyrillic": ("ба", "бел", "вор", "гар", "да", "ден", "зор", "кал", "ла", "лев", "ло", "мар", "ми", "нов", "ор", "пет", "рад", "са", "сер", "тан", "тор", "фал", "хол", "чер"),
     "greek": ("βα", "βελ", "γα", "δα", "δημ", "ζα", "θα", "καλ", "κορ", "λα", "λο", "μαρ", "μι", "νικ", "ξε", "παπ", "ρα", "σα", "σερ", "ταν", "τορ", "φα", "χα", "ψα"),
 }
 
-_TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
+# Letters that stand for others of their script and case, the first that match; any other letter becomes a Latin one.
+ALPHABETS = {
+    "[\\p{IsCyrillic}&&\\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ",
+    "\\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя",
+    "[\\p{IsGreek}&&\\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    "\\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    "\\p{IsHan}": "一二三四五六七八九十人大小中山川田日月火水木金土王石竹米花草",
+    "\\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねの",
+    "\\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノ",
+    "\\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보소오조초",
+    "\\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "\\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+    "\\p{Lu}": UPPER,
+    "\\p{L}": LOWER,
+    "\\p{N}": "0123456789",
+}
+
+_ONE_OF = lambda *words: "|".join(sorted(sum(words, ()), key=len, reverse=True))
+_TITLES = _ONE_OF(MALE_TITLES, FEMALE_TITLES, NEUTRAL_TITLES)
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NAME = "\\p{Lu}\\p{Ll}+(?:-\\p{Lu}\\p{Ll}+)?"
+# Repeats are possessive, which Java matches in a loop, so that long runs don't exhaust the stack.
+_NAME = "\\p{Lu}(?:['’]\\p{Lu})?[\\p{L}\\p{M}]++(?:['’]\\p{Lu}[\\p{L}\\p{M}]++|-\\p{L}[\\p{L}\\p{M}]*+)*+"
+_INITIAL = "\\p{Lu}(?:\\.-?\\p{Lu})*+\\.?"
+_BEFORE = f" (?:(?:{_ONE_OF(NEUTRAL_TITLES)})\\.?|{_INITIAL}|{_ONE_OF(PARTICLES)})(?= )"
+_EMAIL = "[\\p{L}\\p{N}._%+-]{1,64}@[\\p{L}\\p{N}-]{1,63}(?:\\.[\\p{L}\\p{N}-]{1,63})+"
+_KEYED = "(?:password|passwd|pwd|token|secret|api_key) ?[=:] ?"
+_QUOTED = lambda q: f"{q}(?!(?:[^{q}\\\\\r\n]|\\\\.){{0,7}}{q})(?=[^{q}\\r\\n]*[\\p{{L}}\\p{{N}}])(?:[^{q}\\\\\r\n]++|\\\\.)++{q}"
+_VALUE = f"(?:{_QUOTED(chr(34))}|{_QUOTED(chr(39))}|[\"']?(?!{_EMAIL}(?![^\\s\"'.,;:!?)]))(?=[^\\s\"']*[\\p{{L}}\\p{{N}}])[^\\s\"']{{8,}}[\"']?)"
 PATTERNS = {
-    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]{1,64}@[\\p{L}\\p{N}-]{1,63}(?:\\.[\\p{L}\\p{N}-]{1,63})+",
-    "name": f"(?<![\\p{{L}}\\p{{N}}])(?:{_TITLES})\\.? {_NAME}(?: {_NAME})?",
-    "secret": "(?<![\\p{L}\\p{N}_])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?:password|passwd|pwd|token|secret|api_key) ?[=:] ?\"?[0-9A-Za-z+/_-]{8,256}\"?)",
+    "email": f"(?<![\\p{{L}}\\p{{N}}._%+-]){_EMAIL}",
+    "name": f"(?<![\\p{{L}}\\p{{N}}])(?:{_TITLES})\\.?(?:(?:{_BEFORE})*+ {_NAME})++",
+    "secret": f"(?<![\\p{{L}}\\p{{N}}_])(?:AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|ghp_[0-9A-Za-z]{{36,}}|sk-[0-9A-Za-z]{{20}}[0-9A-Za-z_-]*|{_KEYED}{_VALUE})",
     "iban": "(?<![\\p{L}\\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])",
     "ip": f"(?<![0-9.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9]|\\.[0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -64,7 +95,9 @@ _ANY = lambda *kinds: "|".join(f"(?:{PATTERNS[k]})" for k in kinds)  # noqa: E73
 #: All kinds but e-mail, behind a look at the first sign, without which the patterns cost four times as much.
 UNMAILED = f"(?=[0-9+(])(?:{_ANY('ip', 'ssn', 'phone', 'card')})|(?=\\p{{Lu}})(?:{_ANY('name', 'iban')})|(?=[Agspta])(?:{_ANY('secret')})"
 ENTITY = f"(?:{PATTERNS['email']})|{UNMAILED}"
-_SECRET_HEAD = '^(?:AKIA|ghp_|sk-|[A-Za-z_]+ ?[=:] ?"?)'
+_SECRET_HEAD = "^(?:[A-Za-z_]+ ?[=:] ?[\"']?)?(?:AKIA|ghp_|sk-)?"
+#: Signs after a secret, as of a sentence that it ends.
+_SECRET_TAIL = "[^\\p{L}\\p{N}]*$"
 
 
 def let(value: Column, then) -> Column:
@@ -75,9 +108,10 @@ def let(value: Column, then) -> Column:
 def kind_of(v: Column) -> Column:
     """Which of the patterns an entity is of."""
     return (
-        F.when(v.contains("@"), "email")
+        F.when(v.rlike(f"^{_KEYED}"), "secret")
+        .when(v.contains("@"), "email")
         .when(v.rlike(f"^(?:{_TITLES})\\.? "), "name")
-        .when(v.rlike(_SECRET_HEAD), "secret")
+        .when(v.rlike("^(?:AKIA|ghp_|sk-)"), "secret")
         .when(v.rlike("^[A-Z]"), "iban")
         .when(v.rlike("^[0-9]+(?:\\.[0-9]+){3}$"), "ip")
         .when(v.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
@@ -94,7 +128,7 @@ def normal_form(kind: Column, v: Column) -> Column:
     """What all writings of an entity have in common. A name's is that of its family name; see name_parts."""
     return (
         F.when(kind == "email", F.lower(v))
-        .when(kind == "secret", F.regexp_replace(F.regexp_replace(v, _SECRET_HEAD, ""), '"$', ""))
+        .when(kind == "secret", F.regexp_replace(F.regexp_replace(v, _SECRET_HEAD, ""), _SECRET_TAIL, ""))
         .when(kind == "iban", F.replace(v, F.lit(" "), F.lit("")))
         .when(kind == "ip", v)
         .when(kind == "phone", F.right(only_digits(v), F.lit(10)))
@@ -103,15 +137,23 @@ def normal_form(kind: Column, v: Column) -> Column:
 
 
 def name_parts(v: Column) -> Column:
-    """(kind, norm) of a name's given and family name, the given name first if there is one. Kinds tell gender and script."""
-    words = F.split(v, " ")
-    gender = F.when(F.regexp_replace(words[0], "\\.$", "").isin(*MALE_TITLES), "m").otherwise("f")
-    last = F.element_at(words, -1)
-    script = F.when(last.rlike("\\p{IsCyrillic}"), "cyrillic").when(last.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
-    part = lambda kind, norm: F.struct(kind.alias("kind"), F.lower(norm).alias("norm"))
-    family = F.array(part(F.concat(F.lit("family_"), script), last))
-    given = F.array(part(F.concat_ws("_", F.lit("given"), script, gender), F.element_at(words, 2)))
-    return F.when(F.size(words) > 2, F.concat(given, family)).otherwise(family)
+    """(kind, norm) of each word of a name after its title: given names, and the family name last. Kinds tell gender and
+    script; those of initials, and of further titles and particles, which stay, are no entities of their own."""
+    titles = lambda words: F.transform(words, lambda w: F.regexp_replace(w, "\\.$", ""))
+    gender = lambda t: F.when(F.arrays_overlap(t, F.array(*map(F.lit, MALE_TITLES))), "m").when(F.arrays_overlap(t, F.array(*map(F.lit, FEMALE_TITLES))), "f").otherwise("n")
+    script = lambda w: F.when(w.rlike("\\p{IsCyrillic}"), "cyrillic").when(w.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
+    kinds = lambda words: F.struct(F.size(words).alias("n"), script(F.element_at(words, -1)).alias("script"), gender(titles(words)).alias("gender"))
+
+    def part(w: Column, i: Column, of: Column) -> Column:
+        kind = (
+            F.when(i == of["n"] - 2, F.concat(F.lit("family_"), of["script"]))
+            .when(w.rlike(f"^(?:(?:{_ONE_OF(NEUTRAL_TITLES)})\\.?|{_ONE_OF(PARTICLES)})$"), "kept")
+            .when(w.rlike(f"^{_INITIAL}$"), "initial")
+            .otherwise(F.concat_ws("_", F.lit("given"), of["script"], of["gender"]))
+        )
+        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k.isin("kept", "initial"), w).otherwise(F.lower(w)).alias("norm")))
+
+    return let(F.split(v, " "), lambda words: let(kinds(words), lambda of: F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda w, i: part(w, i, of))))
 
 
 def stream(key: str, kind: Column, norm: Column, draw: Column) -> Column:
@@ -129,18 +171,21 @@ def signs_of(v: Column) -> Column:
 
 
 def same_classes(v: Column, hexes: Column) -> Column:
-    """v with each ASCII digit and letter changed to one of its class, hex strings to hex digits."""
+    """v with each digit and letter changed to one of its class, hex strings to hex digits; see ALPHABETS for other scripts."""
     letters = F.when(v.rlike("^[0-9a-f]+$"), 6).otherwise(26)
 
-    def step(acc: Column, c: Column) -> Column:
-        return let(number(hexes, acc["i"]), lambda n: stepped(acc, c, n))
+    def other(c: Column, n: Column) -> Column:
+        out = c
+        for pattern, alphabet in reversed(ALPHABETS.items()):
+            out = F.when(c.rlike(pattern), F.substring(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))).cast("int") + 1, F.lit(1))).otherwise(out)
+        return out
 
-    def stepped(acc: Column, c: Column, n: Column) -> Column:
+    def stepped(c: Column, n: Column) -> Column:
         at = F.pmod(n, letters).cast("int") + 1
-        new = F.when(c.between("0", "9"), F.pmod(n, F.lit(10)).cast("string")).when(c.between("a", "z"), F.substring(F.lit(LOWER), at, F.lit(1))).when(c.between("A", "Z"), F.substring(F.lit(UPPER), at, F.lit(1))).otherwise(c)
-        return F.struct(F.concat(acc["out"], new).alias("out"), (acc["i"] + 1).alias("i"))
+        new = F.when(c.between("0", "9"), F.pmod(n, F.lit(10)).cast("string")).when(c.between("a", "z"), F.substring(F.lit(LOWER), at, F.lit(1))).when(c.between("A", "Z"), F.substring(F.lit(UPPER), at, F.lit(1)))
+        return new.when(c <= "\x7f", c).otherwise(other(c, n))
 
-    return F.aggregate(signs_of(v), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
+    return F.array_join(F.transform(signs_of(v), lambda c, i: let(number(hexes, i), lambda n: stepped(c, n))), "")
 
 
 def lay_digits(v: Column, digits: Column) -> Column:
@@ -227,10 +272,23 @@ def lookup(redrawn: Column, kind: Column, norm: Column) -> Column:
     return F.coalesce(F.element_at(redrawn, F.concat_ws("|", kind, norm)), F.lit(0))
 
 
+def part_surrogate(p: Column, redrawn: Column, key: str = KEY) -> Column:
+    """What a given or family name (kind, norm) is replaced by."""
+    return let(lookup(redrawn, p["kind"], p["norm"]), lambda n: drawn_name(p["kind"], stream(key, p["kind"], p["norm"], n), n))
+
+
+def bare_names_replaced(text: Column, found: Column, redrawn: Column, key: str = KEY) -> Column:
+    """text, which lies between entities, with the family names of those found replaced where they stand without a title."""
+    family = lambda v: F.struct(F.element_at(F.split(v, " "), -1).alias("word"), F.element_at(name_parts(v), -1).alias("part"))
+    names = F.array_distinct(F.transform(F.filter(found, lambda v: kind_of(v) == "name"), family))
+    alone = lambda w: F.concat(F.lit("(?<![\\p{L}\\p{N}])"), w, F.lit("(?![\\p{L}\\p{N}])"))
+    return F.aggregate(names, text, lambda acc, f: F.regexp_replace(acc, alone(f["word"]), part_surrogate(f["part"], redrawn, key)))
+
+
 def surrogate(v: Column, redrawn: Column, key: str = KEY) -> Column:
     """What an entity's writing v is replaced by."""
     plain = lambda kind: let(normal_form(kind, v), lambda norm: let(drawn(kind, norm, lookup(redrawn, kind, norm), key), lambda new: written_like(v, kind, new)))
-    part = lambda p: let(lookup(redrawn, p["kind"], p["norm"]), lambda n: drawn_name(p["kind"], stream(key, p["kind"], p["norm"], n), n))
+    part = lambda p: F.when(p["kind"] == "kept", p["norm"]).when(p["kind"] == "initial", same_classes(p["norm"], stream(key, p["kind"], p["norm"], F.lit(0)))).otherwise(part_surrogate(p, redrawn, key))
     name = lambda: F.concat_ws(" ", F.split(v, " ")[0], F.array_join(F.transform(name_parts(v), part), " "))
     return let(kind_of(v), lambda kind: F.when(kind == "name", name()).otherwise(plain(kind)))
 
@@ -240,7 +298,7 @@ def written_like(v: Column, kind: Column, new: Column) -> Column:
     spare = F.regexp_extract(v, "^(.*?)(?:[0-9][^0-9]*){10}$", 1)  # country code
     phone = let(F.length(spare), lambda n: F.concat(F.substring(v, F.lit(1), n), lay_digits(F.substring(v, n + 1, F.length(v)), new)))
     return (
-        F.when(kind == "secret", F.concat(F.regexp_extract(v, _SECRET_HEAD, 0), new, F.regexp_extract(v, '"$', 0)))
+        F.when(kind == "secret", F.concat(F.regexp_extract(v, _SECRET_HEAD, 0), new, F.regexp_extract(v, _SECRET_TAIL, 0)))
         .when(kind == "phone", phone)
         .when(kind.isin("card", "ssn"), lay_digits(v, new))
         .when(kind == "iban", F.when(v.contains(" "), F.trim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new))
@@ -263,7 +321,7 @@ def normal_forms(found: DataFrame) -> DataFrame:
     """(kind, norm) of column v, one row for each part of a name."""
     kind = kind_of(F.col("v"))
     whole = F.array(F.struct(kind.alias("kind"), normal_form(kind, F.col("v")).alias("norm")))
-    return found.select("*", F.explode(F.when(kind == "name", name_parts(F.col("v"))).otherwise(whole)).alias("p")).select(*found.columns, "p.*").drop("v")
+    return found.select("*", F.explode(F.when(kind == "name", name_parts(F.col("v"))).otherwise(whole)).alias("p")).select(*found.columns, "p.*").drop("v").filter("kind not in ('kept', 'initial')")
 
 
 def draws(forms: DataFrame, key: str = KEY, most: int = MOST_DRAWS) -> DataFrame:
@@ -297,7 +355,8 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, count: str | None = N
         marked = docs.withColumn("__t", F.md5("text")).join(maps, "__t", "left").withColumn("__redrawn", F.coalesce("__m", none)).drop("__t", "__m")
     marked = marked.withColumn("__found", entities(F.col("text")))
     new = F.transform("__found", lambda v: surrogate(v, F.col("__redrawn"), key))
-    text = F.array_join(F.flatten(F.zip_with(between(F.col("text")), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    gaps = F.when(F.exists("__found", lambda v: kind_of(v) == "name"), F.transform(between(F.col("text")), lambda a: bare_names_replaced(a, F.col("__found"), F.col("__redrawn"), key))).otherwise(between(F.col("text")))
+    text = F.array_join(F.flatten(F.zip_with(gaps, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = marked.withColumn("text", F.when(F.size("__found") > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -125,6 +125,32 @@ def test_surrogates(spark, odd, empty):
     assert out.columns == odd.columns and out.exceptAll(odd).count() == 0 and surrogates.replace_personal_data(empty).count() == 0
 
 
+def test_entities_are_replaced_to_their_end(spark):
+    long, jwt = "Ab3" * 100 + "Zq9tail", "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM"
+    rows = [
+        (1, f"sk-{long} token={long} token = \"{jwt}\" token: {jwt}. sk-{long}"),
+        (2, "password=hunter2!pass9, password=hunter2!pass9. pwd='two words here' secret=p@ssw0rd@home password=\"q\\\"uoted tail\""),
+        (3, "Mr John Paul Smith, Mr John F. Kennedy and Mrs. McDonald met Mr J. O'Brien. Herr Ludwig van Beethoven left."),
+        (4, "Dr. Anna Kowalski spoke with Prof. Dr. Novak-Stein. Then Kowalski left; Kowalskis stayed. Later Mrs Kowalski's dog."),
+        (5, "иван.петров@почта.рф and 山田@example.com and jürgen@example.com"),
+        (6, "Mr " + "Aa " * 300 + "token=" + "x1" * 3000),
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = got[1].split()
+    assert "Zq9tail" not in got[1] and "Sflk" not in got[1] and "eyJ" not in got[1] and words[0] == words[-1] and words[0].startswith("sk-")
+    assert words[4].strip('"') == words[6].rstrip(".") and words[6].count(".") == 3 and len(got[1]) == len(rows[0][1])
+    assert not any(w in got[2] for w in ("hunter2", "pass9", "two", "words", "here", "ssw0rd", "home", "uoted", "tail"))
+    same = got[2].split()
+    assert same[0].rstrip(",") == same[1].rstrip(".") and same[0].endswith(",")
+    assert not any(w in got[3] for w in ("John", "Paul", "Smith", "Kennedy", "Donald", "Brien", "Ludwig", "Beethoven"))
+    assert " van " in got[3] and got[3].endswith(" left.") and " met Mr " in got[3]
+    assert not any(w in got[4].replace("Kowalskis", "") for w in ("Anna", "Kowalski", "Novak", "Stein")) and "Kowalskis stayed" in got[4]
+    family = got[4].split()[2]
+    assert f"Then {family} left" in got[4] and f"Mrs {family}'s dog" in got[4]
+    assert not any(w in got[5] for w in ("иван", "петров", "山", "田", "jürgen", "ü"))
+    assert "x1x1" not in got[6] and "Aa" not in got[6]
+
+
 def test_clashing_surrogates_are_drawn_again(spark):
     forms = spark.createDataFrame([("given_latin_f", f"name{i}") for i in range(120)], "kind string, norm string")
     again = surrogates.draws(forms)
