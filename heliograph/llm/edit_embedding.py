@@ -8,8 +8,10 @@ table look-up a character; a batch of texts walks together. Coins repeat after P
 
 The fingerprint samples the output: each of 256 bins of steps holds the step of least hash below twice the
 text's length, and puts out four bits of a hash of the character there, as one hex digit. Texts of nearly
-the same length sample nearly the same steps. Likeness is the part of equal digits. Near pairs come from
-bands of eight digits that are equal, and are verified by likeness and by their edit distance.
+the same length sample nearly the same steps. Likeness is the part of equal digits. `near_pairs` finds
+candidates by bands of eight digits that are equal, more and narrower ones if need be: there are more bands than
+digits in which a pair of the least likeness differs, so that none is missed. Candidates are verified by
+likeness and by the edit distance of their whole texts.
 
 Nulls: a null text is empty, and its digits are all 0; equal texts have equal fingerprints. Repeated rows
 stay; rows with a null doc_id come first in the order of documents. The one document of a table is its own
@@ -21,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +38,11 @@ BINS, PERIOD, KINDS, SEED = 256, 4096, 64, 7
 BATCH = 8_000_000
 #: Digits of a band.
 BAND = 8
+#: Least likeness of a near pair, and its greatest edit distance as a part of the longer text's length.
+LIKENESS, DISTANCE = 0.88, 0.1
+#: About so many texts of a band's key are a block; each two blocks are compared by themselves.
+BLOCK = 128
+NEAR = "a_id long, b_id long, likeness double, distance long"
 #: Text bytes of a range of documents that one task takes in order.
 RANGE_BYTES = 24 << 20
 #: Marks between ranges are literals of the plan; beyond so many ranges they get longer, and their sorts spill.
@@ -252,5 +260,116 @@ def with_edited(docs: DataFrame, range_bytes: int = RANGE_BYTES, seed: int = SEE
     return dealt.select("doc_id", "last", "text").mapInArrow(_in_order(seed), RESULT)
 
 
+def bands(likeness: float) -> list[tuple[int, int]]:
+    """(first, end) of each band: one more at least than digits in which two texts of this likeness differ."""
+    if not 0 < likeness <= 1:
+        raise ValueError("likeness must be above 0, and 1 at most")
+    n = max(BINS // BAND, math.floor((1 - likeness) * BINS + 1e-9) + 1)
+    return [(b * BINS // n, (b + 1) * BINS // n) for b in range(n)]
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Least number of characters put in, taken out or changed, by whole columns of the table as bits of one number."""
+    lead = len(os.path.commonprefix([a, b]))
+    a, b = a[lead:], b[lead:]
+    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = every, 0
+    for c in b:
+        eq = at.get(c, 0)
+        down = eq | less
+        across = (((eq & more) + more) ^ more) | eq
+        up, low = less | (every & ~(across | more)), more & across
+        score += bool(up & top) - bool(low & top)
+        up, low = up << 1 | 1, low << 1
+        more, less = (low | ~(down | up)) & every, up & down & every
+    return score
+
+
+def _prints(seed: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ends = np.cumsum([len(x or "") for x in texts]) // BATCH
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                own = [texts[i] or "" for i in part]
+                nodes = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in own]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(part)), pa.array(nodes, pa.binary()), pa.array([as_hex(x) for x in fingerprint(own, seed)], pa.string())], names=["doc_id", "node", "fp"])
+
+    return run
+
+
+def _alike(parts: list[tuple[int, int]], likeness: float):
+    """For mapInArrow over (band, x, y, members): pairs of a member of block x and one of y that are alike and
+    have no earlier band in common, so that each pair comes once."""
+    starts, need = [a for a, _ in parts], math.ceil(likeness * BINS - 1e-9)
+
+    def pairs(band: int, x: int, y: int, members: list[dict]) -> Iterator[tuple[bytes, bytes, float]]:
+        fps = np.array([np.frombuffer(m["fp"].encode(), np.uint8) for m in members])
+        own = np.array([m["own"] for m in members])
+        right = np.flatnonzero(own == y)
+        for i in np.flatnonzero(own == x):
+            others = right[right > i] if x == y else right
+            same = fps[others] == fps[i]
+            good = same.sum(1) >= need
+            first = np.logical_and.reduceat(same[good], starts, axis=1).argmax(1)
+            for j, n in zip(others[good][first == band], same[good].sum(1)[first == band], strict=True):
+                yield members[i]["node"], members[j]["node"], n / BINS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = list(pairs(row["band"], row["x"], row["y"], row["members"]))
+                if found:
+                    a, b, near = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near, pa.float64())], names=["a", "b", "likeness"])
+
+    return run
+
+
+def _verified(distance: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                longer = max(len(r["s"]), len(r["t"]))
+                if longer - min(len(r["s"]), len(r["t"])) <= distance * longer and (d := edit_distance(r["s"], r["t"])) <= distance * longer:
+                    out.append((min(r["a_id"], r["b_id"]), max(r["a_id"], r["b_id"]), r["likeness"], d))
+            cols = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["a_id", "b_id", "likeness", "distance"])
+
+    return run
+
+
+def near_pairs(docs: DataFrame, likeness: float = LIKENESS, distance: float = DISTANCE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """NEAR for all pairs of different texts with at least the likeness and at most the edit distance (a part of the
+    longer text's length). Equal texts are one, under their least doc_id; rows with a null doc_id are left out.
+
+    A band's key that many texts share is dealt in blocks of about `block` texts, two blocks to a row."""
+    parts = bands(likeness)
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    prints = rows.mapInArrow(_prints(seed), "doc_id long, node binary, fp string")
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")))
+    band = [F.struct(F.lit(b).alias("band"), F.substring("fp", lo + 1, hi - lo).alias("digits")) for b, (lo, hi) in enumerate(parts)]
+    keyed = nodes.select("node", "fp", F.explode(F.array(*band)).alias("k")).select("node", "fp", "k.*")
+    crowds = keyed.groupBy("band", "digits").agg(F.count("*").alias("n")).filter("n > 1").select("band", "digits", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = keyed.join(crowds, ["band", "digits"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.groupBy("band", "digits", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("node", "fp", "own")).alias("members"))
+    found = cut(dealt.select("band", "x", "y", "members").mapInArrow(_alike(parts, likeness), "a binary, b binary, likeness double"))
+    in_pairs = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    texts = rows.select(F.unhex(F.sha2(text, 256)).alias("node"), text.alias("text")).join(in_pairs, "node", "left_semi").dropDuplicates(["node"]).join(nodes.select("node", "doc_id"), "node")
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("s"), F.col("doc_id").alias("a_id"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("t"), F.col("doc_id").alias("b_id"))
+    return found.join(one, "a").join(two, "b").select("a_id", "b_id", "likeness", "s", "t").mapInArrow(_verified(distance), NEAR)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edited(table(spark, sf_dir, "documents"))

@@ -110,6 +110,42 @@ def test_edit_embedding(spark, odd, empty):
     assert edit_embedding.with_edited(odd.filter("doc_id = 1")).first().next_id == 1
 
 
+def by_table(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row = row, [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+def test_near_pairs_are_those_of_brute_force(spark, odd, empty):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(rnd.randrange(n)))
+    for a, b in [(word(30), word(30)) for _ in range(200)]:
+        assert edit_embedding.edit_distance(a, b) == by_table(a, b)
+    texts = []
+    for _ in range(4):
+        base = "".join(rnd.choice("abcdefghij klm") for _ in range(400))
+        for k in range(12):
+            at = rnd.randrange(300, 400)
+            texts.append(base[:at] + "Z" * (k % 4) + base[at:] if k else base)
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts)) + [(100, texts[0]), (101, None), (None, texts[1])]
+    prints = edit_embedding.fingerprint(texts)
+    for least in (0.88, 0.6):
+        want = {}
+        for j, t in enumerate(texts):
+            for i in range(j):
+                near = (prints[i] == prints[j]).mean()
+                if texts.index(t) == j and texts.index(texts[i]) == i and near >= least and (d := by_table(texts[i], t)) <= 0.1 * max(len(t), len(texts[i])):
+                    want[i, j] = (near, d)
+        got = edit_embedding.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), least, block=4).collect()
+        assert len(got) == len(want) > 20 and {(r.a_id, r.b_id): (r.likeness, r.distance) for r in got} == want
+        assert any(j - i > 1 for i, j in want)
+    assert edit_embedding.near_pairs(empty).count() == 0 and edit_embedding.near_pairs(odd).count() == 0
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(300, 8)).round(1)
