@@ -171,6 +171,10 @@ def test_queries_are_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
 
 
+def test_sql_is_text():
+    assert queries.SQL and all(isinstance(x, str) for x in queries.SQL.values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
