@@ -57,18 +57,53 @@ def test_near_duplicates(odd, empty):
     assert simhash.majority(simhash.shingle_hashes(" \n")) == 0
 
 
-def test_similar_texts(spark, odd, empty):
-    rnd = random.Random(1)
-    rows, n = [], 0
+def word_shingles(text, n=5):
+    words = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_shingle_hashes_are_those_of_joined_words():
+    rnd = random.Random(9)
+    seen = {}
+    for _ in range(300):
+        text = "".join(rnd.choice(["aB", "é", "日本", " ", "\t\n ", "x", "a"]) for _ in range(rnd.randrange(60)))
+        want, got = word_shingles(text), set(similar_texts.shingle_hashes(text).tolist())
+        assert len(got) == len(want)
+        seen |= dict.fromkeys(want, None)
+        for w in want:
+            (h,) = similar_texts.shingle_hashes(w).tolist()
+            assert h in got
+            seen[w] = h
+    assert len(set(seen.values())) == len(seen)
+    assert not len(similar_texts.shingle_hashes(" \x0b\r")) and not len(similar_texts.shingle_hashes(None))
+
+
+def planted(rnd):
+    """Copies, near copies about the threshold, a crowd that shares a passage, and a chain whose ends are unlike."""
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = []
     for g in range(12):
-        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([60, 150, 400]))]
-        for k in range(5):
+        base = fresh(rnd.choice([8, 60, 150, 400]))
+        for k in range(6):
             words = base[:]
             for _ in range(k if g % 2 else 0):
                 words[rnd.randrange(len(words))] = f"x{rnd.randrange(99999)}"
-            rows.append((n, " ".join(words)))
-            n += 1
-    sets = {i: set(similar_texts.shingle_set(t).tolist()) for i, t in rows}
+            texts.append(words)
+    base = fresh(120)
+    texts += [base + fresh(rnd.choice([6, 20, 31])) for _ in range(60)]
+    passage = fresh(60)
+    texts += [passage + fresh(25) for _ in range(40)]
+    link = fresh(100)
+    for _ in range(8):
+        texts.append(link)
+        link = link[9:] + fresh(9)
+    texts += [["a"], ["A"], ["a", "b"], [], []]
+    rnd.shuffle(texts)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def brute_groups(rows):
+    sets = {i: word_shingles(t) for i, t in rows}
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -81,13 +116,29 @@ def test_similar_texts(spark, odd, empty):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = dict(map(tuple, similar_texts.superfluous(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    want = {i: find(i) for i, _ in rows if find(i) != i}
-    assert len(set(want) - set(got)) <= 1 and not set(got) - set(want)
+    return {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("way", ["listed", "rounds", "blocks"])
+def test_similar_texts_misses_nothing(spark, way, monkeypatch):
+    rows = planted(random.Random(len(way)))
+    if way != "listed":
+        monkeypatch.setattr(similar_texts, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(similar_texts, "SAMPLED", 1)
+        monkeypatch.setattr(similar_texts.node_roots, "__defaults__", (5, 0.8, 3, 4096, 10**5) if way == "rounds" else (5, 0.8, 0, 0, 400))
+    got = dict(map(tuple, similar_texts.superfluous(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "kept_id").collect()))
+    want = brute_groups(rows)
+    assert got == {i: r for i, r in want.items() if i != r} and len(got) > 60
+
+
+def test_similar_texts_on_odd_rows(spark, odd, empty):
     kept = similar_texts.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 4] and kept.count() == 4
     assert similar_texts.keep_one(empty).count() == 0
+    other = "one two three four five six seven"
+    twice = spark.createDataFrame([(1, other, 7), (1, "quite another text under the same id", 8), (1, other, 9), (0, other.upper(), 1)], "doc_id long, text string, t int")
+    assert {(r.doc_id, r.text) for r in similar_texts.keep_one(twice).collect()} == {(0, other.upper()), (1, "quite another text under the same id")}
 
 
 def test_edit_embedding(spark, odd, empty):
