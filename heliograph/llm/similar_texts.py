@@ -5,14 +5,15 @@ SimHash fingerprints come first (operator simhash): those within three bits are
 and their texts are held to the exact similarity. This joins most copies, but at a similarity of 0.8 about ten of 64 bits
 differ, so a second filter follows that is complete. Shingles have one order for all texts, and a text's keys are
 its first n - ceil(similarity n) + 1 of n shingles: two texts of at least the similarity have a key in common.
-In that order come first the shingles that are not common and then the common ones (the COMMON most frequent ones in
-every SAMPLED-th text), each by hash. Any order finds the same links; this one keeps passages that many texts share out of the keys.
+The order is by how common a shingle is (its number in every SAMPLED-th text, of the COMMON most frequent ones), then by hash.
+Any order finds the same links; this one keeps passages that many texts share out of the keys.
 
 Members of a key are compared only where they are not in one group yet. First each meets one leader of its key, ROUNDS
 times at most, while that promises to save work. All pairs of different groups that are left are then compared: keys of few such
 pairs list them, and those of many are dealt as pairs of blocks of about ELEMENTS shingles, compared within a task, which
 returns a spanning forest. Neither a crowded key nor a hot group of copies falls to one task. Equal sets are one node, and keys
-with the same members count once.
+with the same members count once. A listed pair is first held to a bound by its keys alone: what two sets can share beyond the
+lesser of their last keys is at most the lesser rest. Whole sets are made only for pairs that pass.
 
 Nulls: a row with a null doc_id is kept and not compared. A null text is empty, and texts without words are
 copies of each other. Rows of one doc_id with different texts are judged each by its own text; equal rows are copies. An empty
@@ -38,7 +39,7 @@ from .shared import cut
 
 WORDS, SIMILARITY = 5, 0.8
 #: Common shingles are counted in one text of so many, and are those with at least LEAST_COMMON there, COMMON at most.
-SAMPLED, LEAST_COMMON, COMMON = 16, 4, 100_000
+SAMPLED, LEAST_COMMON, COMMON = 8, 2, 200_000
 #: Leader rounds, at most; they end when the pairs left are fewer than PAIRS_A_ROW for each row, or over half of those before.
 ROUNDS, PAIRS_A_ROW = 5, 4
 #: A key of more pairs than this is dealt in blocks of about ELEMENTS shingles.
@@ -101,13 +102,27 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def keys_of(own: np.ndarray, similarity: float = SIMILARITY, common: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:  # noqa: B008
-    """The first shingles of a set in the order of all texts; common is sorted."""
+#: Bits of a key below its shingle's grade.
+LOW = 58
+
+
+def grades_of(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How common each shingle of a set is: 0, or what common (sorted shingles, grades 1 to 31) says."""
+    if not len(common[0]):
+        return np.zeros(len(own), np.uint64)
+    at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+    return np.where(common[0][at] == own, common[1][at], np.uint64(0))
+
+
+NONE = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+
+def keys_of(own: np.ndarray, similarity: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] = NONE) -> np.ndarray:
+    """The first shingles of a set in the order of all texts, ascending: grade and the upper bits of the hash."""
     if not len(own):
         return own
-    at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-    late = common[at] == own if len(common) else np.zeros(len(own), bool)
-    return np.concatenate([own[~late], own[late]])[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+    ranks = np.sort((grades_of(own, common) << np.uint64(LOW)) | (own >> np.uint64(64 - LOW)))
+    return ranks[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
 
 
 def _signed(x: Iterable[int] | np.ndarray) -> np.ndarray:
@@ -142,15 +157,14 @@ def _sets(words: int):
 SETS = "node long, hashes array<long>"
 
 
-def common_shingles(docs: DataFrame, words: int = WORDS, sampled: int = SAMPLED, least: int = LEAST_COMMON, most: int = COMMON) -> np.ndarray:
-    """The shingles that come last in the order of keys, sorted; at most `most`."""
+def common_shingles(docs: DataFrame, words: int = WORDS, sampled: int = SAMPLED, least: int = LEAST_COMMON, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, sorted, that come late in the order of keys, `most` at most, and their grades: 1 + log2 of their number."""
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0).select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"])
     counts = some.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return np.sort(_signed_back([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]))
-
-
-def _signed_back(x: list[int]) -> np.ndarray:
-    return np.array(x, np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("n"), "h").limit(most).select("h", F.least(F.floor(F.log2("n")) + 1, F.lit(31)).cast("int").alias("g")).toPandas()
+    hashes, grades = rows["h"].to_numpy(np.int64).view(np.uint64), rows["g"].to_numpy(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], grades[order]
 
 
 def _block_links(similarity: float):
@@ -204,16 +218,25 @@ def node_roots(known: DataFrame, nodes: DataFrame, words: int = WORDS, similarit
     of_near = near.join(first.withColumnRenamed("fp", "a"), "a").join(first.select(F.col("fp").alias("b"), F.col("lead").alias("node"), F.col("m").alias("n")), "b").select("lead", "m", "node", "n")
     pairs = cut(of_print.unionByName(of_near).filter(fits).select(*ordered()).distinct())
 
-    asked = left.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    rows = nodes.join(asked, "node", "left_semi").select("doc_id", "t")
-    sets = cut(known.join(small(cut(rows), 100_000), ["doc_id", "t"], "left_semi").select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"]))
+    def sets_of(some: DataFrame) -> DataFrame:
+        """The whole sets of the nodes in some, whose texts are read again."""
+        rows = cut(nodes.join(some, "node", "left_semi").select("doc_id", "t"))
+        return cut(known.join(small(rows, 100_000), ["doc_id", "t"], "left_semi").select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"]))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that have the similarity."""
+        """Those pairs (a, b) that have the similarity: first by what their keys leave possible, then by their sets."""
+        one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x"))
+        two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y"))
+        last = F.least(F.element_at("x", -1), F.element_at("y", -1))
+        rest = lambda n, keys: F.col(n) - F.size(F.filter(keys, lambda k: k <= F.col("last")))
+        bound = F.size(F.array_intersect("x", "y")) + F.least(rest("na", "x"), rest("nb", "y"))
+        possible = pairs.join(one, "a").join(two, "b").withColumn("last", last).filter(bound * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
+        possible = cut(possible.select("a", "b"))
+        sets = sets_of(possible.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
         two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(one, "a").join(two, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+        return possible.join(one, "a").join(two, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
     def unsettled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of keys with members of several groups, with their group; and each such key's pairs of different groups."""
@@ -246,7 +269,7 @@ def node_roots(known: DataFrame, nodes: DataFrame, words: int = WORDS, similarit
     many = rows.filter(F.col("pairs") > listed)
     if many.limit(1).count():
         blocks = many.groupBy("key").agg(F.ceil(F.sum("n") / elements).cast("int").alias("blocks"))
-        own = many.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(sets, "node")
+        own = many.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(sets_of(many.select("node").distinct()), "node")
         both = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.array(F.struct(F.col("own").alias("i"), o.alias("j"), F.lit(0).alias("side")), F.struct(o.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))))), lambda p: p["i"] <= p["j"])
         dealt = own.select("key", "node", "n", "group", "hashes", F.explode(both).alias("p")).select("key", "node", "n", "group", "hashes", "p.*")
         found = found.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(_block_links(similarity), "a long, b long"))

@@ -124,7 +124,7 @@ def test_similar_texts_misses_nothing(spark, way, monkeypatch):
     rows = planted(random.Random(len(way)))
     if way != "listed":
         monkeypatch.setattr(similar_texts, "PAIRS_A_ROW", 0)
-        monkeypatch.setattr(similar_texts, "SAMPLED", 1)
+        monkeypatch.setattr(similar_texts.common_shingles, "__defaults__", (5, 1, 2, 200))
         monkeypatch.setattr(similar_texts.node_roots, "__defaults__", (5, 0.8, 3, 4096, 10**5) if way == "rounds" else (5, 0.8, 0, 0, 400))
     got = dict(map(tuple, similar_texts.superfluous(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "kept_id").collect()))
     want = brute_groups(rows)
