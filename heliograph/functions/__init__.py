@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: Names of the twenty event roots and the four quad classes of the public event coding scheme.
+#: Names of the twenty event roots and the four quad classes of the public CAMEO coding scheme.
 EVENT_ROOTS = {
-    "01": "Public statement", "02": "Appeal", "03": "Intent to cooperate", "04": "Consult", "05": "Diplomatic cooperation", "06": "Material cooperation", "07": "Aid",
-    "08": "Yield", "09": "Investigate", "10": "Demand", "11": "Disapprove", "12": "Reject", "13": "Threaten", "14": "Protest", "15": "Force posture", "16": "Reduce relations",
-    "17": "Coerce", "18": "Assault", "19": "Fight", "20": "Mass violence",
+    "01": "make public statement", "02": "appeal", "03": "express intent to cooperate", "04": "consult", "05": "engage in diplomatic cooperation",
+    "06": "engage in material cooperation", "07": "provide aid", "08": "yield", "09": "investigate", "10": "demand", "11": "disapprove", "12": "reject", "13": "threaten",
+    "14": "protest", "15": "exhibit force posture", "16": "reduce relations", "17": "coerce", "18": "assault", "19": "fight", "20": "use unconventional mass violence",
 }
-QUAD_CLASSES = {1: "Verbal cooperation", 2: "Material cooperation", 3: "Verbal conflict", 4: "Material conflict"}
+QUAD_CLASSES = {1: "verbal cooperation", 2: "material cooperation", 3: "verbal conflict", 4: "material conflict"}
 
 
 def empty_to_null(c: Column) -> Column:
@@ -27,14 +27,14 @@ def empty_to_null(c: Column) -> Column:
 def norm_title(title: Column) -> Column:
     """A headline's key: lower case, without a trailing ` - Site`, ` | Site` and punctuation, one space between
     words; null if nothing is left."""
-    bare = F.regexp_replace(F.lower(title), "(?U)\\s+[-|–—:]\\s+[^-|–—:]{1,60}$", "")
+    bare = F.regexp_replace(F.lower(title), "(?U)\\s+[-|–—:]\\s+[^-|–—:]{2,40}$", "")
     words = F.regexp_replace(bare, "[^\\p{L}\\p{M}\\p{Nd}\\s]", "")
     return empty_to_null(F.trim(F.regexp_replace(words, "(?U)\\s+", " ")))
 
 
 def host_suffixes(host: Column) -> Column:
-    """The host and each of its parent domains, on label boundaries."""
-    parts = F.split(host, "\\.")
+    """The host, in lower case, and each of its parent domains, on label boundaries."""
+    parts = F.split(F.lower(host), "\\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
@@ -83,9 +83,9 @@ def human_count(text: Column) -> Column:
 
 
 def name_variants(name: Column) -> Column:
-    """The full name, what stands before its parenthesis and what within, without blanks and repeats."""
-    before, within = F.regexp_extract(name, "^([^(]*)\\(", 1), F.regexp_extract(name, "\\(([^)]*)\\)", 1)
-    return F.array_distinct(F.filter(F.transform(F.array(name, before, within), lambda x: F.trim(x)), lambda x: x != ""))
+    """The full name and, of a name that ends in a parenthesis, what stands before and within it, without repeats."""
+    part = lambda i: F.regexp_extract(name, "^(.*?)\\s*\\(([^()]+)\\)\\s*$", i)
+    return F.array_distinct(F.filter(F.array(name, part(1), part(2)), lambda x: x != ""))
 
 
 def name_keys(name: Column) -> Column:
@@ -102,14 +102,18 @@ def good_channel_id(channel: Column) -> Column:
     return channel.rlike("^UC[A-Za-z0-9_-]{22}$")
 
 
+#: Scripts that are written without spaces between words; in the first, two signs make a name.
+UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+
+
 def usable_name(name: Column, primary: Column) -> Column:
-    """Whether a place's name may be looked for in posts: no digits; at least 3 letters in cased scripts and in
-    kana or Thai, 2 in Han; short all-capital names only where they are the place's first."""
-    cased, han = name.rlike("\\p{Lu}|\\p{Ll}"), name.rlike("\\p{IsHan}")
-    kana = name.rlike("\\p{IsHiragana}|\\p{IsKatakana}|\\p{IsThai}")
-    n = F.length(name)
-    capitals = cased & (F.upper(name) == name) & (n <= 4)
-    return ~name.rlike("\\p{Nd}") & F.when(cased, (n >= 3) & (primary | ~capitals)).when(kana, n >= 3).when(han, n >= 2).otherwise(n >= 3)
+    """Whether a place's name may be looked for in posts: no digits and a letter first. Cased names begin with a capital, have at
+    least 3 signs, and all-capital ones of up to 4 count only where they are the place's first name; Han names have 2 signs at
+    least, others 3."""
+    n, bare = F.length(F.trim(name)), F.trim(name)
+    code = (F.upper(bare) == bare) & (n <= 4) & ~primary
+    held = F.when(bare.rlike("^\\p{Lu}"), (n >= 3) & ~code).when(bare.rlike("^\\p{Ll}") | ~bare.rlike("^\\p{L}"), False).when(bare.rlike("^\\p{IsHan}"), n >= 2).otherwise(n >= 3)
+    return ~bare.rlike("\\p{Nd}") & held
 
 
 def quarter_hour(ts: Column) -> Column:

@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Policy:
-    """How long a table stays hot, which rows never leave, and its parent for tables without a time."""
+    """How long a table stays hot, names of sources whose rows never leave, and its parent for tables without a time."""
 
     table: str
     time: str
     days: int
-    stay: str | None = None
+    keep_sources: tuple[str, ...] = ()
     parent: str | None = None
     key: str | None = None
 
 
-#: Days in the hot tier, by table.
+#: Days in the hot tier, by table. Two feeds go on serving items long after their start, so those stay.
 POLICIES = (
-    Policy("event", "added_at", 35, stay="source_kind = 'feed'"), Policy("attention_hourly", "hour", 35), Policy("mention_hourly", "hour", 7),
-    Policy("gkg_article", "added_at", 7), Policy("gkg_location", "added_at", 7, parent="gkg_article", key="article_id"), Policy("theme_daily", "day", 35), Policy("theme_hourly", "hour", 7),
+    Policy("event", "added_at", 60, keep_sources=("gdacs-alerts", "usgs-volcanoes")), Policy("theme_hourly", "hour", 7), Policy("mention_hourly", "hour", 7), Policy("attention_hourly", "hour", 35),
+    Policy("wiki_activity", "hour", 30), Policy("chatter_hourly", "hour", 30), Policy("gkg_article", "added_at", 30), Policy("gkg_location", "added_at", 30, parent="gkg_article", key="article_id"),
+    Policy("firms_detection", "acq_at", 30), Policy("theme_daily", "day", 7),
 )
 
 
@@ -33,9 +34,10 @@ def bound(as_of: Column, days: int) -> Column:
     return F.date_trunc("day", as_of) - F.expr(f"interval {days} days")
 
 
-def due(rows: DataFrame, time: str, as_of: Column, days: int, stay: str | None = None) -> DataFrame:
+def due(rows: DataFrame, time: str, as_of: Column, days: int, keep: DataFrame | None = None) -> DataFrame:
+    """Rows that leave; keep has the source_id of sources whose rows stay."""
     out = rows.filter(F.col(time) < bound(as_of, days))
-    return out.filter(~F.coalesce(F.expr(stay), F.lit(False))) if stay else out
+    return out if keep is None else out.join(keep, "source_id", "left_anti")
 
 
 def due_days(rows: DataFrame, time: str, as_of: Column, days: int) -> DataFrame:
@@ -52,25 +54,44 @@ class ShortArchive(Exception):
     """Fewer rows can be read back than were written."""
 
 
-def archive_slice(hot: DataFrame, folder: str, policy: Policy, as_of: Column, parents: DataFrame | None = None, count: Callable[[DataFrame], int] = DataFrame.count) -> tuple[DataFrame, int]:
-    """Appends what is due below folder, a day a partition, reads the new files back, and only if all rows are
-    there returns (what stays hot, rows archived). Late rows of an archived day become a new file."""
+def data_files(spark: SparkSession, path: str) -> set[str]:
+    """The Parquet files of a folder; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {str(x.getPath()) for x in fs.listStatus(p) if x.getPath().getName().endswith(".parquet")} if fs.exists(p) else set()
+
+
+def drop_files(spark: SparkSession, files: list[str]) -> None:
+    for f in files:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+
+
+def archive_slice(hot: DataFrame, folder: str, policy: Policy, as_of: Column, parents: DataFrame | None = None, keep: DataFrame | None = None, count: Callable[[DataFrame], int] = DataFrame.count) -> tuple[DataFrame, int]:
+    """Appends what is due below folder, a day a partition, reads the files of this pass back, and only if all rows are
+    there returns (what stays hot, rows archived); else they are deleted. Late rows of an archived day become a new file. Only
+    the folders of due days are listed, and only new files read."""
     if policy.parent:
         rows = hot.join(due(parents, policy.time, as_of, policy.days).select(policy.key, F.to_date(policy.time).alias("day")), policy.key)
     else:
-        rows = due(hot, policy.time, as_of, policy.days, policy.stay).withColumn("day", F.to_date(policy.time))
-    n = rows.count()
+        rows = due(hot, policy.time, as_of, policy.days, keep).withColumn("day", F.to_date(policy.time))
+    by_day = {r["day"]: r["n"] for r in rows.groupBy("day").agg(F.count("*").alias("n")).collect()}
+    n = sum(by_day.values())
     if not n:
         return hot, 0
     spark, path = hot.sparkSession, f"{folder}/{policy.table}"
-    before = count(stored(spark, path)) if has_files(spark, path) else 0
-    archive_columns(rows).write.partitionBy("day").mode("append").option("compression", "zstd").parquet(path)
-    if count(stored(spark, path)) - before != n:
+    listed = lambda: set().union(*(data_files(spark, f"{path}/day={d}") for d in by_day))
+    before = listed()
+    # Days together, so that a day has few files; a day too large for one task is split.
+    archive_columns(rows).hint("rebalance", "day").write.partitionBy("day").mode("append").option("compression", "zstd").parquet(path)
+    new = sorted(listed() - before)
+    if not new or count(spark.read.parquet(*new)) != n:
+        drop_files(spark, new)
         raise ShortArchive(f"{policy.table}: {n} rows were due")
     if policy.parent:
         return hot.join(rows.select(policy.key).distinct(), policy.key, "left_anti"), n
-    stays = F.coalesce(F.col(policy.time) >= bound(as_of, policy.days), F.lit(True))
-    return hot.filter(stays | F.coalesce(F.expr(policy.stay), F.lit(False)) if policy.stay else stays), n
+    stays = hot.filter(F.coalesce(F.col(policy.time) >= bound(as_of, policy.days), F.lit(True)))
+    return (stays if keep is None else stays.unionByName(hot.filter(F.col(policy.time) < bound(as_of, policy.days)).join(keep, "source_id", "left_semi").select(*hot.columns))), n
 
 
 def has_files(spark: SparkSession, path: str) -> bool:
@@ -86,12 +107,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_all(tables: dict[str, DataFrame], folder: str | None, as_of: Column, policies: tuple[Policy, ...] = POLICIES) -> tuple[dict[str, DataFrame], dict[str, int], dict[str, str]]:
     """(hot tables after, rows archived, failures by table). Children go before their parents, one failing
-    table stops no other, and without a folder nothing leaves."""
+    table stops no other, and without a folder nothing leaves. tables has `source` for policies that keep some sources' rows."""
     hot, done, failed = dict(tables), {}, {}
     for p in sorted(policies, key=lambda p: p.parent is None) if folder else []:
         if p.table in tables:
             try:
-                hot[p.table], done[p.table] = archive_slice(tables[p.table], folder, p, as_of, tables.get(p.parent) if p.parent else None)
+                keep = tables["source"].filter(F.col("name").isin(*p.keep_sources)).select(F.col("id").alias("source_id")) if p.keep_sources else None
+                hot[p.table], done[p.table] = archive_slice(tables[p.table], folder, p, as_of, tables.get(p.parent) if p.parent else None, keep)
             except Exception as e:  # the next table is tried in any case
                 failed[p.table] = str(e)
     return hot, done, failed

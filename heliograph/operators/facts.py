@@ -25,16 +25,16 @@ def theme_hourly(article: DataFrame, location: DataFrame) -> DataFrame:
 
 
 def source_health(sources: DataFrame, fetch_log: DataFrame, as_of: Column, slack: int = 3) -> DataFrame:
-    """Last fetch, last with rows, fetches and rows of a day, and whether nothing came for `slack` times the
-    source's cadence. sources has every_s, the cadence in seconds."""
+    """Of each source: last fetch, last with rows, fetches and rows of a day, and whether it is enabled and nothing came for
+    `slack` times its cadence. sources has expect_every, the cadence in seconds."""
     own = F.col("fetched_at") > as_of - F.expr("interval 24 hours")
     log = fetch_log.groupBy("source_id").agg(
-        F.max("fetched_at").alias("last_fetch"), F.max(F.when(F.col("rows_kept") > 0, F.col("fetched_at"))).alias("last_data"),
+        F.max("fetched_at").alias("last_fetch"), F.max(F.when(F.col("rows_kept") > 0, F.col("fetched_at"))).alias("last_rows"),
         F.count_if(own).alias("fetches_24h"), F.sum(F.when(own, F.col("rows_kept")).otherwise(0)).alias("rows_24h"),
     )
-    late = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.coalesce("last_data", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).cast("timestamp")) > slack * F.col("every_s")
+    late = F.col("last_rows").isNull() | (F.col("last_rows") < as_of - F.make_dt_interval(secs=F.col("expect_every") * slack))
     both = sources.join(log, sources["id"] == log["source_id"], "left")
-    return both.select("name", "last_fetch", "last_data", F.coalesce("fetches_24h", F.lit(0)).alias("fetches_24h"), F.coalesce("rows_24h", F.lit(0)).alias("rows_24h"), late.alias("stale"))
+    return both.select("name", "kind", "enabled", "expect_every", "last_fetch", "last_rows", F.coalesce("fetches_24h", F.lit(0)).alias("fetches_24h"), F.coalesce("rows_24h", F.lit(0)).alias("rows_24h"), (F.col("enabled") & late).alias("stale"))
 
 
 def expected_slots(spark, since: str, until: str, minutes: int = 15) -> DataFrame:
@@ -64,30 +64,39 @@ def ago(as_of: Column, what: str) -> Column:
     return as_of - F.expr(f"interval {what}")
 
 
+def moment(name: str) -> Column:
+    """A property with a time; one without a zone is UTC."""
+    return prop(name, "timestamp")
+
+
 #: For each kind of source, which of its events are current and notable at a moment.
 LIVE_RULES = {
-    "quake": lambda now: (F.col("added_at") > ago(now, "48 hours")) & ((prop("mag", "double") >= 5.5) | prop("alert").isin("orange", "red")),
-    "disaster": lambda now: (prop("is_current") == "true") & prop("alert_level").isin("Orange", "Red"),
-    "weather": lambda now: F.col("superseded_by").isNull() & prop("severity").isin("Severe", "Extreme") & (prop("expires", "timestamp_ntz") > now) & (~prop("message_type").eqNullSafe("Cancel")),
-    "tsunami": lambda now: (F.col("added_at") > ago(now, "24 hours")) & (~prop("category").eqNullSafe("Information")),
-    "volcano": lambda now: (prop("seen", "timestamp_ntz") > ago(now, "6 hours")) & prop("color").isin("ORANGE", "RED"),
-    "fire": lambda now: (prop("last_seen", "timestamp_ntz") > ago(now, "24 hours")) & (prop("detections", "int") >= 50),
-    "outage": lambda now: (prop("end", "timestamp_ntz") > ago(now, "6 hours")) & (prop("score", "double") >= 1000),
-    "outage_note": lambda now: prop("end", "timestamp_ntz").isNull() | (prop("end", "timestamp_ntz") > now),
-    "conflict": lambda now: (F.col("added_at") > ago(now, "40 days")) & (prop("best", "int") >= 10),
+    "usgs": lambda now: F.col("added_at") > ago(now, "72 hours"),
+    "gdacs": lambda now: ~prop("alert").eqNullSafe("Green") & (moment("modified") > ago(now, "30 days")),
+    "nws": lambda now: F.col("superseded_by").isNull() & (moment("expires") > now) & prop("severity").isin("Severe", "Extreme"),
+    "tsunami": lambda now: ~prop("category").eqNullSafe("Information") & (F.col("added_at") > ago(now, "24 hours")),
+    "volcano": lambda now: moment("seen") > ago(now, "3 hours"),
+    "firms": lambda now: (prop("detections", "int") >= 50) & (moment("last_seen") > ago(now, "24 hours")),
+    "ioda": lambda now: (moment("end") > ago(now, "3 hours")) & (F.col("added_at") > ago(now, "48 hours")),
+    "radar": lambda now: prop("end").isNull() | (moment("end") > ago(now, "3 hours")),
+    "ucdp": lambda now: F.col("occurred_on") > F.date_sub(F.to_date(now), 60),
 }
 
 
-def live(events: DataFrame, as_of: Column, rules: dict = LIVE_RULES) -> DataFrame:
-    """Events whose kind's rule holds; an unknown kind has none."""
+def live(events: DataFrame, sources: DataFrame, as_of: Column, rules: dict = LIVE_RULES) -> DataFrame:
+    """Events, with the kind of their source, for which that kind's rule holds; an unknown kind has none, and sources
+    that count for attention are left out. sources has id, kind and attention."""
+    now = as_of.cast("timestamp")
+    placed = events.join(sources.filter(~F.col("attention")).select(F.col("id").alias("source_id"), "kind"), "source_id")
     held = None
     for kind, rule in rules.items():
-        held = F.when(F.col("kind") == kind, rule(as_of)) if held is None else held.when(F.col("kind") == kind, rule(as_of))
-    return events.filter(F.coalesce(held.otherwise(False), F.lit(False)))
+        held = F.when(F.col("kind") == kind, rule(now)) if held is None else held.when(F.col("kind") == kind, rule(now))
+    return placed.filter(F.coalesce(held.otherwise(False), F.lit(False)))
 
 
-def newest_of_source(events: DataFrame, source: str, since: Column, limit: int = 5000) -> DataFrame:
-    return events.filter((F.col("source") == source) & (F.col("added_at") > since)).orderBy(F.desc("added_at"), "external_id").limit(limit)
+def newest_live(rows: DataFrame, as_of: Column, narrowed: str = "usgs", hours: int = 72, limit: int = 5000) -> DataFrame:
+    """Live events, newest first, those of one kind only of the last `hours`."""
+    return rows.filter((F.col("kind") != narrowed) | (F.col("added_at") > ago(as_of, f"{hours} hours"))).orderBy(F.desc("added_at"), "external_id").limit(limit)
 
 
 def superseded(alerts: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions import UNSPACED, usable_name
+
 #: A name of several kinds of places means the first of these.
-KINDS = ("country", "city", "division")
+KINDS = ("country", "city", "adm1")
 
 
 def place_names(places: DataFrame) -> DataFrame:
@@ -18,6 +17,12 @@ def place_names(places: DataFrame) -> DataFrame:
     return places.select(F.col("id").alias("place_id"), F.explode(F.array_distinct(every)).alias("name")).dropDuplicates(["place_id", "name"])
 
 
+def usable_names(places: DataFrame) -> DataFrame:
+    """(place_id, name, kind, population) of the names that may be looked for in posts."""
+    every = place_names(places).join(places.select(F.col("id").alias("place_id"), F.col("name").alias("first"), "kind", "population"), "place_id")
+    return every.filter(usable_name(F.col("name"), F.col("name") == F.col("first"))).drop("first")
+
+
 def with_country(places: DataFrame, codes: DataFrame) -> DataFrame:
     """fips of a place's country, and its division's code."""
     known = F.broadcast(codes.select("iso2", "fips"))
@@ -35,78 +40,67 @@ def one_place_per_name(names: DataFrame) -> DataFrame:
     return names.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(rank, F.desc("population"), "place_id"))).filter("_n = 1").drop("_n")
 
 
-def match_ngrams(texts: DataFrame, names: DataFrame, most_words: int = 4) -> DataFrame:
-    """(id, place_id, start, words): names as whole words in texts of spaced scripts, by an equality on n-grams.
-    Of overlapping matches the leftmost holds, of those the longest."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-    placed = texts.select("id", words.alias("w"))
-
-    def of_size(n: int):
-        one = lambda i: F.struct(i.alias("start"), F.lit(n).alias("words"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("name"))
-        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), one)
-
-    grams = [of_size(n) for n in range(1, most_words + 1)]
-    some = [F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<struct<start:int,words:int,name:string>>")) for n, g in enumerate(grams, 1)]
-    hits = placed.select("id", F.explode(F.concat(*some)).alias("g")).select("id", "g.*").join(names.select(F.lower("name").alias("name"), "place_id"), "name")
-    if most_words == 1:
-        return hits.select("id", "place_id", "start", "words")
-    # A text's own matches are few; they are taken from left to right.
-    listed = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("words")).alias("less"), "place_id"))).alias("m"))
-    taken = F.aggregate("m", F.struct(F.array().cast("array<struct<start:int,less:int,place_id:bigint>>").alias("out"), F.lit(1).alias("free")), lambda acc, m: F.when(m["start"] >= acc["free"], F.struct(F.concat(acc["out"], F.array(m)).alias("out"), (m["start"] - m["less"]).alias("free"))).otherwise(acc), lambda acc: acc["out"])
-    return listed.select("id", F.explode(taken).alias("t")).select("id", "t.place_id", "t.start", (-F.col("t.less")).alias("words"))
-
-
-END = "\0"
-
-
-def trie(names: dict[str, int]) -> dict:
-    root: dict = {}
-    for name, place in names.items():
-        node = root
-        for c in name:
-            node = node.setdefault(c, {})
-        node[END] = place
-    return root
-
-
-def spaced(c: str) -> bool:
-    """Whether c is of a script that puts spaces between words, so that names need boundaries there."""
-    return c.isalnum() and not ("฀" <= c <= "๿" or "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿")
-
-
-def found(root: dict, text: str) -> list[tuple[int, int, int]]:
-    """(place, start, length) of the names in a text: with boundaries first, then leftmost and longest."""
-    out, i = [], 0
-    while i < len(text):
-        node, best = root, None
-        before = i == 0 or not (spaced(text[i - 1]) and spaced(text[i]))
-        j = i
-        while before and j < len(text) and text[j] in node:
-            node = node[text[j]]
-            j += 1
-            if END in node and (j == len(text) or not (spaced(text[j - 1]) and spaced(text[j]))):
-                best = (node[END], i, j - i)
-        if best:
-            out.append(best)
-            i += best[2]
-        else:
-            i += 1
-    return out
-
-
-def match_trie(texts: DataFrame, names: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(id, place_id, start, length): names in texts of any script. The names are a dimension of checked size."""
-    if names.count() > most:
-        raise ValueError("too many names for one trie")
-    known = dict(names.select("name", "place_id").toPandas().itertuples(index=False, name=None))
-    shared = texts.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root = trie(shared.value)
-        for b in batches:
-            yield pd.DataFrame([(i, *m) for i, text in zip(b["id"], b["text"], strict=True) if text for m in found(root, text)], columns=["id", "place_id", "start", "length"])
-
-    return texts.select("id", "text").mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, place_id long, start int, length int")
+#: Borders between a run of letters and digits and what lies between runs.
+BORDER = "(?<=[\\p{L}\\p{N}])(?![\\p{L}\\p{N}])|(?<![\\p{L}\\p{N}])(?=[\\p{L}\\p{N}])"
+
+
+def name_parts(names: DataFrame) -> DataFrame:
+    """(place_id, name, body, tail, runs, signs): a name's body up to its last run of letters and digits and what follows it;
+    how many runs it has, and, of a name in an unspaced script, how many signs."""
+    tail = F.regexp_extract("name", "[^\\p{L}\\p{N}]*$", 0)
+    body = F.substring(F.col("name"), F.lit(1), F.length("name") - F.length(tail))
+    loose = F.col("name").rlike(f"^[{UNSPACED}]")
+    parts = names.select("place_id", "name").withColumn("tail", F.when(loose, "").otherwise(tail)).withColumn("body", F.when(loose, F.col("name")).otherwise(body)).filter("body <> ''")
+    return parts.withColumn("runs", F.when(loose, 0).otherwise((F.size(F.split("body", BORDER)) + 1) / 2).cast("int")).withColumn("signs", F.when(loose, F.length("body")).otherwise(0))
+
+
+def grams(texts: DataFrame, runs: list[int], signs: list[int], first: str) -> DataFrame:
+    """(id, body, start, end, after) of all n-grams of a text: n runs with what lies between them, from a run whose start fits the
+    pattern `first`, and n signs within a run from a sign of an unspaced script. Starts and ends count parts of the text and then signs;
+    after is the part that follows, with a space at the end of the text."""
+    at = lambda part, sign: part.cast("long") * F.lit(1 << 32) + sign
+    last = (1 << 32) - 1
+    p = F.col("p")
+
+    def of_runs(i: Column, n: int) -> Column:
+        return F.struct(F.array_join(F.slice(p, i, F.lit(2 * n - 1)), "").alias("body"), at(i, F.lit(1)).alias("start"), at(i + 2 * n - 2, F.lit(last)).alias("end"), F.concat(F.coalesce(F.get(p, i + 2 * n - 2), F.lit("")), F.when(i + 2 * n - 1 >= F.size(p), " ").otherwise("")).alias("after"))
+
+    def of_signs(i: Column, n: int) -> Column:
+        """n signs from each sign of an unspaced script in part i; the part is split once."""
+        chars = F.split(F.get(p, i - 1), "")
+        places = lambda c: F.filter(F.sequence(F.lit(1), F.size(c)), lambda k: (k + n - 1 <= F.size(c)) & F.get(c, k - 1).rlike(f"[{UNSPACED}]"))
+        one = lambda c: F.transform(places(c), lambda k: F.struct(F.array_join(F.slice(c, k, F.lit(n)), "").alias("body"), at(i, k).alias("start"), at(i, k + n - 1).alias("end"), F.lit(" ").alias("after")))
+        return F.element_at(F.transform(F.array(chars), one), 1)
+
+    parts = texts.filter("text <> ''").select("id", F.split("text", BORDER).alias("p"))
+    spots = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: F.get(p, i - 1).rlike(first))
+    loose = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: F.get(p, i - 1).rlike(f"[{UNSPACED}]"))
+    every_run = lambda n: F.transform(F.filter(spots, lambda i: i + 2 * n - 2 <= F.size(p)), lambda i: of_runs(i, n))
+    every_sign = lambda n: F.flatten(F.transform(loose, lambda i: of_signs(i, n)))
+    made = [*map(every_run, runs), *map(every_sign, signs)]
+    return parts.select("id", F.explode(F.concat(*made)).alias("g")).select("id", "g.*") if made else parts.select("id", F.lit("").alias("body"), at(F.lit(0), F.lit(0)).alias("start"), at(F.lit(0), F.lit(0)).alias("end"), F.lit("").alias("after")).limit(0)
+
+
+def match_names(texts: DataFrame, names: DataFrame, first: str = "^[\\p{L}&&[^\\p{Ll}]]") -> DataFrame:
+    """(id, place_id, start): names as written in texts, by an equality on n-grams. A name in a script with spaces between words
+    stands between signs that are no letters or digits; of overlapping matches the leftmost holds, of those the longest. Names begin
+    as the pattern `first` says (usable names: with a capital, or in a script without). names has one place a name."""
+    parts = name_parts(names)
+    sizes = parts.select("runs", "signs").distinct().collect()  # as many rows as names have lengths
+    made = grams(texts, sorted({r["runs"] for r in sizes} - {0}), sorted({r["signs"] for r in sizes} - {0}), first)
+    hits = made.join(parts.select("body", "tail", "place_id"), "body")
+    # What follows a name's tail is no letter or digit: the part after its last run goes on, or the text ends (a space stands for that).
+    whole = F.col("after").startswith(F.col("tail")) & (F.length("after") > F.length("tail"))
+    hits = hits.filter(whole).select("id", "place_id", "start", (F.col("end") + F.length("tail")).alias("end"))
+    # Matches fall into clusters that overlap; only within those, few as they are, is an order to be kept.
+    order = Window.partitionBy("id").orderBy("start", F.desc("end"), "place_id")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    clusters = hits.withColumn("fresh", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("cluster", F.sum("fresh").over(order))
+    listed = clusters.groupBy("id", "cluster").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("less"), "place_id"))).alias("m"))
+    kind = "array<struct<start:bigint,less:bigint,place_id:bigint>>"
+    step = lambda acc, m: F.when(m["start"] > acc["free"], F.struct(F.concat(acc["out"], F.array(m)).alias("out"), (-m["less"]).alias("free"))).otherwise(acc)
+    taken = F.aggregate("m", F.struct(F.array().cast(kind).alias("out"), F.lit(-1).cast("long").alias("free")), step, lambda acc: acc["out"])
+    return listed.select("id", F.explode(taken).alias("t")).select("id", "t.place_id", "t.start")
 
 
 def stop_names(texts: DataFrame, names: DataFrame) -> DataFrame:

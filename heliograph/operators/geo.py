@@ -1,6 +1,6 @@
 """Places on a plane: points in polygons, nearest polygons, density clusters, hulls and fires that grow.
 
-Spatial joins are equalities on grid cells, then exact tests in Arrow batches. A polygon is an array of
+Spatial joins are equalities on grid cells, then exact tests as column expressions over a polygon's edges. A polygon is an array of
 rings of (x, y) structs, the first one outer; a shape is an array of polygons.
 """
 
@@ -12,10 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from heliograph.functions import planar, sphere_km
+from heliograph.shared import checkpointed
 
 KM_PER_DEGREE = 111.195
 SHAPE = "array<array<array<struct<x: double, y: double>>>>"
@@ -30,59 +29,49 @@ def around(c: Column, size: float, by: int = 1) -> Column:
     return F.explode(F.sequence(cell(c, size) - by, cell(c, size) + by))
 
 
-def inside(x: float, y: float, rings: list) -> bool:
-    """Even-odd rule over all rings; a point on the left or lower edge is inside."""
-    odd = False
-    for ring in rings:
-        xs, ys = np.array([p["x"] for p in ring]), np.array([p["y"] for p in ring])
-        x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
-        crosses = (ys > y) != (y2 > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            odd ^= bool((crosses & (x < (x2 - xs) * (y - ys) / (y2 - ys) + xs)).sum() % 2)
-    return odd
+EDGES = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
 
 
-@pandas_udf(BooleanType())
-def in_polygon(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
-    return pd.Series([inside(a, b, r) for a, b, r in zip(x, y, rings, strict=True)])
+def edges_of(rings: Column) -> Column:
+    """The edges of all rings of a polygon; a ring's last point need not repeat its first."""
+    ring = lambda r: F.transform(r, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at(r, F.pmod(i + 1, F.size(r)) + 1)["x"].alias("x2"), F.element_at(r, F.pmod(i + 1, F.size(r)) + 1)["y"].alias("y2")))
+    return F.flatten(F.transform(rings, ring))
 
 
-def edge_distance(x: float, y: float, rings: list, squeeze: float = 1.0) -> float:
-    """Distance in degrees from a point to a polygon's edge, x shrunk by `squeeze`; 0 inside."""
-    if inside(x, y, rings):
-        return 0.0
-    best = math.inf
-    for ring in rings:
-        p = np.array([[q["x"] * squeeze, q["y"]] for q in ring])
-        d = np.roll(p, -1, axis=0) - p
-        to = np.array([x * squeeze, y]) - p
-        long = (d * d).sum(1)
-        t = np.clip(np.where(long > 0, (to * d).sum(1) / np.where(long > 0, long, 1), 0), 0, 1)
-        best = min(best, float(np.sqrt(((to - t[:, None] * d) ** 2).sum(1)).min()))
-    return best
+def inside(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd rule over a polygon's edges; a point on its left or lower edge is inside."""
+    crossed = lambda e: F.when((e["y1"] > y) != (e["y2"] > y), x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).otherwise(False)
+    return F.pmod(F.size(F.filter(edges, crossed)), F.lit(2)) == 1
+
 
+def edge_distance(x: Column, y: Column, edges: Column, squeeze: Column | float = 1.0) -> Column:
+    """Distance in degrees from a point to a polygon, x shrunk by `squeeze`; 0 inside."""
+    by = squeeze if isinstance(squeeze, Column) else F.lit(squeeze)
 
-@pandas_udf(DoubleType())
-def edge_degrees(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
-    return pd.Series([edge_distance(a, b, r) for a, b, r in zip(x, y, rings, strict=True)], dtype=float)
+    def to_edge(e: Column) -> Column:
+        dx, dy, px, py = (e["x2"] - e["x1"]) * by, e["y2"] - e["y1"], (x - e["x1"]) * by, y - e["y1"]
+        long = dx * dx + dy * dy
+        t = F.when(long > 0, F.least(F.greatest((px * dx + py * dy) / long, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
 
+    return F.when(inside(x, y, edges), 0.0).otherwise(F.array_min(F.transform(edges, to_edge)))
 
-@pandas_udf(DoubleType())
-def edge_km(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
-    return pd.Series([edge_distance(a, b, r, math.cos(math.radians(b))) * KM_PER_DEGREE for a, b, r in zip(x, y, rings, strict=True)], dtype=float)
+
+def edge_km(x: Column, y: Column, edges: Column) -> Column:
+    return edge_distance(x, y, edges, F.cos(F.radians(y))) * KM_PER_DEGREE
 
 
 def covered_cells(shapes: DataFrame, size: float, margin_km: float = 0.0) -> DataFrame:
-    """(code, rings, cx, cy): each polygon at the cells of its bounding box, widened by the margin; x wraps at 180."""
+    """(code, edges, cx, cy): each polygon at the cells of its bounding box, widened by the margin; x wraps at 180."""
     parts = shapes.select("code", F.explode("geom").alias("rings"))
     outer = F.col("rings")[0]
-    box = parts.select("code", "rings", *(f(outer.getField(k)).alias(n) for n, f, k in (("x1", F.array_min, "x"), ("x2", F.array_max, "x"), ("y1", F.array_min, "y"), ("y2", F.array_max, "y"))))
+    box = parts.select("code", edges_of(F.col("rings")).alias("edges"), *(f(outer.getField(k)).alias(n) for n, f, k in (("x1", F.array_min, "x"), ("x2", F.array_max, "x"), ("y1", F.array_min, "y"), ("y2", F.array_max, "y"))))
     dy = F.lit(margin_km / KM_PER_DEGREE)
     dx = dy / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs("y1"), F.abs("y2")) + dy, F.lit(89.0)))), F.lit(0.01))
     n = round(360 / size)
-    xs = F.explode(F.transform(F.sequence(cell(F.col("x1") - dx, size), cell(F.col("x2") + dx, size)), lambda i: F.pmod(i, F.lit(n))))
+    xs = F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("x1") - dx, size), cell(F.col("x2") + dx, size)), lambda i: F.pmod(i, F.lit(n)))))
     ys = F.explode(F.sequence(cell(F.col("y1") - dy, size), cell(F.col("y2") + dy, size)))
-    return box.select("code", "rings", xs.alias("cx"), "y1", "y2").select("code", "rings", "cx", ys.alias("cy")).distinct()
+    return box.select("code", "edges", xs.alias("cx"), "y1", "y2").select("code", "edges", "cx", ys.alias("cy"))
 
 
 def with_cell(points: DataFrame, size: float) -> DataFrame:
@@ -92,7 +81,7 @@ def with_cell(points: DataFrame, size: float) -> DataFrame:
 def containing(points: DataFrame, shapes: DataFrame, size: float = 1.0) -> DataFrame:
     """(id, code) of the shape that holds each point, the least code of several."""
     near = with_cell(points, size).join(covered_cells(shapes, size), ["cx", "cy"])
-    return near.filter(in_polygon("lon", "lat", "rings")).groupBy("id").agg(F.min("code").alias("code"))
+    return near.filter(inside(F.col("lon"), F.col("lat"), F.col("edges"))).groupBy("id").agg(F.min("code").alias("code"))
 
 
 def reverse_geocode(points: DataFrame, shapes: DataFrame, most_km: float = 100.0, size: float = 1.0) -> DataFrame:
@@ -100,8 +89,8 @@ def reverse_geocode(points: DataFrame, shapes: DataFrame, most_km: float = 100.0
     the limit is in km), else ''."""
     held = containing(points, shapes, size)
     left = points.join(held, "id", "left_anti")
-    near = with_cell(left, size).join(covered_cells(shapes, size, most_km), ["cx", "cy"]).withColumn("km", edge_km("lon", "lat", "rings")).filter(F.col("km") <= most_km)
-    best = near.withColumn("deg", edge_degrees("lon", "lat", "rings")).groupBy("id").agg(F.min(F.struct("deg", "code")).alias("b")).select("id", F.col("b.code").alias("code"))
+    near = with_cell(left, size).join(covered_cells(shapes, size, most_km), ["cx", "cy"]).withColumn("km", edge_km(F.col("lon"), F.col("lat"), F.col("edges"))).filter(F.col("km") <= most_km)
+    best = near.withColumn("deg", edge_distance(F.col("lon"), F.col("lat"), F.col("edges"))).groupBy("id").agg(F.min(F.struct("deg", "code")).alias("b")).select("id", F.col("b.code").alias("code"))
     return points.join(held.unionByName(best), "id", "left").withColumn("country", F.coalesce("code", F.lit(""))).drop("code")
 
 
@@ -125,19 +114,6 @@ def near_edges(points: DataFrame, eps: float) -> DataFrame:
     return within.unionByName(across)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; without one (a local session) df as it is, planned anew."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, root): the least id each node is connected to. Every round, the neighbours of a node that are greater
     than it hang on to the least of them all, then the lesser ones do; trees flatten in a few rounds."""
@@ -192,8 +168,8 @@ HULL = "array<struct<x: double, y: double>>"
 
 
 def hulls(points: DataFrame, by: str) -> DataFrame:
-    """by, hull, area_km2 and a point of the hull (px, py). Only a group's extreme points of each of 64 directions'
-    fan and its corners can be on the hull of thinned groups, so first the hull of every salt is made, then of those."""
+    """by, hull, area_km2 and a point of the hull (px, py). Points of a group are first dealt by 32 salts, and the hull of the
+    salts' hulls is the group's, so that no task gets all points of a large group."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         ring = hull_of(rows["x"].to_numpy(), rows["y"].to_numpy())
@@ -210,34 +186,32 @@ def hulls(points: DataFrame, by: str) -> DataFrame:
     return thin.groupBy(by).applyInPandas(whole, f"{by} {kind}, hull {HULL}, area_km2 double, px double, py double")
 
 
-def point_inside(rings: list) -> tuple[float, float]:
-    """A point within a polygon: the middle of the widest stretch of a line through it."""
-    ys = sorted({p["y"] for ring in rings for p in ring})
-    best = (-1.0, rings[0][0]["x"], rings[0][0]["y"])
-    for low, high in zip(ys, ys[1:], strict=False):
-        y = (low + high) / 2
-        cuts = []
-        for ring in rings:
-            for p, q in zip(ring, [*ring[1:], ring[0]], strict=True):
-                if (p["y"] > y) != (q["y"] > y):
-                    cuts.append(p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"]))
-        cuts.sort()
-        best = max([best, *((b - a, (a + b) / 2, y) for a, b in zip(cuts[::2], cuts[1::2], strict=False))])
-    return best[1], best[2]
+def inner_point(shape: Column) -> Column:
+    """A point (x, y) within a shape: the middle of the widest inner stretch of its part with the largest area, on a line halfway
+    between two of its corners' latitudes."""
+    area = lambda rings: F.abs(F.aggregate(edges_of(F.array(rings[0])), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"]))
+    largest = F.array_max(F.transform(shape, lambda rings, i: F.struct(area(rings).alias("area"), (-i).alias("i"))))
+    part = F.element_at(shape, -largest["i"] + 1)
 
+    def stretches(edges: Column, y: Column) -> Column:
+        cuts = F.array_sort(F.transform(F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+        pairs = F.transform(cuts, lambda x, i: F.struct((F.get(cuts, i + 1) - x).alias("wide"), ((F.get(cuts, i + 1) + x) / 2).alias("x"), y.alias("y")))
+        return F.filter(pairs, lambda p, i: (i % 2 == 0) & p["wide"].isNotNull())
 
-@pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
-def inner_point(shape: pd.Series) -> pd.DataFrame:
-    """A point within a shape, in its largest part by the length of its widest inner stretch."""
-    return pd.DataFrame([point_inside(max(s, key=len)) for s in shape], columns=["x", "y"])
+    edges = edges_of(part)
+    ys = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["y1"])))
+    lines = F.filter(F.transform(ys, lambda y, i: (y + F.get(ys, i + 1)) / 2), lambda y: y.isNotNull())
+    best = F.array_max(F.flatten(F.transform(lines, lambda y: stretches(edges, y))))
+    corner = F.struct(part[0][0]["x"].alias("x"), part[0][0]["y"].alias("y"))
+    return F.coalesce(F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y"))), corner)
 
 
 def place_alerts(alerts: DataFrame, zones: DataFrame) -> DataFrame:
-    """Alerts with lon and lat: on their own shape, else in the first of their zones' shapes; others are dropped."""
-    by_zone = alerts.filter("geom is null").select("external_id", F.posexplode("zones").alias("n", "url")).join(zones.select("url", F.col("geom").alias("zone")), "url")
-    first = by_zone.groupBy("external_id").agg(F.min_by("zone", "n").alias("zone"))
-    shaped = alerts.join(first, "external_id", "left").withColumn("shape", F.coalesce("geom", "zone")).filter("shape is not null")
-    return shaped.withColumn("_p", inner_point("shape")).withColumn("lon", F.col("_p.x")).withColumn("lat", F.col("_p.y")).drop("_p", "zone", "shape")
+    """Alerts with lon and lat: on their own shape, else on the parts of all their zones together; others are dropped."""
+    by_zone = alerts.filter("geom is null").select("external_id", F.explode("zones").alias("url")).distinct().join(zones.filter("geom is not null").select("url", F.col("geom").alias("zone")), "url")
+    union = by_zone.groupBy("external_id").agg(F.flatten(F.array_sort(F.collect_list("zone"))).alias("zone"))
+    shaped = alerts.join(union, "external_id", "left").withColumn("shape", F.coalesce("geom", "zone")).filter("shape is not null")
+    return shaped.withColumn("_p", inner_point(F.col("shape"))).withColumn("lon", F.col("_p.x")).withColumn("lat", F.col("_p.y")).drop("_p", "zone", "shape")
 
 
 def join_fires(pixels: DataFrame, fires: DataFrame, km: float = 1.0, hours: int = 48, size: float = 0.05) -> DataFrame:
@@ -246,34 +220,74 @@ def join_fires(pixels: DataFrame, fires: DataFrame, km: float = 1.0, hours: int
     shapes = fires.select(F.col("fire_id").alias("code"), F.array(F.array("hull")).alias("geom"))
     cells = covered_cells(shapes, size, km).withColumnRenamed("code", "fire_id").join(fires.select("fire_id", "last_seen"), "fire_id")
     near = with_cell(pixels, size).join(cells, ["cx", "cy"]).filter(F.col("last_seen") > F.col("acq_at") - F.expr(f"interval {hours} hours"))
-    near = near.withColumn("far", edge_km("lon", "lat", "rings")).filter(F.col("far") <= km)
+    near = near.withColumn("far", edge_km(F.col("lon"), F.col("lat"), F.col("edges"))).filter(F.col("far") <= km)
     return near.groupBy("id").agg(F.min(F.struct("far", "fire_id")).alias("b")).select("id", F.col("b.fire_id").alias("fire_id"))
 
 
 def fire_totals(pixels: DataFrame) -> DataFrame:
     """Totals of each fire over its detections (fire_id, lon, lat, frp, confidence, acq_at)."""
-    sums = pixels.groupBy("fire_id").agg(F.count("*").alias("detections"), F.count_if(F.col("confidence") == "high").alias("high_conf"), F.sum("frp").alias("frp_sum"), F.max("frp").alias("frp_max"), F.min("acq_at").alias("first_seen"), F.max("acq_at").alias("last_seen"))
+    frp = lambda f: F.coalesce(f("frp"), F.lit(0.0))
+    sums = pixels.groupBy("fire_id").agg(F.count("*").alias("detections"), F.count_if(F.col("confidence").isin("high", "h")).alias("high_conf"), frp(F.sum).alias("frp_sum"), frp(F.max).alias("frp_max"), F.min("acq_at").alias("first_seen"), F.max("acq_at").alias("last_seen"))
     return sums.join(hulls(pixels.select("fire_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "fire_id"), "fire_id")
 
 
+def cluster_heads(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cluster, fire_id): the first detection of each cluster, by time and then id."""
+    return rows.join(clusters, "id").groupBy("cluster").agg(F.min_by("id", F.struct("acq_at", "id")).alias("fire_id"))
+
+
 def track_fires(pixels: DataFrame, new: DataFrame, fires: DataFrame, eps: float = 0.009) -> tuple[DataFrame, DataFrame]:
     """(detections with fire_id, totals of the touched fires): new detections join live fires, the rest cluster
-    among themselves and each cluster is a new fire, named after its first detection."""
-    joined = join_fires(new, fires)
-    rest = new.join(joined, "id", "left_anti")
-    clusters = density_clusters(rest.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), eps)
-    head = rest.join(clusters, "id").groupBy("cluster").agg(F.min_by("id", F.struct("acq_at", "id")).alias("fire_id"))
-    made = clusters.join(head, "cluster").select("id", "fire_id")
-    every = pixels.unionByName(new.join(joined.unionByName(made), "id").select(*pixels.columns))
-    touched = joined.unionByName(made).select("fire_id").distinct()
-    return every, fire_totals(every.join(touched, "fire_id", "left_semi"))
+    among themselves and each cluster is a new fire, named after its first detection. Both are written out, so that the next
+    run does not plan this one again."""
+    named = checkpointed(join_fires(new, fires))
+    rest = checkpointed(new.join(named, "id", "left_anti"))
+    if rest.limit(1).count():
+        clusters = checkpointed(density_clusters(rest.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), eps))
+        named = checkpointed(named.unionByName(clusters.join(cluster_heads(clusters, rest), "cluster").select("id", "fire_id")))
+    every = checkpointed(pixels.unionByName(new.join(named, "id").select(*pixels.columns)))
+    return every, checkpointed(fire_totals(every.join(named.select("fire_id").distinct(), "fire_id", "left_semi")))
+
+
+def fire_events(totals: DataFrame, as_of: Column, hours: int = 96) -> DataFrame:
+    """What a fire's event row becomes after a run: a point of its hull and its totals as JSON, of fires seen within `hours`."""
+    shown = {"kind": F.lit("fire"), "title": F.lit("Active fire"), "detections": F.col("detections"), "high_conf": F.col("high_conf"), "frp_sum": F.round("frp_sum", 1), "frp_max": F.round("frp_max", 1), "first_seen": F.col("first_seen"), "last_seen": F.col("last_seen"), "area_km2": F.round("area_km2", 2)}
+    recent = totals.filter(F.col("last_seen") > as_of - F.expr(f"interval {hours} hours"))
+    return recent.select(F.concat(F.lit("firms:"), F.col("fire_id").cast("string")).alias("external_id"), F.col("px").alias("lon"), F.col("py").alias("lat"), F.to_json(F.struct(*(v.alias(k) for k, v in shown.items()))).alias("props"))
+
+
+EARTH_KM = 6371.0088
+#: Sides of the cubes, on a sphere of radius 1, in which near places are looked for; the last ones hold the whole sphere.
+WIDENING = (0.01, 0.04, 0.16, 0.64, 2.0)
+
+
+def on_sphere(lon: Column, lat: Column) -> dict[str, Column]:
+    """Coordinates on a sphere of radius 1, where neither poles nor the date line are special."""
+    u, v = F.radians(lon), F.radians(lat)
+    return {"sx": F.cos(v) * F.cos(u), "sy": F.cos(v) * F.sin(u), "sz": F.sin(v)}
 
 
 def nearest(points: DataFrame, places: DataFrame, k: int = 1) -> DataFrame:
-    """The k places nearest to each point by great circle; places are a dimension of checked size."""
-    if places.count() > 100_000:
-        raise ValueError("too many places to compare with each point; join by cells instead")
+    """The k places nearest to each point by great circle (id, lon, lat and other columns of points, place_id, km, n), ties to the
+    smaller id. Points meet the places of the 27 cubes around them; a point whose k-th place is farther than a cube's side goes on
+    to wider cubes."""
+    axes = ("sx", "sy", "sz")
+    named = places.select(F.col("id").alias("place_id"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), *(v.alias(a) for a, v in on_sphere(F.col("lon"), F.col("lat")).items()))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("km", "place_id"))
     far = sphere_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))
-    named = F.broadcast(places.select(F.col("id").alias("place_id"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")))
-    near = points.join(named, F.abs(F.col("lat") - F.col("p_lat")) <= 180).withColumn("km", far)
-    return near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("km", "place_id"))).filter(F.col("n") <= k)
+    left, out = points, None
+    for side in WIDENING:
+        asked = left
+        for a, v in on_sphere(F.col("lon"), F.col("lat")).items():
+            asked = asked.withColumn(f"_{a}", around(v, side))
+        cubes = named.select("place_id", "p_lon", "p_lat", *(cell(F.col(a), side).alias(f"_{a}") for a in axes))
+        near = asked.join(cubes, [f"_{a}" for a in axes]).withColumn("km", far).withColumn("n", rank).filter(F.col("n") <= k).drop(*(f"_{a}" for a in axes))
+        if side != WIDENING[-1]:
+            clear = 2 * EARTH_KM * math.asin(side / 2) * (1 - 1e-9)
+            near = near.withColumn("_last", F.max(F.struct("n", "km")).over(Window.partitionBy("id"))).filter((F.col("_last.n") == k) & (F.col("_last.km") < clear)).drop("_last")
+        near = checkpointed(near)
+        out = near if out is None else out.unionByName(near)
+        left = checkpointed(left.join(near.select("id").distinct(), "id", "left_anti"))
+        if not left.limit(1).count():
+            break
+    return out

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions import host_suffixes, link_host, links_in, name_keys, name_variants
+from heliograph.functions import good_handle, host_suffixes, link_host, links_in, name_keys, name_variants
 
 
 def match_hosts(rows: DataFrame, host: str | Column, ids: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -18,16 +18,21 @@ def match_hosts(rows: DataFrame, host: str | Column, ids: DataFrame, outlets: Da
     return rows.withColumn("suffix", F.explode(host_suffixes(h))).join(named, "suffix").join(known, ["outlet_country", "outlet"])
 
 
-def post_links(posts: DataFrame, ids: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Links of posts to registered outlets."""
-    linked = posts.select("handle", "post_id", F.explode("links").alias("link"))
-    return match_hosts(linked.filter(link_host(F.col("link")).isNotNull()), F.lower(link_host(F.col("link"))), ids, outlets)
+def linked_outlets(rows: DataFrame, ids: DataFrame, outlets: DataFrame) -> DataFrame:
+    """rows with a link (column url), and the outlets whose site it points at."""
+    return match_hosts(rows.withColumn("_host", link_host(F.col("url"))).filter("_host is not null"), "_host", ids, outlets).drop("_host")
 
 
-def description_links(videos: DataFrame, ids: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Links in descriptions to registered outlets."""
-    linked = videos.select("video_id", F.explode(links_in(F.col("description"))).alias("link"))
-    return match_hosts(linked.filter(link_host(F.col("link")).isNotNull()), F.lower(link_host(F.col("link"))), ids, outlets)
+def post_links(posts: DataFrame, channels: DataFrame, ids: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Links of the posts of known channels to registered outlets."""
+    linked = posts.join(channels.select("handle"), "handle", "left_semi").select("handle", "post_id", "posted_at", F.explode("links").alias("url"))
+    return linked_outlets(linked, ids, outlets)
+
+
+def description_links(videos: DataFrame, channels: DataFrame, ids: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Links in the descriptions of known channels' videos to registered outlets."""
+    linked = videos.join(channels.select("channel_id"), "channel_id", "left_semi").select("video_id", "channel_id", F.explode(links_in(F.col("description"))).alias("url"))
+    return linked_outlets(linked, ids, outlets)
 
 
 def resolve_entities(outlets: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -76,8 +81,16 @@ def silent_hosts(ids: DataFrame, articles: DataFrame, as_of: Column, days: int =
     return ids.filter("kind = 'host'").join(seen, "value", "left_anti")
 
 
-def channel_gaps(channels: DataFrame, posts: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """Channels and what is wrong with them: gone, without preview, without posts, or silent lately."""
-    last = posts.groupBy("handle").agg(F.max("posted_at").alias("last_post"))
-    state = F.when(F.col("status") == "gone", "gone").when(F.col("status") == "no_preview", "no preview").when(F.col("last_post").isNull(), "no posts").when(F.col("last_post") < as_of - F.expr(f"interval {days} days"), "silent")
-    return channels.join(last, "handle", "left").select("handle", state.alias("gap")).filter("gap is not null")
+def channel_gaps(ids: DataFrame, channels: DataFrame, posts: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Registered channels that can be collected and yield nothing: without a preview, or without a post lately."""
+    asked = ids.filter("kind = 'telegram'").filter(good_handle(F.col("value"))).select("country", "name", F.col("value").alias("handle"))
+    lately = posts.filter(F.col("posted_at") > as_of - F.expr(f"interval {days} days")).select("handle", F.lit(True).alias("posted")).distinct()
+    state = F.when(~F.col("preview"), "no preview").when(F.col("posted").isNull(), f"no post in {days} days")
+    return asked.join(channels.select("handle", "preview"), "handle", "left").join(lately, "handle", "left").select("country", "name", "handle", state.alias("gap")).filter("gap is not null")
+
+
+def video_gaps(channels: DataFrame, videos: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Video channels that are gone, with the reason, or without an upload lately."""
+    lately = videos.filter(F.col("published_at") > as_of - F.expr(f"interval {days} days")).select("channel_id", F.lit(True).alias("uploaded")).distinct()
+    state = F.when(F.col("status") == "gone", F.concat(F.lit("gone: "), F.substring("reason", 1, 60))).when(F.col("uploaded").isNull(), f"no upload in {days} days")
+    return channels.join(lately, "channel_id", "left").select("country", "name", "channel_id", state.alias("gap")).filter("gap is not null")

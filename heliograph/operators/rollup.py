@@ -60,9 +60,10 @@ def chatter_hourly(five_minute: DataFrame) -> DataFrame:
     return five_minute.groupBy("source", "place_id", F.date_trunc("hour", "bucket").alias("hour")).agg(F.sum("posts").alias("posts"))
 
 
-def region_names(event: DataFrame) -> DataFrame:
-    """The most common name of each region, of equals the least."""
-    return by_region(event.filter("geo_name is not null"), "geo_name").groupBy("region_kind", "region").agg(F.mode("geo_name", True).alias("name"))
+def region_names(event: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """The most common name of each country in recent events that are placed by country (geo_type 1), of equals the least."""
+    recent = event.filter((F.col("geo_type") == 1) & F.col("geo_name").isNotNull() & (F.col("added_at") > as_of - F.expr(f"interval {days} days")))
+    return recent.groupBy(F.lit("country").alias("region_kind"), F.col("country").alias("region")).agg(F.mode("geo_name", True).alias("name"))
 
 
 def seasonal_baseline(hourly: DataFrame, days: int = 30) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame; most have a DuckDB twin."""
 
-from . import attention, facts
+from . import attention, facts, landed
 
-QUERIES = {**attention.QUERIES, **facts.QUERIES}
-SQL = {**attention.SQL, **facts.SQL}
+QUERIES = {**attention.QUERIES, **facts.QUERIES, **landed.QUERIES}
+SQL = {**attention.SQL, **facts.SQL, **landed.SQL}

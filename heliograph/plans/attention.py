@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import functions as own
-from heliograph.operators import rollup, share, stories
+from heliograph.operators import jobs, rollup, share, stories
 
 from . import standins as t
 from .standins import AS_OF, MIDDAY, at, stamp, with_
@@ -83,10 +83,10 @@ def a07(spark, d):
     return rollup.chatter_hourly(five).withColumn("hour", stamp("hour"))
 
 
-@query("a08_region_names", with_("region_event", """, n AS (SELECT region_kind, region, geo_name, count(*) AS c FROM region_event GROUP BY ALL)
-SELECT region_kind, region, geo_name AS name FROM n QUALIFY row_number() OVER (PARTITION BY region_kind, region ORDER BY c DESC, geo_name) = 1"""))
+@query("a08_region_names", with_("event", """, n AS (SELECT country, geo_name, count(*) AS c FROM event WHERE geo_type = 1 AND geo_name IS NOT NULL AND added_at > TIMESTAMP '2024-01-09' - INTERVAL 7 DAY GROUP BY ALL)
+SELECT 'country' AS region_kind, country AS region, geo_name AS name FROM n QUALIFY row_number() OVER (PARTITION BY country ORDER BY c DESC, geo_name) = 1"""))
 def a08(spark, d):
-    return rollup.region_names(t.event(spark, d))
+    return rollup.region_names(t.event(spark, d), at("2024-01-09 00:00:00"))
 
 
 Z = "(mentions - mean) / greatest(sd, sqrt(greatest(mean, 0)), 1)"
@@ -113,35 +113,79 @@ def m01(spark, d):
     return rollup.incremental(stale, e, m, at()).withColumn("hour", stamp("hour"))
 
 
+def job_tables(spark, d) -> dict[str, DataFrame]:
+    """The tables of the hourly job before a run: the series of the last hours are missing."""
+    cut = F.lit("2024-01-29 06:00:00").cast("timestamp_ntz")
+    e, m, edit = t.event(spark, d), t.mention(spark, d), edits(spark, d).withColumnRenamed("at", "at")
+    h = hourly(spark, d)
+    old = h.filter(F.col("hour") < cut)
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    five = t.table(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.col("user_id").alias("place_id"), F.window("ts", "5 minutes").start.alias("bucket")).agg(F.count("*").alias("posts"))
+    return {
+        "event": e, "mention": m, "wiki_edit": edit, "chatter_5min": five, "attention_hourly": old, "attention_daily": rollup.attention_daily(old),
+        "mention_hourly": rollup.mention_hourly(m.filter(F.col("mentioned_at") < cut)), "wiki_activity": rollup.page_activity(edit.filter(F.col("at") < cut)),
+        "chatter_hourly": rollup.chatter_hourly(five.filter(F.col("bucket") < cut)),
+        "attention_anomaly": empty("region_kind string, region string, hour timestamp, mentions long, baseline_mean double, baseline_sd double, z double, computed_at timestamp"),
+        "region_name": empty("region_kind string, region string, name string"),
+    }
+
+
+@query("m01_hourly_job", with_("daily anomaly mention", f""",
+edits AS (SELECT event_type AS title, ts AS seen_at, user_id, json_extract_string(props, '$.k')::INT % 10 = 0 AS bot FROM events)
+SELECT 'days' AS series, region_kind || ' ' || region AS key, strftime(day, '%Y-%m-%d') AS at, mentions, events AS more FROM daily
+UNION ALL SELECT 'scores', region_kind || ' ' || region, strftime(hour, '%Y-%m-%d %H:%M:%S'), mentions, round(1000 * {{Z}})::BIGINT FROM anomaly WHERE hour >= TIMESTAMP '2024-01-29'
+UNION ALL SELECT 'mentions', event_id::VARCHAR, strftime(date_trunc('hour', mentioned_at), '%Y-%m-%d %H:%M:%S'), count(*), count(DISTINCT source_name) FROM mention GROUP BY ALL
+UNION ALL SELECT 'edits', title, strftime(date_trunc('hour', seen_at), '%Y-%m-%d %H:%M:%S'), count(*), count(DISTINCT user_id) FILTER (NOT bot) FROM edits GROUP BY ALL
+UNION ALL SELECT 'posts', event_type || ' ' || user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S'), count(*), 0 FROM events GROUP BY ALL""".replace("{Z}", Z)))
+def m01_job(spark, d):
+    """All series after one run of the hourly job."""
+    out = jobs.hourly_run(job_tables(spark, d), at())
+    place, hour = F.concat_ws(" ", "region_kind", "region"), stamp("hour")
+    row = lambda name, table, key, time, first, more: out[table].select(F.lit(name).alias("series"), key.alias("key"), time.alias("at"), F.col(first).cast("long").alias("mentions"), more.cast("long").alias("more"))
+    return (
+        row("days", "attention_daily", place, F.col("day").cast("string"), "mentions", F.col("events"))
+        .unionByName(row("scores", "attention_anomaly", place, hour, "mentions", F.round(F.col("z") * 1000)))
+        .unionByName(row("mentions", "mention_hourly", F.col("event_id").cast("string"), hour, "mentions", F.col("sources")))
+        .unionByName(row("edits", "wiki_activity", F.col("title"), hour, "edits", F.col("editors")))
+        .unionByName(row("posts", "chatter_hourly", F.concat_ws(" ", "source", "place_id"), hour, "posts", F.lit(0)))
+    )
+
+
 @query("m02_full_since", with_("event", f"SELECT strftime(greatest(min(added_at), date_trunc('day', TIMESTAMP '{AS_OF}') - INTERVAL 35 DAY), '%Y-%m-%d %H:%M:%S') AS since FROM event"))
 def m02(spark, d):
     return rollup.full_since(t.event(spark, d), at()).select(stamp("since").alias("since"))
 
 
-@query("w02_daily_share", with_("daily", "SELECT region_kind, region, strftime(day, '%Y-%m-%d') AS day, mentions, round(mentions / sum(mentions) OVER (PARTITION BY region_kind, day), 9) AS share FROM daily"))
+@query("w02_daily_share", with_("daily", "SELECT region_kind, region, strftime(day, '%Y-%m-%d') AS day, mentions, round(mentions / greatest(sum(mentions) OVER (PARTITION BY region_kind, day), 1), 9) AS share FROM daily"))
 def w02(spark, d):
     s = share.daily_share(rollup.attention_daily(hourly(spark, d)))
     return s.select("region_kind", "region", F.col("day").cast("string").alias("day"), "mentions", F.round("share", 9).alias("share"))
 
 
-@query("w03_share_zscore", with_("daily", f""",
-p AS (SELECT *, mentions / sum(mentions) OVER (PARTITION BY region_kind, day) AS share FROM daily WHERE day < DATE '2024-01-20' AND day >= DATE '2024-01-20' - 30),
-u AS (SELECT region_kind, region, avg(share) AS mean, stddev_pop(share) AS sd FROM p GROUP BY ALL),
-c AS (SELECT region_kind, region, sum(mentions)::BIGINT AS mentions FROM hourly WHERE hour > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND hour <= TIMESTAMP '{MIDDAY}' GROUP BY ALL),
-n AS (SELECT *, sum(mentions) OVER (PARTITION BY region_kind) AS world FROM c)
-SELECT region_kind, region, mentions, round(mentions / world, 9) AS share, round(coalesce(mean, 0), 9) AS usual_share,
-  round((mentions / world - coalesce(mean, 0)) / greatest(coalesce(sd, 0), sqrt(coalesce(mean, 0) / world), 1 / world), 6) AS share_z
-FROM n LEFT JOIN u USING (region_kind, region)"""))
+DAY = f"hour > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND hour <= TIMESTAMP '{MIDDAY}'"
+CURRENT = f"""cur AS (SELECT h.region_kind, h.region, sum(h.mentions)::BIGINT AS mentions, max({Z.replace('mentions', 'a.mentions')}) AS peak_z FROM hourly h LEFT JOIN anomaly a USING (region_kind, region, hour)
+  WHERE {DAY.replace('hour ', 'h.hour ')} GROUP BY ALL), tot AS (SELECT region_kind, greatest(sum(mentions), 1)::BIGINT AS world FROM hourly WHERE {DAY} GROUP BY ALL)"""
+
+
+@query("w03_share_zscore", with_("daily anomaly event", f""", {CURRENT},
+p AS (SELECT region_kind, region, mentions::DOUBLE / greatest(sum(mentions) OVER (PARTITION BY region_kind, day), 1) AS share FROM daily WHERE day >= DATE '2024-01-20' - 30 AND day < DATE '2024-01-20'),
+base AS (SELECT region_kind, region, avg(share) AS mean, coalesce(stddev_pop(share), 0) AS sd FROM p GROUP BY ALL),
+n AS (SELECT country, geo_name, count(*) AS c FROM event WHERE geo_type = 1 AND added_at > TIMESTAMP '2024-01-09' - INTERVAL 7 DAY GROUP BY ALL),
+name AS (SELECT 'country' AS region_kind, country AS region, geo_name AS name FROM n QUALIFY row_number() OVER (PARTITION BY country ORDER BY c DESC, geo_name) = 1)
+SELECT region_kind, region, name, mentions, round(round(coalesce(mean, 0) * world, 6))::BIGINT AS expected,
+  round((mentions / world::DOUBLE - coalesce(mean, 0)) / greatest(coalesce(sd, 0), sqrt(coalesce(mean, 0) / world), 1.0 / world), 6) AS z, round(peak_z, 6) AS peak_z
+FROM cur JOIN tot USING (region_kind) LEFT JOIN base USING (region_kind, region) LEFT JOIN name USING (region_kind, region)"""))
 def w03(spark, d):
     h = hourly(spark, d)
-    s = share.share_score(h, rollup.attention_daily(h), at(MIDDAY))
-    return s.select("region_kind", "region", "mentions", F.round("share", 9).alias("share"), F.round("usual_share", 9).alias("usual_share"), F.round("share_z", 6).alias("share_z"))
+    names = rollup.region_names(t.event(spark, d), at("2024-01-09 00:00:00"))
+    s = share.share_score(h, rollup.attention_daily(h), rollup.seasonal_baseline(h), names, at(MIDDAY))
+    return s.withColumn("z", F.round("z", 6)).withColumn("peak_z", F.round("peak_z", 6))
 
 
-@query("a19_current_totals", with_("hourly", f"""SELECT region_kind, region, sum(mentions)::BIGINT AS mentions, (sum(sum(mentions)) OVER (PARTITION BY region_kind))::BIGINT AS world FROM hourly
-WHERE hour > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND hour <= TIMESTAMP '{MIDDAY}' GROUP BY region_kind, region"""))
+@query("a19_current_totals", with_("anomaly", f", {CURRENT} SELECT region_kind, region, mentions, round(peak_z, 6) AS peak_z, world FROM cur JOIN tot USING (region_kind)"))
 def a19(spark, d):
-    return share.current_totals(hourly(spark, d), at(MIDDAY))
+    h = hourly(spark, d)
+    return share.current_totals(h, rollup.seasonal_baseline(h), at(MIDDAY)).withColumn("peak_z", F.round("peak_z", 6))
 
 
 @query("k04_region_series", with_("daily", "SELECT region_kind, region, strftime(day, '%Y-%m-%d') AS day, events, mentions, sources FROM daily WHERE region_kind = 'country' AND region = 'NATION_5' AND day > DATE '2024-01-31' - 30 AND day <= DATE '2024-01-31'"))
@@ -149,21 +193,23 @@ def k04(spark, d):
     return share.region_series(rollup.attention_daily(hourly(spark, d)), "country", "NATION_5", at()).withColumn("day", F.col("day").cast("string"))
 
 
-@query("a09_event_growth", with_("mention", f"""SELECT event_id, count(*) FILTER (mentioned_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR) AS mentions_1h,
-count(DISTINCT source_name) FILTER (mentioned_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR) AS outlets_1h, count(*) FILTER (mentioned_at > TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR) AS mentions_6h,
-count(DISTINCT source_name) FILTER (mentioned_at > TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR) AS outlets_6h FROM mention GROUP BY event_id"""))
+@query("a09_event_growth", with_("mention event", f"""
+SELECT e.id AS event_id, e.url, strftime(e.added_at, '%Y-%m-%d %H:%M:%S') AS added_at, e.num_sources AS first_sources, e.num_mentions AS first_mentions,
+  count(*) FILTER (m.mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 1 HOUR) AS mentions_1h, count(DISTINCT m.source_name) FILTER (m.mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 1 HOUR) AS sources_1h,
+  count(*) AS mentions_6h, count(DISTINCT m.source_name) AS sources_6h
+FROM mention m JOIN event e ON e.id = m.event_id WHERE m.mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 6 HOUR AND m.mentioned_at <= TIMESTAMP '{MIDDAY}' GROUP BY ALL"""))
 def a09(spark, d):
-    return stories.event_growth(t.mention(spark, d), at())
+    return stories.event_growth(t.mention(spark, d), t.event(spark, d), at(MIDDAY)).withColumn("added_at", stamp("added_at"))
 
 
+TITLE = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\\s+[-|–—:]\\s+[^-|–—:]{{2,40}}$', ''), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\s]', '', 'g'), '\\s+', ' ', 'g')), '')"
+NOW = f"mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND mentioned_at <= TIMESTAMP '{MIDDAY}'"
 STORIES = f""",
-k AS (SELECT e.id AS event_id, e.url, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(s.title), '\\s+[-|–—:]\\s+[^-|–—:]{{1,60}}$', ''), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\s]', '', 'g'), '\\s+', ' ', 'g')), ''), e.url, e.id::VARCHAR) AS story_key
-  FROM event e LEFT JOIN story s ON e.url = s.url AND s.status = 'ok'),
-m AS (SELECT k.story_key, m.* FROM mention m JOIN k USING (event_id) WHERE mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND mentioned_at <= TIMESTAMP '{MIDDAY}'),
-b AS (SELECT story_key, event_id, count(*) AS c FROM m GROUP BY ALL),
-l AS (SELECT story_key, event_id, count(*) OVER (PARTITION BY story_key) AS events FROM b QUALIFY row_number() OVER (PARTITION BY story_key ORDER BY c DESC, event_id) = 1),
-g AS (SELECT story_key, count(DISTINCT source_name) AS outlets, count(DISTINCT source_name) FILTER (mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 1 HOUR) AS outlets_1h, count(*) AS mentions FROM m GROUP BY ALL),
-top AS (SELECT story_key, event_id, events, outlets, outlets_1h, mentions FROM g JOIN l USING (story_key) ORDER BY outlets DESC, outlets_1h DESC, story_key LIMIT 20)
+per_event AS (SELECT event_id, count(*) AS mentions FROM mention WHERE {NOW} GROUP BY event_id),
+keyed AS (SELECT p.event_id, p.mentions, s.site, coalesce({TITLE.format("s.title")}, e.url, e.id::VARCHAR) AS skey FROM per_event p JOIN event e ON e.id = p.event_id LEFT JOIN story s ON s.url = e.url AND s.status = 'ok'),
+top AS (SELECT k.skey, arg_min(k.event_id, (-k.mentions, k.event_id)) AS rep, count(DISTINCT m.source_name) AS outlets,
+  count(DISTINCT m.source_name) FILTER (m.mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 1 HOUR) AS outlets_1h, count(*) AS mentions, count(DISTINCT k.site) AS sites
+  FROM keyed k JOIN mention m ON m.event_id = k.event_id AND {NOW.replace("mentioned_at", "m.mentioned_at")} GROUP BY k.skey ORDER BY outlets DESC, outlets_1h DESC, k.skey LIMIT 20)
 """
 
 
@@ -172,38 +218,45 @@ def a10(spark, d):
     return stories.top_stories(t.mention(spark, d), t.event(spark, d), t.story(spark, d), at(MIDDAY))
 
 
-@query("k02_stories_with_headline", with_("mention event story", STORIES + "SELECT top.*, e.url, e.country, s.title FROM top JOIN event e ON e.id = top.event_id LEFT JOIN story s ON s.url = e.url AND s.status = 'ok'"))
+@query("k02_stories_with_headline", with_("mention event story", STORIES + "SELECT top.*, e.url, e.country, s.title FROM top JOIN event e ON e.id = top.rep LEFT JOIN story s ON s.url = e.url AND s.status = 'ok'"))
 def k02(spark, d):
     e, s = t.event(spark, d), t.story(spark, d)
-    return stories.with_headline(stories.top_stories(t.mention(spark, d), e, s, at(MIDDAY)), e, s).select("story_key", "event_id", "events", "outlets", "outlets_1h", "mentions", "url", "country", "title")
+    return stories.with_headline(stories.top_stories(t.mention(spark, d), e, s, at(MIDDAY)), e, s).select("skey", "rep", "outlets", "outlets_1h", "mentions", "sites", "url", "country", "title")
 
 
 @query("a17_headline_worklist", with_("mention event story", f""",
-a AS (SELECT url, num_sources AS n FROM event WHERE added_at > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR
-  UNION ALL SELECT url, count(DISTINCT source_name) FROM mention m JOIN event e ON m.event_id = e.id WHERE mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR GROUP BY e.id, url),
-b AS (SELECT url, max(n)::BIGINT AS sources FROM a GROUP BY url HAVING max(n) >= 2)
-SELECT url, sources FROM b LEFT JOIN story s USING (url) WHERE s.status IS NULL OR (s.status <> 'ok' AND attempts < 3 AND fetched_at < TIMESTAMP '{MIDDAY}' - INTERVAL 6 HOUR) ORDER BY sources DESC, url LIMIT 500"""))
+u AS (SELECT url, num_sources AS ns FROM event WHERE added_at > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND url IS NOT NULL
+  UNION ALL SELECT e.url, count(DISTINCT m.source_name) FROM mention m JOIN event e ON e.id = m.event_id WHERE m.mentioned_at > TIMESTAMP '{MIDDAY}' - INTERVAL 24 HOUR AND e.url IS NOT NULL GROUP BY e.url),
+b AS (SELECT url, max(ns)::BIGINT AS sources FROM u GROUP BY url)
+SELECT b.url, sources FROM b LEFT JOIN story s ON s.url = b.url WHERE sources >= 2 AND (s.url IS NULL OR (s.status = 'fail' AND s.attempts < 3 AND s.fetched_at < TIMESTAMP '{MIDDAY}' - INTERVAL 6 HOUR))"""))
 def a17(spark, d):
     return stories.headline_worklist(t.event(spark, d), t.mention(spark, d), t.story(spark, d), at(MIDDAY))
 
 
-FORECAST = "forecast AS (SELECT 'run' || (o_orderkey % 3) AS run, n_name AS country, date_trunc('month', o_orderdate)::DATE AS month, o_totalprice AS fatalities, o_totalprice / 1e6 AS p_any FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+#: Runs fetched one after another, the last one not the greatest by name.
+RUNS = [("fatalities002_2024_03_t01", "2024-04-01"), ("fatalities003_2024_01_t02", "2024-05-01"), ("fatalities002_2024_04_t01", "2024-03-01"), ("other_run", "2024-06-01")]
+FORECAST = "forecast AS (SELECT ['fatalities002_2024_03_t01', 'fatalities003_2024_01_t02', 'fatalities002_2024_04_t01'][(o_orderkey % 3 + 1)::INT] AS run, n_name AS country, date_trunc('month', o_orderdate)::DATE AS month, o_totalprice AS fatalities, o_totalprice / 1e6 AS p_any FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
 
-@query("a15_forecast_sum", f"WITH {FORECAST} SELECT country, run, round(sum(fatalities), 2) AS fatalities, max(p_any) AS p_any FROM forecast WHERE run = (SELECT max(run) FROM forecast) AND month >= DATE '1997-01-01' AND month < DATE '1997-04-01' GROUP BY ALL")
+@query("a15_forecast_sum", f"""WITH {FORECAST}, fetch_log(file, fetched_at) AS (VALUES {", ".join(f"('{r}', TIMESTAMP '{at}')" for r, at in RUNS)}),
+latest AS (SELECT file FROM fetch_log WHERE file LIKE 'fatalities%' ORDER BY fetched_at DESC LIMIT 1)
+SELECT c.country, c.run, round(sum(c.fatalities), 2) AS fatalities, max(c.p_any) AS p_any FROM forecast c JOIN latest l ON l.file = c.run WHERE c.month >= DATE '1997-01-01' AND c.month < DATE '1997-01-01' + INTERVAL 3 MONTH GROUP BY ALL""")
 def a15(spark, d):
     o, c, n = (t.table(spark, d, x) for x in ("orders", "customer", "nation"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    f = rows.select(F.concat(F.lit("run"), F.pmod(F.col("o_orderkey"), F.lit(3)).cast("string")).alias("run"), F.col("n_name").alias("country"), F.trunc("o_orderdate", "MM").alias("month"), F.col("o_totalprice").alias("fatalities"), (F.col("o_totalprice") / 1e6).alias("p_any"))
-    return share.forecast_sum(f, F.lit("1997-01-15").cast("date")).withColumn("fatalities", F.round("fatalities", 2))
+    run = F.element_at(F.array(*(F.lit(r) for r, _ in RUNS[:3])), F.pmod(F.col("o_orderkey"), F.lit(3)).cast("int") + 1)
+    f = rows.select(run.alias("run"), F.col("n_name").alias("country"), F.trunc("o_orderdate", "MM").alias("month"), F.col("o_totalprice").alias("fatalities"), (F.col("o_totalprice") / 1e6).alias("p_any"))
+    log = spark.createDataFrame([(5, r, at) for r, at in RUNS], "source_id int, file string, fetched_at string")
+    sources = spark.createDataFrame([(5, "views-forecast")], "id int, name string")
+    return share.forecast_sum(f, log, sources, F.lit("1997-01-15").cast("date"), 3).withColumn("fatalities", F.round("fatalities", 2))
 
 
-@query("f01_norm_title", "SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\s+[-|–—:]\\s+[^-|–—:]{1,60}$', ''), '[^\\p{L}\\p{M}\\p{Nd}\\s]', '', 'g'), '\\s+', ' ', 'g')), '') AS title FROM documents")
+@query("f01_norm_title", f"SELECT doc_id, {TITLE.format('text')} AS title FROM documents")
 def f01(spark, d):
     return t.table(spark, d, "documents").select("doc_id", own.norm_title(F.col("text")).alias("title"))
 
 
-@query("f02_host_suffixes", """WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1), '.') AS h FROM pages)
+@query("f02_host_suffixes", """WITH p AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '.') AS h FROM pages)
 SELECT page_id, array_to_string(h[i:], '.') AS suffix FROM p, unnest(range(1, len(h) + 1)) AS u(i) WHERE array_to_string(h, '.') <> ''""")
 def f02(spark, d):
     p = t.table(spark, d, "pages").select("page_id", own.link_host(F.col("url")).alias("h")).filter("h is not null")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heliograph.functions import all_fields_json
 from heliograph.operators import facts, geo, registry, rollup, upsert
 
 from . import attention
@@ -128,14 +129,14 @@ def a22(spark, d):
     return upsert.seen_and_kept(t.table(spark, d, "events"), F.col("value") > 50, "event_type")
 
 
-@query("a12_source_health", f"""WITH {LOG}, s(id, name, every_s) AS (VALUES (0, 's0', 900), (1, 's1', 86400), (2, 's2', 1036800), (9, 's9', 900)),
-g AS (SELECT source_id, max(fetched_at) AS f, max(fetched_at) FILTER (rows_kept > 0) AS r, count(*) FILTER (fetched_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) AS n, sum(rows_kept) FILTER (fetched_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) AS k FROM fetch_log GROUP BY 1)
-SELECT name, strftime(f, '%Y-%m-%d %H:%M:%S') AS last_fetch, strftime(r, '%Y-%m-%d %H:%M:%S') AS last_data, coalesce(n, 0) AS fetches_24h, coalesce(k, 0)::BIGINT AS rows_24h,
-  epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(date_trunc('second', r), TIMESTAMP '0001-01-01')) > 3 * every_s AS stale FROM s LEFT JOIN g ON s.id = g.source_id""")
+@query("a12_source_health", with_("sources", f""", {LOG}
+SELECT s.name, s.kind, s.enabled, s.expect_every::BIGINT AS expect_every, strftime(max(f.fetched_at), '%Y-%m-%d %H:%M:%S') AS last_fetch, strftime(max(f.fetched_at) FILTER (f.rows_kept > 0), '%Y-%m-%d %H:%M:%S') AS last_rows,
+  count(f.fetched_at) FILTER (f.fetched_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) AS fetches_24h, coalesce(sum(f.rows_kept) FILTER (f.fetched_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY), 0)::BIGINT AS rows_24h,
+  s.enabled AND coalesce(max(f.fetched_at) FILTER (f.rows_kept > 0), TIMESTAMP '0001-01-01') < TIMESTAMP '{AS_OF}' - 3 * s.expect_every * INTERVAL 1 SECOND AS stale
+FROM sources s LEFT JOIN fetch_log f ON f.source_id = s.id GROUP BY s.id, s.name, s.kind, s.enabled, s.expect_every"""))
 def a12(spark, d):
-    s = spark.createDataFrame([(0, "s0", 900), (1, "s1", 86400), (2, "s2", 1036800), (9, "s9", 900)], "id int, name string, every_s long")
-    h = facts.source_health(s, fetch_log(spark, d), at())
-    return h.select("name", stamp("last_fetch").alias("last_fetch"), stamp("last_data").alias("last_data"), "fetches_24h", "rows_24h", "stale")
+    h = facts.source_health(t.sources(spark), fetch_log(spark, d), at())
+    return h.withColumn("last_fetch", stamp("last_fetch")).withColumn("last_rows", stamp("last_rows"))
 
 
 @query("a16_freshness", f"WITH {LOG} SELECT strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') AS newest FROM fetch_log WHERE source_id IN (0, 1)")
@@ -154,10 +155,17 @@ def m06(spark, d):
     return facts.gaps(facts.expected_slots(spark, "2024-01-01 00:00:00", "2024-01-30 00:00:00"), loaded).select(stamp("slot").alias("slot"))
 
 
-@query("s30_unloaded_files", f"WITH {LOG} SELECT DISTINCT source_id, file FROM fetch_log WHERE source_id < 2 AND (source_id, file) NOT IN (SELECT (source_id, file) FROM fetch_log WHERE event_id % 3 = 0)")
+@query("s30_unloaded_files", f"WITH {LOG}, files AS (SELECT DISTINCT source_id, file FROM fetch_log) SELECT source_id, file FROM files WHERE (source_id, file) NOT IN (SELECT (source_id, file) FROM fetch_log WHERE event_id % 3 = 0 AND fetched_at < TIMESTAMP '2024-01-15')")
 def s30(spark, d):
     log = fetch_log(spark, d)
-    return facts.unloaded(log.filter("source_id < 2").select("source_id", "file").distinct(), log.filter("event_id % 3 = 0"))
+    return facts.unloaded(log.select("source_id", "file").distinct(), log.filter((F.col("event_id") % 3 == 0) & (F.col("fetched_at") < at("2024-01-15 00:00:00"))))
+
+
+@query("f24_active_source", with_("sources", "SELECT name, kind FROM sources WHERE enabled AND name IN ('s1', 's3')"))
+def f24(spark, d):
+    """Of two sources by name, the one that is enabled."""
+    s = t.sources(spark)
+    return facts.active_source(s, "s1").unionByName(facts.active_source(s, "s3")).select("name", "kind")
 
 
 ARTICLES = """article AS (SELECT doc_id AS article_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 100) AS added_at, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS themes, source, lang FROM documents),
@@ -204,21 +212,84 @@ def j04(spark, d):
     return registry.match_hosts(t.table(spark, d, "pages").filter(link_host(F.col("url")).isNotNull()), link_host(F.col("url")), ids, known).select("page_id", "outlet")
 
 
-@query("j05_link_join", f"""WITH {HOSTS}, l AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '(https?://[^\\s<>"'')]+)', 1)) AS link FROM pages)
-SELECT page_id, link, name AS outlet FROM l JOIN ids ON lower(regexp_extract(link, '^[A-Za-z]+://([^/:?#]+)', 1)) = value OR lower(regexp_extract(link, '^[A-Za-z]+://([^/:?#]+)', 1)) LIKE '%.' || value""")
+LINK_HOST = "lower(regexp_extract(l.url, '^[A-Za-z]+://([^/:?#]+)', 1))"
+LINKED = f"JOIN ids ON {LINK_HOST} = ids.value OR {LINK_HOST} LIKE '%.' || ids.value"
+
+
+@query("j05_post_links", f"""WITH {HOSTS}, c AS (SELECT DISTINCT lang AS handle FROM documents WHERE lang <> 'de'),
+l AS (SELECT d.lang AS handle, d.doc_id AS post_id, u.url FROM documents d JOIN c ON c.handle = d.lang JOIN (SELECT page_id, unnest([url, 'https://' || upper(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) || '/x', 'mailto:a@b']) AS url FROM pages) u ON u.page_id = d.doc_id)
+SELECT handle, post_id, l.url, ids.name AS outlet FROM l {LINKED}""")
 def j05(spark, d):
+    """Documents as posts of the channel of their language, with the links of the page of their number."""
+    ids, known = outlets(spark, d)
+    host = F.regexp_extract("url", "^[A-Za-z]+://([^/:?#]+)", 1)
+    links = t.table(spark, d, "pages").select(F.col("page_id").alias("post_id"), F.array("url", F.concat(F.lit("https://"), F.upper(host), F.lit("/x")), F.lit("mailto:a@b")).alias("links"))
+    docs = t.table(spark, d, "documents").select(F.col("lang").alias("handle"), F.col("doc_id").alias("post_id"), at().alias("posted_at"))
+    channels = docs.select("handle").distinct().filter("handle <> 'de'")
+    return registry.post_links(docs.join(links, "post_id"), channels, ids, known).select("handle", "post_id", "url", "outlet")
+
+
+@query("j06_description_links", f"""WITH {HOSTS}, l AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '(https?://[^\\s<>"'')]+)', 1)) AS url FROM pages)
+SELECT page_id, l.url, ids.name AS outlet FROM l {LINKED}""")
+def j06(spark, d):
     ids, known = outlets(spark, d)
-    v = t.table(spark, d, "pages").select(F.col("page_id").alias("video_id"), F.concat_ws(" ", "url", "html").alias("description"))
-    return registry.description_links(v, ids, known).select(F.col("video_id").alias("page_id"), "link", "outlet")
+    v = t.table(spark, d, "pages").select(F.col("page_id").alias("video_id"), F.lit("c").alias("channel_id"), F.concat_ws(" ", "url", "html").alias("description"))
+    return registry.description_links(v, v.select("channel_id").distinct(), ids, known).select(F.col("video_id").alias("page_id"), "url", "outlet")
 
 
-@query("a21_silent_hosts", f"WITH {HOSTS} SELECT value FROM ids WHERE value NOT IN (SELECT array_to_string(string_split(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1), '.')[-2:], '.') FROM pages WHERE page_id % 10 = 0)")
+@query("a21_silent_hosts", f"""WITH {HOSTS}, seen AS (SELECT regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1) AS h FROM pages WHERE TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * page_id > TIMESTAMP '2024-01-10' - INTERVAL 7 DAY)
+SELECT value FROM ids WHERE NOT EXISTS (SELECT 1 FROM seen WHERE h = value OR h LIKE '%.' || value)""")
 def a21(spark, d):
+    """Pages came an hour after each other; some hosts had theirs early only."""
     from heliograph.functions import link_host
 
     ids, _ = outlets(spark, d)
-    a = t.table(spark, d, "pages").filter("page_id % 10 = 0").select(link_host(F.col("url")).alias("site"), at().alias("added_at"))
-    return registry.silent_hosts(ids, a, at()).select("value")
+    a = t.table(spark, d, "pages").select(link_host(F.col("url")).alias("site"), (at("2024-01-01 00:00:00") + F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("added_at"))
+    return registry.silent_hosts(ids, a, at("2024-01-10 00:00:00")).select("value")
+
+
+@query("a21_outlets_without_host", f"WITH {HOSTS} SELECT DISTINCT n_name AS name FROM nation WHERE n_name NOT IN (SELECT 'NATION_' || length(value) FROM ids)")
+def a21_outlets(spark, d):
+    """Of an outlet for each nation, those that have no host; an outlet has the hosts of as many letters as its number."""
+    ids, _ = outlets(spark, d)
+    nations = t.table(spark, d, "nation").select(F.lit("x").alias("country"), F.col("n_name").alias("name"))
+    of = ids.select(F.lit("x").alias("country"), F.concat(F.lit("NATION_"), F.length("value").cast("string")).alias("name"), "kind", "value")
+    return registry.without_host(nations, of).select("name").distinct()
+
+
+@query("a21_channel_gaps", """WITH ids AS (SELECT c_name AS name, 'chan_' || c_custkey AS handle, c_custkey % 3 AS p FROM customer), lately AS (SELECT DISTINCT 'chan_' || user_id AS handle FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND ts < TIMESTAMP '2024-01-20')
+SELECT name, handle, CASE WHEN p = 0 THEN 'no preview' ELSE 'no post in 7 days' END AS gap FROM ids WHERE p = 0 OR handle NOT IN (SELECT handle FROM lately)""")
+def a21_channels(spark, d):
+    c = t.table(spark, d, "customer").select(F.lit("x").alias("country"), F.col("c_name").alias("name"), F.concat(F.lit("chan_"), "c_custkey").alias("value"), F.pmod("c_custkey", F.lit(3)).alias("p"))
+    ids = c.withColumn("kind", F.lit("telegram")).unionByName(c.withColumn("value", F.concat("value", F.lit("bot"))).withColumn("kind", F.lit("telegram")))
+    channels = c.select(F.col("value").alias("handle"), F.when(F.col("p") == 0, False).when(F.col("p") == 1, True).alias("preview")).filter("preview is not null")
+    posts = t.table(spark, d, "events").filter(F.col("ts") < at("2024-01-20 00:00:00")).select(F.concat(F.lit("chan_"), "user_id").alias("handle"), F.col("ts").alias("posted_at"))
+    return registry.channel_gaps(ids, channels, posts, at("2024-01-20 00:00:00")).select("name", "handle", "gap")
+
+
+@query("a21_video_gaps", """WITH lately AS (SELECT DISTINCT user_id FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND ts < TIMESTAMP '2024-01-20')
+SELECT c_custkey AS channel_id, CASE WHEN c_custkey % 5 = 0 THEN 'gone: ' || left(c_mktsegment, 60) ELSE 'no upload in 7 days' END AS gap FROM customer WHERE c_custkey % 5 = 0 OR c_custkey NOT IN (SELECT user_id FROM lately)""")
+def a21_videos(spark, d):
+    c = t.table(spark, d, "customer").select(F.lit("x").alias("country"), F.col("c_name").alias("name"), F.col("c_custkey").alias("channel_id"), F.when(F.col("c_custkey") % 5 == 0, "gone").otherwise("live").alias("status"), F.col("c_mktsegment").alias("reason"))
+    v = t.table(spark, d, "events").filter(F.col("ts") < at("2024-01-20 00:00:00")).select(F.col("user_id").alias("channel_id"), F.col("ts").alias("published_at"))
+    return registry.video_gaps(c, v, at("2024-01-20 00:00:00")).select("channel_id", "gap")
+
+
+@query("j21_resolved_outlets", """WITH n AS (SELECT n_nationkey % 5 AS country, n_name AS name, unnest([n_name, 'N' || (n_nationkey % 7)]) AS variant, n_nationkey FROM nation), v AS (SELECT *, variant = name || ' (N' || (n_nationkey % 7) || ')' AS f FROM n),
+c AS (SELECT n_nationkey % 5 AS country, lower(unnest([n_name, 'N' || (n_nationkey % 7)])) AS label, 'Q' || n_nationkey AS qid FROM nation)
+SELECT n.country::VARCHAR AS country, n.name || ' (N' || (n.n_nationkey % 7) || ')' AS name, min(qid) AS qid FROM n JOIN c ON n.country = c.country AND lower(n.variant) = c.label GROUP BY ALL HAVING count(DISTINCT qid) = 1""")
+def j21(spark, d):
+    """Outlets `NATION_3 (N3)`, whose entities are labelled by either name; several with one label resolve nothing."""
+    n = t.table(spark, d, "nation").select(F.pmod("n_nationkey", F.lit(5)).cast("string").alias("country"), "n_name", F.concat(F.lit("N"), F.pmod("n_nationkey", F.lit(7))).alias("short"), F.concat(F.lit("Q"), "n_nationkey").alias("qid"))
+    named = n.select("country", F.concat("n_name", F.lit(" ("), "short", F.lit(")")).alias("name"))
+    return registry.resolve_entities(named, n.select("country", F.explode(F.array("n_name", "short")).alias("label"), "qid"))
+
+
+@query("j22_first_listed", """WITH o AS (SELECT c_nationkey::VARCHAR AS country, c_mktsegment || ' ' || (c_custkey % 3) AS name, lower(c_mktsegment) || (c_custkey % 3) AS key, c_custkey AS priority FROM customer)
+SELECT country, name, priority FROM o QUALIFY row_number() OVER (PARTITION BY country, key ORDER BY priority) = 1""")
+def j22(spark, d):
+    o = t.table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("country"), F.concat("c_mktsegment", F.lit(" "), F.pmod("c_custkey", F.lit(3))).alias("name"), F.col("c_custkey").alias("priority"))
+    return registry.first_listed(o, spark.createDataFrame([], "country string, alias string, name string"))
 
 
 @query("a18_hot_pages", f"""WITH {attention.EDITS}, b AS (SELECT wiki, title, count(DISTINCT user_hash) FILTER (NOT bot) AS editors, bool_or(created) AS created FROM edits WHERE seen_at > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 2 HOUR AND seen_at <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL)
@@ -237,11 +308,60 @@ def j17(spark, d):
     return facts.placed_activity(rollup.page_activity(e), pages).withColumn("hour", stamp("hour"))
 
 
-@query("f22_live", f"SELECT event_id FROM events WHERE (event_type = 'view' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AND json_extract_string(props, '$.k')::DOUBLE >= 55) OR (event_type = 'click' AND json_extract_string(props, '$.k')::INT >= 90)")
+KINDS = ("usgs", "gdacs", "nws", "tsunami", "volcano", "firms", "ioda", "radar", "ucdp", "other")
+#: Properties of every event, by its number and time; dates a little before and after the rules' limits.
+PROPS = {
+    "alert": ("['Green', 'Orange', NULL][(event_id % 3 + 1)::INT]", lambda h: F.element_at(F.array(F.lit("Green"), F.lit("Orange"), F.lit(None)), (F.col("event_id") % 3 + 1).cast("int"))),
+    "severity": ("['Severe', 'Extreme', 'Minor'][(event_id % 3 + 1)::INT]", lambda h: F.element_at(F.array(F.lit("Severe"), F.lit("Extreme"), F.lit("Minor")), (F.col("event_id") % 3 + 1).cast("int"))),
+    "category": ("['Information', 'Warning', NULL][(event_id % 3 + 1)::INT]", lambda h: F.element_at(F.array(F.lit("Information"), F.lit("Warning"), F.lit(None)), (F.col("event_id") % 3 + 1).cast("int"))),
+    "detections": ("event_id % 100", lambda h: F.col("event_id") % 100),
+    "modified": ("strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ')", lambda h: h(1)), "expires": ("strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%SZ')", lambda h: h(9)),
+    "seen": ("strftime(ts + INTERVAL 240 HOUR, '%Y-%m-%dT%H:%M:%SZ')", lambda h: h(240)), "last_seen": ("strftime(ts + INTERVAL 48 HOUR, '%Y-%m-%dT%H:%M:%SZ')", lambda h: h(48)),
+    "end": ("CASE WHEN event_id % 7 > 0 THEN strftime(ts + INTERVAL 24 HOUR, '%Y-%m-%dT%H:%M:%SZ') END", lambda h: F.when(F.col("event_id") % 7 > 0, h(24))),
+}
+
+
+def ground_truth(spark, d):
+    """Events as those of ten kinds of sources, of which every second is not news."""
+    hours = lambda n: F.date_format(F.col("ts") + F.expr(f"interval {n} hours"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = t.table(spark, d, "events")
+    rows = e.select("event_id", F.pmod("event_id", F.lit(20)).cast("int").alias("source_id"), F.concat(F.lit("x"), "event_id").alias("external_id"), F.col("ts").alias("added_at"), F.date_sub(F.to_date("ts"), F.pmod("event_id", F.lit(90)).cast("int")).alias("occurred_on"), F.when(F.col("event_id") % 4 == 2, "y").alias("superseded_by"), all_fields_json(*(f(hours).alias(k) for k, (_, f) in PROPS.items())).alias("props"))
+    sources = spark.createDataFrame([(i, KINDS[i // 2], i % 2 == 1) for i in range(20)], "id int, kind string, attention boolean")
+    return rows.filter(F.col("added_at") <= at(t.MIDDAY)), sources
+
+
+NOW = f"TIMESTAMP '{t.MIDDAY}'"
+LIVE = f"""e AS (SELECT event_id, {list(KINDS)}[((event_id % 20) // 2 + 1)::INT] AS kind, event_id % 2 = 1 AS attention, ts AS added_at, ts::DATE - (event_id % 90)::INT AS occurred_on, CASE WHEN event_id % 4 = 2 THEN 'y' END AS superseded_by,
+  {", ".join(f"{sql} AS {chr(34)}{k}{chr(34)}" for k, (sql, _) in PROPS.items())} FROM events WHERE ts <= {NOW}),
+live AS (SELECT * FROM e WHERE NOT attention AND CASE kind
+  WHEN 'usgs' THEN added_at > {NOW} - INTERVAL 72 HOUR
+  WHEN 'gdacs' THEN coalesce(alert, '') <> 'Green' AND modified::TIMESTAMP > {NOW} - INTERVAL 30 DAY
+  WHEN 'nws' THEN superseded_by IS NULL AND expires::TIMESTAMP > {NOW} AND severity IN ('Severe', 'Extreme')
+  WHEN 'tsunami' THEN category IS DISTINCT FROM 'Information' AND added_at > {NOW} - INTERVAL 24 HOUR
+  WHEN 'volcano' THEN seen::TIMESTAMP > {NOW} - INTERVAL 3 HOUR
+  WHEN 'firms' THEN detections >= 50 AND last_seen::TIMESTAMP > {NOW} - INTERVAL 24 HOUR
+  WHEN 'ioda' THEN "end"::TIMESTAMP > {NOW} - INTERVAL 3 HOUR AND added_at > {NOW} - INTERVAL 48 HOUR
+  WHEN 'radar' THEN coalesce("end"::TIMESTAMP, TIMESTAMP '9999-01-01') > {NOW} - INTERVAL 3 HOUR
+  WHEN 'ucdp' THEN occurred_on > {NOW}::DATE - 60
+  ELSE false END)"""
+
+
+@query("f22_live", f"WITH {LIVE} SELECT event_id, kind FROM live")
 def f22(spark, d):
-    k = facts.prop("k", "int")
-    rules = {"view": lambda now: (F.col("ts") > facts.ago(now, "48 hours")) & (k >= 55), "click": lambda now: k >= 90}
-    return facts.live(t.table(spark, d, "events").withColumn("kind", F.col("event_type")), at(), rules).select("event_id")
+    return facts.live(*ground_truth(spark, d), at(t.MIDDAY)).select("event_id", "kind")
+
+
+@query("f23_newest_live", f"WITH {LIVE} SELECT event_id FROM live WHERE kind <> 'usgs' OR added_at > {NOW} - INTERVAL 24 HOUR ORDER BY added_at DESC, 'x' || event_id LIMIT 5000")
+def f23(spark, d):
+    return facts.newest_live(facts.live(*ground_truth(spark, d), at(t.MIDDAY)), at(t.MIDDAY), hours=24).select("event_id")
+
+
+@query("f16_iso_to_fips", "SELECT c_custkey, CASE WHEN n_regionkey <> 2 THEN n_name END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def f16(spark, d):
+    n = t.table(spark, d, "nation")
+    codes = n.filter("n_regionkey <> 2").select(F.concat(F.lit("I"), "n_nationkey").alias("iso3"), F.col("n_name").alias("fips"))
+    c = t.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("I"), "c_nationkey").alias("iso3"))
+    return facts.to_fips(c, codes, "iso3").select("c_custkey", "country")
 
 
 @query("j14_superseded", "SELECT o.o_orderkey AS k, max_by(x.o_orderkey, (x.o_orderdate, x.o_orderkey)) AS by_k FROM orders o JOIN orders x ON x.o_orderkey IN (o.o_orderkey + 1, o.o_orderkey + 2) GROUP BY 1")
@@ -296,20 +416,25 @@ def a14(spark, d):
     return weighted_centroid(c, "division").select("division", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-NAMES = "names AS (SELECT name, count(*) AS c FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}'))) AS name FROM documents) GROUP BY 1 ORDER BY c DESC, name LIMIT 60), named AS (SELECT lower(name) AS name, min(c)::BIGINT AS place_id FROM names GROUP BY 1)"
+#: Names of one to four words: what documents begin with, of letters of one script and one space between them.
+HEAD = "^([A-Z][A-Za-z]+(?: [A-Za-z]+){%d})(?:[^\\p{L}\\p{N} ]| [^\\p{L}\\p{N}]|$| )"
 
 
-def frequent_names(spark, d):
-    words = t.table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))).alias("name")).groupBy("name").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "name").limit(60)
-    return words.groupBy(F.lower("name").alias("name")).agg(F.min("c").alias("place_id"))
+def head_names(spark, d):
+    heads = F.array(*(F.regexp_extract("text", HEAD % n, 1) for n in range(4)))
+    return t.table(spark, d, "documents").select(F.explode(heads).alias("name")).filter("name <> ''").distinct().withColumn("place_id", F.xxhash64("name"))
 
 
-@query("j19_gazetteer_match", f"WITH {NAMES}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS name FROM documents) SELECT doc_id, place_id, count(*) AS hits FROM w JOIN named USING (name) GROUP BY ALL")
+@query("j19_gazetteer_match", """WITH names AS (SELECT DISTINCT unnest([""" + ", ".join(f"regexp_extract(text, '{HEAD % n}', 1)" for n in range(4)) + """]) AS name FROM documents), named AS (SELECT name FROM names WHERE name <> ''),
+every AS (SELECT '(?:^|[^\\p{L}\\p{N}])(' || string_agg(replace(name, ' ', '  '), '|' ORDER BY length(name) DESC, name) || ')(?:[^\\p{L}\\p{N}]|$)' AS p FROM named),
+m AS (SELECT doc_id, replace(unnest(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}])', '\\1\\1', 'g'), p, 1)), '  ', ' ') AS name FROM documents, every)
+SELECT doc_id, name, count(*) AS hits FROM m GROUP BY ALL""")
 def j19(spark, d):
-    from heliograph.operators.gazetteer import match_ngrams
+    from heliograph.operators.gazetteer import match_names
 
+    names = head_names(spark, d)
     texts = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return match_ngrams(texts, frequent_names(spark, d), 1).groupBy(F.col("id").alias("doc_id"), "place_id").agg(F.count("*").alias("hits"))
+    return match_names(texts, names).join(names, "place_id").groupBy(F.col("id").alias("doc_id"), "name").agg(F.count("*").alias("hits"))
 
 
 @query("j20_name_to_place", "SELECT c_mktsegment AS name, c_custkey AS place_id FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey % 3, c_acctbal DESC, c_custkey) = 1")
@@ -339,14 +464,17 @@ def j18(spark, d):
     return chatter_countries(posts, places).withColumn("hour", stamp("hour"))
 
 
-@query("a20_stop_names", f"""WITH {NAMES}, w AS (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM documents),
-g AS (SELECT n.name, count(*) FILTER (tok = n.name) AS cap, count(*) FILTER (tok <> n.name AND tok = lower(n.name)) AS low FROM names n JOIN w ON lower(n.name) = lower(tok) GROUP BY 1)
+NAMES = "names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name FROM documents)"
+
+
+@query("a20_stop_names", f"""WITH {NAMES}, w AS (SELECT tok, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM documents) GROUP BY tok),
+g AS (SELECT n.name, coalesce(sum(w.n) FILTER (tok = n.name), 0)::BIGINT AS cap, coalesce(sum(w.n) FILTER (tok <> n.name AND tok = lower(n.name)), 0)::BIGINT AS low FROM names n JOIN w ON lower(n.name) = lower(tok) GROUP BY 1)
 SELECT name, cap, low FROM g WHERE low >= greatest(cap, 1) AND low + cap >= 3""")
 def a20(spark, d):
     from heliograph.operators.gazetteer import stop_names
 
-    words = t.table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))).alias("name")).groupBy("name").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "name").limit(60)
-    return stop_names(t.table(spark, d, "documents").select("text"), words.select("name"))
+    docs = t.table(spark, d, "documents").select("text")
+    return stop_names(docs, docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("name")).distinct())
 
 
 @query("u11_due_days", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < DATE '2001-08-01' - INTERVAL 35 DAY")

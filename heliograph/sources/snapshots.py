@@ -35,7 +35,7 @@ def quakes(spark: SparkSession, path: str) -> DataFrame:
     """Quakes of feature collections; without magnitude or place they are none."""
     ddl = "features array<struct<id: string, properties: struct<mag: double, place: string, time: long, updated: long, url: string, alert: string, tsunami: int, sig: int, title: string>, geometry: struct<coordinates: array<double>>>>"
     f = json_file(spark, path, ddl).select(F.explode("features").alias("f")).select("f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("c")).filter((F.size("c") >= 2) & F.col("mag").isNotNull())
-    e = f.select(F.col("id").alias("external_id"), F.timestamp_millis("time").alias("added_at"), F.col("title").alias("geo_name"), F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"), "url", all_fields_json("mag", F.get("c", F.lit(2)).alias("depth"), "place", "alert", "tsunami", "sig", "updated").alias("props"), "updated")
+    e = f.select(F.col("id").alias("external_id"), F.timestamp_millis("time").alias("added_at"), F.col("place").alias("geo_name"), F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"), "url", all_fields_json(F.lit("earthquake").alias("kind"), "title", "mag", F.get("c", F.lit(2)).alias("depth_km"), "alert", F.coalesce(F.col("tsunami") != 0, F.lit(False)).alias("tsunami"), "sig", F.timestamp_millis("updated").alias("updated")).alias("props"), "updated")
     return as_events(latest(e, "external_id", "updated"))
 
 
@@ -50,8 +50,8 @@ def disasters(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.format("xml").option("rowTag", "item").option("valueTag", "txt").schema(ddl).load(path)
     g = lambda c: F.col(f"`gdacs:{c}`")
     point = F.split(F.trim(F.col("`georss:point`")), "\\s+")
-    e = r.select(F.concat(g("eventtype"), g("eventid")).alias("external_id"), F.coalesce(rfc_time(g("dateadded")), rfc_time(F.col("pubDate"))).alias("added_at"), F.col("title").alias("geo_name"), F.get(point, F.lit(1)).try_cast("double").alias("lon"), F.get(point, F.lit(0)).try_cast("double").alias("lat"), F.col("link").alias("url"), all_fields_json(g("alertlevel").alias("alert_level"), g("alertscore").alias("score"), F.lower(g("iscurrent")).alias("is_current"), g("episodeid").alias("episode"), g("iso3").alias("iso3"), g("severity")["_value"].alias("severity")).alias("props"), rfc_time(g("datemodified")).alias("changed"))
-    return as_events(latest(e.filter("external_id is not null and lon is not null and lat is not null"), "external_id", F.coalesce("changed", "added_at")))
+    e = r.select(F.concat(g("eventtype"), g("eventid")).alias("external_id"), F.coalesce(rfc_time(g("dateadded")), rfc_time(F.col("pubDate"))).alias("added_at"), F.to_date(F.coalesce(rfc_time(g("fromdate")), rfc_time(g("dateadded")), rfc_time(F.col("pubDate")))).alias("occurred_on"), empty_to_null(g("country")).alias("geo_name"), F.get(point, F.lit(1)).try_cast("double").alias("lon"), F.get(point, F.lit(0)).try_cast("double").alias("lat"), F.col("link").alias("url"), all_fields_json(g("eventtype").alias("event_type"), "title", g("alertlevel").alias("alert"), g("alertscore").alias("alert_score"), g("episodeid").alias("episode"), g("iso3").alias("iso3"), g("severity")["txt"].alias("severity"), g("severity")["_value"].alias("severity_value"), (g("iscurrent") == "true").alias("current"), F.coalesce(rfc_time(g("datemodified")), rfc_time(g("dateadded")), rfc_time(F.col("pubDate"))).alias("modified")).alias("props"), rfc_time(g("datemodified")).alias("changed"))
+    return as_events(latest(e.filter("external_id is not null and added_at is not null and lon is not null and lat is not null"), "external_id", F.coalesce("changed", "added_at")))
 
 
 def weather_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -117,13 +117,13 @@ def placed_codes(rows: DataFrame, codes: DataFrame, points: DataFrame) -> DataFr
 def release_order(name: Column) -> Column:
     """When a conflict file's data end: a monthly release counts after one that unites the months up to it."""
     many, month = F.regexp_extract_all(name, F.lit("(\\d+)"), F.lit(1)), F.regexp_extract(name, "v(\\d+)_0_(\\d+)", 2)
-    year = F.regexp_extract(name, "v(\\d+)_", 1).cast("int")
-    return F.when(month != "", F.struct(year.alias("year"), month.try_cast("int").alias("month"), F.lit(1).alias("monthly"))).otherwise(F.struct(year.alias("year"), F.element_at(many, -1).try_cast("int").alias("month"), F.lit(0).alias("monthly")))
+    year = F.regexp_extract(name, "v(\\d+)_", 1).try_cast("int")
+    return F.when(month != "", F.struct(year.alias("year"), month.try_cast("int").alias("month"), F.lit(1).alias("monthly"))).otherwise(F.struct(year.alias("year"), F.try_element_at(many, F.lit(-1)).try_cast("int").alias("month"), F.lit(0).alias("monthly")))
 
 
 def conflicts(spark: SparkSession, path: str) -> DataFrame:
     """Conflict events of all releases, the latest release of each; without id or place they are none."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("release", F.regexp_extract(F.col("_metadata.file_name"), "(v[0-9_]+[0-9])", 1))
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("release", F.regexp_extract(F.col("_metadata.file_path"), "GED[A-Za-z]*_(v[0-9]+(?:_[0-9]+)+)", 1))
     n = lambda c: F.col(c).try_cast("double")
     e = r.select(F.col("id").alias("external_id"), F.try_to_timestamp(F.substring("date_start", 1, 10), F.lit("yyyy-MM-dd")).alias("added_at"), F.col("where_coordinates").alias("geo_name"), n("longitude").alias("lon"), n("latitude").alias("lat"), all_fields_json(F.coalesce(n("best"), F.lit(0.0)).cast("int").alias("best"), n("high").cast("int").alias("high"), n("low").cast("int").alias("low"), "side_a", "side_b", "conflict_name").alias("props"), release_order(F.col("release")).alias("o"))
     return as_events(latest(e.filter("external_id is not null and lon is not null and lat is not null"), "external_id", "o"))
@@ -161,7 +161,7 @@ def post_rows(messages: DataFrame) -> DataFrame:
 
 def channel_posts(pages: DataFrame) -> DataFrame:
     """Posts of channel preview pages (handle, html), oldest first within a page: a post begins at its data-post mark."""
-    blocks = F.slice(F.split("html", "data-post=\""), 2, 10_000)
+    blocks = F.filter(F.split("html", "data-post=\""), lambda _, i: i > 0)
     p = pages.select("handle", F.explode(blocks).alias("b"))
     first = lambda pattern: empty_to_null(F.regexp_extract("b", pattern, 1))
     body = F.regexp_extract("b", "(?s)class=\"[^\"]*message_text[^\"]*\"[^>]*>(.*?)</div>", 1)

@@ -34,15 +34,14 @@ def hourly_editors(rows: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def place_hits(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """Posts that name a place: (at, uri, place_id), a place once a post. names is read anew each micro-batch."""
-    posts = snapshots.post_rows(messages).filter("op = 'create' and text is not null")
-    known = names.select(F.lower("name").alias("name"), "place_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
-    return posts.select("at", "uri", F.explode(words).alias("name")).join(known, "name").select("at", "uri", "place_id")
+    """Posts that name a place: (at, uri, place_id), a place once a post; of a batch, or of a micro-batch (see `post_batches`)."""
+    posts = snapshots.post_rows(messages).filter("op = 'create' and text is not null").dropDuplicates(["uri"])
+    hits = gazetteer.match_names(posts.select(F.col("uri").alias("id"), "text"), names).select(F.col("id").alias("uri"), "place_id").distinct()
+    return posts.select("at", "uri").join(hits, "uri").select("at", "uri", "place_id")
 
 
 def five_minute_counts(hits: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Posts per place and five minutes, updated as they come."""
+    """Posts per place and five minutes; of a stream, updated as they come."""
     return hits.withWatermark("at", late).groupBy(F.window("at", "5 minutes").alias("w"), "place_id").agg(F.count("*").alias("posts")).select(F.col("w.start").alias("bucket"), "place_id", "posts")
 
 
@@ -78,6 +77,33 @@ def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
 
 
+def post_batches(names: DataFrame, folder: str):
+    """For foreachBatch over messages: each micro-batch's place counts of five minutes, its pointers and its deleted posts, each
+    in a folder of the batch's own, so that a repeated batch replaces itself. names is read anew each time."""
+
+    def write(messages: DataFrame, batch_id: int) -> None:
+        messages = messages.persist()
+        hits = place_hits(messages, names).persist()
+        put = lambda rows, kind: rows.write.mode("overwrite").parquet(f"{folder}/{kind}/batch={batch_id}")
+        put(five_minute_counts(hits), "counts")
+        put(hits, "pointers")
+        put(snapshots.post_rows(messages).filter("op = 'delete'").select("uri", "at"), "deleted")
+        hits.unpersist()
+        messages.unpersist()
+
+    return write
+
+
+def added_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts per place and five minutes over all batches; deleted posts still count."""
+    return spark.read.parquet(f"{folder}/counts").groupBy("bucket", "place_id").agg(F.sum("posts").alias("posts"))
+
+
+def live_pointers(spark: SparkSession, folder: str, most: int = 20) -> DataFrame:
+    """The first posts of each place and hour over all batches, without those deleted since."""
+    return pointers(spark.read.parquet(f"{folder}/pointers").select("at", "uri", "place_id"), spark.read.parquet(f"{folder}/deleted"), most)
+
+
 def pointers(hits: DataFrame, deleted: DataFrame, most: int = 20) -> DataFrame:
     """The first posts of each place and hour without the deleted ones; counts are never taken back."""
     return gazetteer.first_pointers(hits, most).join(deleted.select("uri"), "uri", "left_anti")

@@ -1,48 +1,91 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from heliograph import functions as own
 from heliograph import streaming
 from heliograph.operators import archive, facts, gazetteer, registry, rollup
 from heliograph.sources import files, snapshots
 
 
-def test_trie_matches_scripts():
-    root = gazetteer.trie({"Lviv": 1, "New York": 2, "York": 3, "北京": 4, "東京": 5, "القاهرة": 6})
-    find = lambda t: [m[0] for m in gazetteer.found(root, t)]
-    assert find("In Lviv, New York and York") == [1, 2, 3]
-    assert find("Lvivska") == [] and find("_Lviv_") == [1]
-    assert find("我在北京和東京。") == [4, 5] and find("في القاهرة اليوم") == [6]
+NAMES = {"Lviv": 1, "New York": 2, "York": 3, "北京": 4, "東京": 5, "القاهرة": 6, "New York City Hall": 7, "City": 8, "ประเทศไทย": 9, "St. John's": 10, "Washington D.C.": 11, "京都": 12, "東京都": 13}
 
 
-def test_ngrams_leftmost_longest(spark):
-    texts = spark.createDataFrame([(1, "From New York City to York")], "id long, text string")
-    names = spark.createDataFrame([("new york", 2), ("york", 3), ("york city", 4)], "name string, place_id long")
-    assert sorted(r.place_id for r in gazetteer.match_ngrams(texts, names).collect()) == [2, 3]
-    trie = gazetteer.match_trie(texts, names.withColumn("name", F.initcap("name")))
-    assert sorted(r.place_id for r in trie.collect()) == [2, 3]
+def spaced(c):
+    return not ("฀" <= c <= "๿" or "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿")
+
+
+def naive_match(text):
+    """Every name at every place, with boundaries where scripts have them; then leftmost and longest."""
+    hits = []
+    for name, place in NAMES.items():
+        at = text.find(name)
+        while at >= 0:
+            before, after = text[at - 1 : at] if at else " ", text[at + len(name) : at + len(name) + 1] or " "
+            if not spaced(name[0]) or not (before.isalnum() or after.isalnum()):
+                hits.append((at, -len(name), place))
+            at = text.find(name, at + 1)
+    out, free = [], 0
+    for start, less, place in sorted(hits):
+        if start >= free:
+            out.append(place)
+            free = start - less
+    return sorted(out)
+
+
+def test_names_in_texts(spark):
+    texts = ["In Lviv, New York and York", "Lvivska _Lviv_ lviv", "我在北京和東京。東京都京都", "في القاهرة اليوم", "New York City Hall, New York City", "", None, "in St. John's; Washington D.C. or Washington D.C", "ในประเทศไทย", "York City York", "Lviv", "New  York New\nYork", "北京Lviv 京都X", "Lviv " * 400, "New York " * 300 + "City Hall"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    names = spark.createDataFrame(list(NAMES.items()), "name string, place_id long")
+    got = {}
+    for r in gazetteer.match_names(rows, names).collect():
+        got.setdefault(r.id, []).append(r.place_id)
+    want = {i: m for i, x in enumerate(texts) if x and (m := naive_match(x))}
+    assert {i: sorted(m) for i, m in got.items()} == want and want[4] == [2, 7, 8] and len(want[13]) == 400
+    assert gazetteer.match_names(rows.limit(0), names).count() == 0 and gazetteer.match_names(rows, names.limit(0)).count() == 0
+
+
+def test_usable_names(spark):
+    names = [("Nice", True, True), ("nice", True, False), ("BBC", False, False), ("BBC", True, True), ("Ur", True, False), ("京", True, False), ("北京", True, True), ("ライ", True, False), ("ライン", True, True), ("Area 51", True, False), ("'s-Gravenhage", True, False), ("القاهرة", True, True), ("  Bern ", True, True), ("", True, False)]
+    d = spark.createDataFrame([(n, p) for n, p, _ in names], "name string, main boolean")
+    assert [r[0] for r in d.select(own.usable_name(F.col("name"), F.col("main"))).collect()] == [w for *_, w in names]
+
+
+def test_functions(spark):
+    d = spark.createDataFrame([("Flood hits town - Site A", "A.News.CN", "Xin (New China)"), ("One | X", "b", "Xin (New) rest"), ("Two - " + "s" * 41, "c", "(New)")], "t string, h string, n string")
+    r = d.select(own.norm_title(F.col("t")), own.host_suffixes(F.col("h")), own.name_variants(F.col("n"))).collect()
+    assert [x[0] for x in r] == ["flood hits town", "one x", "two " + "s" * 41]
+    assert r[0][1] == ["a.news.cn", "news.cn", "cn"]
+    assert [x[2] for x in r] == [["Xin (New China)", "Xin", "New China"], ["Xin (New) rest"], ["(New)", "New"]]
+    codes = spark.createDataFrame([("20", 4), ("99", 9)], "c string, q int")
+    assert [tuple(x) for x in codes.select(own.legend(F.col("c"), own.EVENT_ROOTS), own.legend(F.col("q"), own.QUAD_CLASSES)).collect()] == [("use unconventional mass violence", "material conflict"), (None, None)]
 
 
 def test_archive(spark, tmp_path):
-    ddl = "id long, added_at timestamp, source_kind string"
+    ddl = "id long, added_at timestamp, source_id int"
     now = F.lit(datetime(2026, 9, 20, 12))
-    rows = spark.createDataFrame([(1, datetime(2026, 7, 1, 6, 30), "file"), (2, datetime(2026, 9, 19), "file"), (3, datetime(2026, 7, 1), "feed"), (4, None, "file")], ddl)
+    rows = spark.createDataFrame([(1, datetime(2026, 7, 1, 6, 30), 1), (2, datetime(2026, 9, 19), 1), (3, datetime(2026, 7, 1), 0), (4, None, 1)], ddl)
+    keep = spark.createDataFrame([(0,)], "source_id int")
     p = archive.POLICIES[0]
-    hot, n = archive.archive_slice(rows, str(tmp_path), p, now)
+    hot, n = archive.archive_slice(rows, str(tmp_path), p, now, keep=keep)
     assert n == 1 and {r.id for r in hot.collect()} == {2, 3, 4}
-    late = spark.createDataFrame([(5, datetime(2026, 7, 1, 7), "file")], ddl)
+    late = spark.createDataFrame([(5, datetime(2026, 7, 1, 7), 1)], ddl)
     archive.archive_slice(late, str(tmp_path), p, now)
     assert len(list((tmp_path / "event" / "day=2026-07-01").glob("*.parquet"))) == 2
     q = archive.archive_query(spark, "SELECT id FROM event", str(tmp_path), ["event", "none"])
     assert {r.id for r in q.collect()} == {1, 5}
     with pytest.raises(archive.ShortArchive):
         archive.archive_slice(late, str(tmp_path), p, now, count=lambda d: 0)
-    hot, done, failed = archive.archive_all({"event": rows, "mention_hourly": rows.drop("added_at")}, str(tmp_path / "x"), now)
+    # What could not be read back is taken away again.
+    assert len(list((tmp_path / "event" / "day=2026-07-01").glob("*.parquet"))) == 2
+    source = spark.createDataFrame([(0, "gdacs-alerts"), (1, "x")], "id int, name string")
+    hot, done, failed = archive.archive_all({"event": rows, "mention_hourly": rows.drop("added_at"), "source": source}, str(tmp_path / "x"), now)
     assert done == {"event": 1} and list(failed) == ["mention_hourly"] and hot["mention_hourly"].count() == 4
     assert archive.archive_all({"event": rows}, None, now)[1] == {}
     assert archive.same_rows(rows, rows) and not archive.same_rows(rows, late)
+    assert {p.table: p.days for p in archive.POLICIES} == {"event": 60, "theme_hourly": 7, "mention_hourly": 7, "attention_hourly": 35, "wiki_activity": 30, "chatter_hourly": 30, "gkg_article": 30, "gkg_location": 30, "firms_detection": 30, "theme_daily": 7}
 
 
 def message(i, user, bot=False, kind="edit", ns=0, minute=0):
@@ -70,16 +113,19 @@ def test_post_stream_counts(spark, tmp_path):
     land.mkdir()
     post = lambda k, text, op="create", s=0: json.dumps({"did": "d", "time_us": (1790000000 + s) * 1_000_000, "kind": "commit", "commit": {"collection": "app.bsky.feed.post", "operation": op, "rkey": k, "record": {"text": text}}})
     (land / "1.json").write_text("\n".join([post("1", "Lviv Lviv"), post("2", "in Lviv"), post("3", "nothing"), post("1", "", "delete"), post("4", "Lviv", s=600)]) + "\n")
-    names = spark.createDataFrame([("Lviv", 7)], "name string, place_id long")
-    hits = streaming.place_hits(streaming.lines(spark, str(land)), names)
-    streaming.run_once(streaming.five_minute_counts(hits), "", str(tmp_path / "c"), streaming.replacing(str(tmp_path / "counts"), ["bucket", "place_id"]), "update")
-    got = streaming.current(spark, str(tmp_path / "counts"), ["bucket", "place_id"])
-    assert sorted(r.posts for r in got.collect()) == [1, 2]
+    names = spark.createDataFrame([("Lviv", 7), ("New York", 8), ("York", 9)], "name string, place_id long")
+    (land / "2.json").write_text("\n".join([post("5", "New York", s=60), post("4", "", "delete", s=900)]) + "\n")
+    out, cp = str(tmp_path / "places"), str(tmp_path / "c")
+    for _ in range(2):  # the second time nothing is new
+        streaming.run_once(streaming.lines(spark, str(land), 1), "", cp, streaming.post_batches(names, out))
+    got = {(r.bucket.minute // 5 * 5, r.place_id): r.posts for r in streaming.added_counts(spark, out).collect()}
     every = streaming.place_hits(spark.read.text(str(land)), names)
-    gone = snapshots.post_rows(spark.read.text(str(land))).filter("op = 'delete'")
-    assert {r.uri[-1] for r in streaming.pointers(every, gone).collect()} == {"2", "4"}
+    want = {(r.bucket.minute // 5 * 5, r.place_id): r.posts for r in streaming.five_minute_counts(every).collect()}
+    assert got == want and sorted(got.values()) == [1, 1, 2] and {k[1] for k in got} == {7, 8}
+    assert {r.uri[-1] for r in streaming.live_pointers(spark, out).collect()} == {"2", "5"}
+    hits = spark.readStream.schema("at timestamp, uri string, place_id long").parquet(f"{out}/pointers")
     streaming.run_once(streaming.first_pointers(hits, 1), str(tmp_path / "ptr"), str(tmp_path / "c2"))
-    assert spark.read.parquet(str(tmp_path / "ptr")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "ptr")).count() == 2
 
 
 def test_registry(spark):
@@ -97,11 +143,29 @@ def test_registry(spark):
         registry.assert_known(spark.createDataFrame([("CN", "No")], "country string, name string"), outlets)
 
 
-def test_live_rules(spark):
-    now = F.lit("2026-09-20 12:00:00").cast("timestamp_ntz")
-    rows = [("quake", "1", datetime(2026, 9, 20), '{"mag": 6.1}', None), ("quake", "2", datetime(2026, 9, 20), '{"mag": 4}', None), ("weather", "3", datetime(2026, 9, 20), '{"severity": "Severe", "expires": "2026-09-21 00:00:00", "message_type": "Alert"}', None), ("weather", "4", datetime(2026, 9, 20), '{"severity": "Severe", "expires": "2026-09-21 00:00:00"}', "3"), ("what", "5", datetime(2026, 9, 20), "{}", None), ("outage_note", "6", datetime(2026, 9, 20), '{"end": null}', None)]
-    e = spark.createDataFrame(rows, "kind string, external_id string, added_at timestamp_ntz, props string, superseded_by string")
-    assert {r.external_id for r in facts.live(e, now).collect()} == {"1", "3", "6"}
+def test_live_rules_on_both_sides_of_their_limits(spark):
+    now = datetime(2026, 9, 20, 12)
+    ago = lambda h: now - timedelta(hours=h)
+    iso = lambda t: t.isoformat() + "+00:00"
+    cases = [
+        ("usgs", ago(71), {}, True), ("usgs", ago(73), {}, False),
+        ("gdacs", ago(9999), {"alert": "Orange", "modified": iso(ago(719))}, True), ("gdacs", ago(1), {"modified": iso(ago(1))}, True), ("gdacs", ago(1), {"alert": "Green", "modified": iso(ago(1))}, False), ("gdacs", ago(1), {"alert": "Red", "modified": iso(ago(721))}, False),
+        ("nws", ago(1), {"severity": "Severe", "expires": "2026-09-20T14:00:01+02:00"}, True), ("nws", ago(1), {"severity": "Severe", "expires": "2026-09-20T13:59:59+02:00"}, False), ("nws", ago(1), {"severity": "Minor", "expires": iso(ago(-1))}, False),
+        ("tsunami", ago(23), {"category": "Warning"}, True), ("tsunami", ago(23), {}, True), ("tsunami", ago(23), {"category": "Information"}, False), ("tsunami", ago(25), {"category": "Warning"}, False),
+        ("volcano", ago(9999), {"seen": iso(ago(2.9))}, True), ("volcano", ago(1), {"seen": iso(ago(3.1))}, False),
+        ("firms", ago(99), {"detections": 50, "last_seen": iso(ago(23))}, True), ("firms", ago(99), {"detections": 49, "last_seen": iso(ago(1))}, False), ("firms", ago(1), {"detections": 60, "last_seen": iso(ago(25))}, False),
+        ("ioda", ago(47), {"end": iso(ago(2.9))}, True), ("ioda", ago(47), {"end": iso(ago(3.1))}, False), ("ioda", ago(49), {"end": iso(now)}, False),
+        ("radar", ago(9999), {"end": None}, True), ("radar", ago(9999), {"end": iso(ago(2.9))}, True), ("radar", ago(1), {"end": iso(ago(3.1))}, False),
+        ("ucdp", ago(24 * 59), {}, True), ("ucdp", ago(24 * 60), {}, False), ("what", ago(1), {}, False),
+    ]
+    kinds = sorted({k for k, *_ in cases})
+    rows = [(str(i), kinds.index(k), t, t.date(), json.dumps(p), None) for i, (k, t, p, _) in enumerate(cases)] + [("gone", kinds.index("nws"), ago(1), now.date(), json.dumps(cases[6][2]), "x"), ("news", 99, ago(1), now.date(), "{}", None)]
+    e = spark.createDataFrame(rows, "external_id string, source_id int, added_at timestamp, occurred_on date, props string, superseded_by string")
+    sources = spark.createDataFrame([(i, k, False) for i, k in enumerate(kinds)] + [(99, "usgs", True)], "id int, kind string, attention boolean")
+    live = facts.live(e, sources, F.lit(now))
+    assert {r.external_id for r in live.collect()} == {str(i) for i, (*_, good) in enumerate(cases) if good}
+    assert facts.newest_live(live, F.lit(now), hours=1).filter("kind = 'usgs'").count() == 0
+    assert [r.external_id for r in facts.newest_live(live, F.lit(now), limit=2).collect()] == ["3", "6"]
 
 
 def event_line(i, geo_type="4", lat="1.5", lon="2.5", country="FR", day="20260920", width=61):
@@ -148,7 +212,7 @@ def test_snapshots(spark, tmp_path):
     assert [(x.external_id, x.lon, x.country) for x in r] == [("q1", 1.0, "")] and json.loads(r[0].props)["alert"] is None
     rss = """<rss xmlns:gdacs="g" xmlns:georss="r"><channel><item><title>T</title><link>l</link><pubDate>Sun, 20 Sep 2026 10:00:00 GMT</pubDate><gdacs:eventtype>EQ</gdacs:eventtype><gdacs:eventid>7</gdacs:eventid><gdacs:alertlevel>Orange</gdacs:alertlevel><gdacs:iscurrent>true</gdacs:iscurrent><gdacs:severity unit="M" value="6.1">Magnitude</gdacs:severity><georss:point>10.5 20.5</georss:point></item></channel></rss>"""
     r = snapshots.disasters(spark, put("g.xml", rss)).first()
-    assert (r.external_id, r.lat, r.lon) == ("EQ7", 10.5, 20.5) and json.loads(r.props)["alert_level"] == "Orange"
+    assert (r.external_id, r.lat, r.lon) == ("EQ7", 10.5, 20.5) and json.loads(r.props)["alert"] == "Orange" and json.loads(r.props)["severity_value"] == 6.1
     atom = """<feed xmlns:geo="g"><entry><id>t1</id><title>T</title><updated>2026-09-20T10:00:00Z</updated><geo:lat>1</geo:lat><geo:long>2</geo:long><summary><div><b>Category:</b> Warning<br/><b>Preliminary Magnitude:</b> 7.1(Mw)</div></summary></entry></feed>"""
     r = snapshots.tsunami_bulletins(spark, put("t.xml", atom)).first()
     assert json.loads(r.props) == {"category": "Warning", "magnitude": 7.1}

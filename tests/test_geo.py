@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from datetime import datetime, timedelta
@@ -56,7 +57,26 @@ def test_fires(spark):
     later = spark.createDataFrame([(4, 10.0, 39.9937, T + timedelta(hours=24), 1.0, "low", None)], ddl)
     every, touched = geo.track_fires(every, later.drop("fire_id"), fires.select("fire_id", "hull", "last_seen"))
     r = touched.collect()
-    assert len(r) == 1 and r[0].detections == 3 and r[0].fire_id == 1
+    assert len(r) == 1 and r[0].detections == 3 and r[0].fire_id == 1 and r[0].high_conf == 1
+    e = geo.fire_events(touched, F.lit(T + timedelta(hours=30))).collect()
+    assert [x.external_id for x in e] == ["firms:1"] and json.loads(e[0].props)["detections"] == 3
+    assert geo.fire_events(touched, F.lit(T + timedelta(hours=24 + 97))).count() == 0
+    _, none_touched = geo.track_fires(every, later.drop("fire_id").limit(0), fires.select("fire_id", "hull", "last_seen"))
+    assert none_touched.count() == 0
+
+
+def test_nearest_against_brute_force(spark):
+    rnd = random.Random(8)
+    points = [(i, rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for i in range(40)] + [(98, 179.9, 0.0), (99, 10.0, 89.9)]
+    places = [(i, rnd.uniform(-180, 180), rnd.uniform(-80, 80)) for i in range(60)] + [(i, 10 + i / 1000, 40.0) for i in range(60, 70)] + [(70, -179.9, 0.0)]
+    km = lambda a, b: 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)))
+    ddl = "id long, lon double, lat double"
+    got = geo.nearest(spark.createDataFrame(points, ddl), spark.createDataFrame(places, ddl), 3).collect()
+    assert len(got) == 3 * len(points)
+    found = {(r.id, r.n): r.place_id for r in got}
+    for p in points:
+        assert [found[p[0], n] for n in (1, 2, 3)] == [q[0] for q in sorted(places, key=lambda q: (km(p, q), q[0]))[:3]]
+    assert geo.nearest(spark.createDataFrame(points, ddl), spark.createDataFrame(places[:2], ddl), 3).count() == 2 * len(points)
 
 
 def test_hull_and_inner_point(spark):
@@ -65,13 +85,18 @@ def test_hull_and_inner_point(spark):
     assert len(got["a"].hull) == 4 and got["b"].area_km2 == 0
     assert abs(got["a"].area_km2 / (4 * 111.195) ** 2 - 1) < 0.01
     u = [ring((0, 0), (10, 0), (10, 10), (8, 10), (8, 2), (2, 2), (2, 10), (0, 10))]
-    q = spark.createDataFrame([(1, [u])], f"id long, s {geo.SHAPE}").select(geo.inner_point("s").alias("p"), F.col("s")[0].alias("r"))
-    assert q.select(geo.in_polygon(F.col("p.x"), F.col("p.y"), "r")).first()[0]
+    q = spark.createDataFrame([(1, [u])], f"id long, s {geo.SHAPE}").select(geo.inner_point(F.col("s")).alias("p"), F.col("s")[0].alias("r"))
+    assert q.select(geo.inside(F.col("p.x"), F.col("p.y"), geo.edges_of(F.col("r")))).first()[0]
+    small, large = [ring((0, 0), (1, 0), (1.2, 0.5), (1, 1), (0.5, 1.2), (0, 1))], [ring((50, 50), (60, 50), (55, 60))]
+    x = spark.createDataFrame([(1, [small, large])], f"id long, s {geo.SHAPE}").select(geo.inner_point(F.col("s")).alias("p")).first().p.x
+    assert 50 < x < 60
 
 
 def test_alerts_are_placed(spark):
     box = [[ring((0, 0), (1, 0), (1, 1), (0, 1))]]
-    a = spark.createDataFrame([("x", box, []), ("y", None, ["z1"]), ("z", None, ["none"])], f"external_id string, geom {geo.SHAPE}, zones array<string>")
-    z = spark.createDataFrame([("z1", box)], f"url string, geom {geo.SHAPE}")
-    got = geo.place_alerts(a, z).collect()
-    assert {r.external_id for r in got} == {"x", "y"} and all(0 < r.lon < 1 and 0 < r.lat < 1 for r in got)
+    a = spark.createDataFrame([("x", box, []), ("y", None, ["z1"]), ("z", None, ["none"]), ("w", None, ["z1", "z2"])], f"external_id string, geom {geo.SHAPE}, zones array<string>")
+    large = [[ring((20, 0), (29, 0), (29, 9), (20, 9))]]
+    z = spark.createDataFrame([("z1", box), ("z2", large), ("z3", None)], f"url string, geom {geo.SHAPE}")
+    got = {r.external_id: r for r in geo.place_alerts(a, z).collect()}
+    assert set(got) == {"x", "y", "w"} and all(0 < got[i].lon < 1 and 0 < got[i].lat < 1 for i in "xy")
+    assert 20 < got["w"].lon < 29  # the union of its zones, not the first
