@@ -27,8 +27,9 @@ import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, table
@@ -45,8 +46,8 @@ BLOCK = 128
 NEAR = "a_id long, b_id long, likeness double, distance long"
 #: Text bytes of a range of documents that one task takes in order.
 RANGE_BYTES = 24 << 20
-#: Marks between ranges are literals of the plan; beyond so many ranges they get longer, and their sorts spill.
-MOST_RANGES = 4096
+#: Ranges at most, whose marks go to every task (half a megabyte); beyond 1.5 TB of text ranges get longer, and their sorts spill.
+MOST_RANGES = 65_536
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_id long"
 
 
@@ -216,16 +217,18 @@ def _in_order(seed: int):
     return run
 
 
-def range_of(c: Column, marks: list[int]) -> Column:
-    """The number of marks below c, found among every 64th mark and then within those 64; 0 for null."""
-    if not marks:
-        return F.lit(0)
-    tops, groups = marks[63::64], [marks[a : a + 64] for a in range(0, len(marks), 64)]
-    below = lambda values: F.size(F.filter(values, lambda m: m < c))
-    groups += [[]] * (len(groups) == len(tops))  # above the last mark
-    nested = F.array(*(F.array(*map(F.lit, g)).cast("array<bigint>") for g in groups))
-    top = below(F.array(*map(F.lit, tops))) if tops else F.lit(0)
-    return F.when(c.isNull(), 0).otherwise(top * 64 + below(F.element_at(nested, top + 1)))
+def range_of(marks: list[int]):
+    """A function of a column: the number of marks below it, 0 for null."""
+    ordered = np.array(marks, np.int64)
+
+    @F.pandas_udf("int")
+    def place(c: pd.Series) -> pd.Series:
+        known = c.notna().to_numpy()
+        out = np.zeros(len(c), np.int32)
+        out[known] = np.searchsorted(ordered, c[known].to_numpy(np.int64), side="left")
+        return pd.Series(out)
+
+    return place
 
 
 def with_edited(docs: DataFrame, range_bytes: int = RANGE_BYTES, seed: int = SEED) -> DataFrame:
@@ -242,7 +245,7 @@ def with_edited(docs: DataFrame, range_bytes: int = RANGE_BYTES, seed: int = SEE
     ids = rows.select("doc_id").filter("doc_id is not null")
     marks = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("m")).first()["m"]
     marks = sorted(set(marks or []))
-    placed = rows.withColumn("part", range_of(F.col("doc_id"), marks))
+    placed = rows.withColumn("part", range_of(marks)("doc_id"))
     order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", F.xxhash64("text").alias("h"))
     firsts = placed.groupBy("part").agg(F.min(order).alias("o"))
     around = Window.orderBy("part")  # one row a range

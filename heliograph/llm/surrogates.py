@@ -15,9 +15,8 @@ few are joined back by document. The text is cut at its entities once and put to
 so no surrogate is ever matched again. All of it is Spark's own expressions.
 
 Nulls: a null text stays null, and an empty one empty. Rows with a null doc_id and repeated rows are
-treated like others. An empty table gives an empty result. `replace_personal_data` keeps docs' own columns
-(a column named like one of its own working columns, which begin with `__`, is not allowed) and changes
-`text` only, and `n_chars`, if there, to the new length.
+treated like others. An empty table gives an empty result. `replace_personal_data` keeps docs' own columns,
+whatever their names, and changes `text` only, and `n_chars`, if there, to the new length.
 """
 
 from __future__ import annotations
@@ -120,6 +119,16 @@ def kind_of(v: Column) -> Column:
     )
 
 
+# The public plan of country calling codes; all others have three digits.
+CALLING_CODE = "^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def phone_form(v: Column) -> Column:
+    """All digits behind a + for numbers with a country code; those of code 1 and others by their last ten."""
+    digits = only_digits(v)
+    return let(digits, lambda d: F.when(v.startswith("+") & ~(d.startswith("1") & (F.length(d) == 11)), F.concat(F.lit("+"), d)).otherwise(F.right(d, F.lit(10))))
+
+
 def only_digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
@@ -131,7 +140,7 @@ def normal_form(kind: Column, v: Column) -> Column:
         .when(kind == "secret", F.regexp_replace(F.regexp_replace(v, _SECRET_HEAD, ""), _SECRET_TAIL, ""))
         .when(kind == "iban", F.replace(v, F.lit(" "), F.lit("")))
         .when(kind == "ip", v)
-        .when(kind == "phone", F.right(only_digits(v), F.lit(10)))
+        .when(kind == "phone", phone_form(v))
         .otherwise(only_digits(v))
     )
 
@@ -255,13 +264,16 @@ def drawn(kind: Column, norm: Column, draw: Column, key: str = KEY) -> Column:
 
 def drawn_from(kind: Column, norm: Column, hexes: Column, draw: Column, key: str) -> Column:
     user, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
+    code = F.regexp_extract(F.substring(norm, F.lit(2), F.length(norm)), CALLING_CODE, 0)
+    abroad = let(code, lambda c: F.concat(F.lit("+"), c, same_classes(F.substring(norm, F.length(c) + 2, F.length(norm)), hexes)))
     address = F.concat(same_classes(user, hexes), F.lit("@"), F.substring(stream(key, F.lit("host"), host, F.lit(0)), 1, 8), F.lit(".example.org"))
     return (
         F.when(kind == "email", address)
         .when(kind == "secret", same_classes(norm, hexes))
         .when(kind == "iban", iban_digits(norm, hexes))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), *(number(hexes, F.lit(i)).cast("string") for i in range(3))))
+        .when(kind == "ip", F.concat_ws(".", F.when(draw == 0, "10").otherwise(number(hexes, F.lit(3)).cast("string")), *(number(hexes, F.lit(i)).cast("string") for i in range(3))))
         .when(kind == "card", card_digits(norm, hexes))
+        .when((kind == "phone") & norm.startswith("+"), abroad)
         .when(kind.isin("phone", "ssn"), same_classes(norm, hexes))
         .otherwise(drawn_name(kind, hexes, draw))
     )
@@ -299,6 +311,7 @@ def written_like(v: Column, kind: Column, new: Column) -> Column:
     phone = let(F.length(spare), lambda n: F.concat(F.substring(v, F.lit(1), n), lay_digits(F.substring(v, n + 1, F.length(v)), new)))
     return (
         F.when(kind == "secret", F.concat(F.regexp_extract(v, _SECRET_HEAD, 0), new, F.regexp_extract(v, _SECRET_TAIL, 0)))
+        .when((kind == "phone") & new.startswith("+"), lay_digits(v, F.substring(new, F.lit(2), F.length(new))))
         .when(kind == "phone", phone)
         .when(kind.isin("card", "ssn"), lay_digits(v, new))
         .when(kind == "iban", F.when(v.contains(" "), F.trim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new))
@@ -345,23 +358,25 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, count: str | None = N
     found = docs.select(F.explode(entities(F.col("text"))).alias("v"))
     redrawn = draws(normal_forms(found.distinct()), key)
     none = F.create_map().cast("map<string,int>")
-    marked = docs.withColumn("__redrawn", none)
+    held = docs.select(F.struct(*docs.columns).alias("row"), "text")  # names of docs' own can't clash then
+    marked = held.withColumn("redrawn", none)
     if redrawn.limit(1).count():
         # Documents with such an entity, by text: few, as the clashes are.
-        hit = docs.select(F.md5("text").alias("__t"), F.explode(F.array_distinct(entities(F.col("text")))).alias("v"))
-        by_text = normal_forms(hit).join(redrawn, ["kind", "norm"]).groupBy("__t", "kind", "norm").agg(F.max("draw").alias("draw"))
-        maps = cut(by_text.groupBy("__t").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "draw"))).alias("__m")))
+        hit = docs.select(F.md5("text").alias("t"), F.explode(F.array_distinct(entities(F.col("text")))).alias("v"))
+        by_text = normal_forms(hit).join(redrawn, ["kind", "norm"]).groupBy("t", "kind", "norm").agg(F.max("draw").alias("draw"))
+        maps = cut(by_text.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "draw"))).alias("m")))
         maps = F.broadcast(maps) if maps.count() <= 10_000 else maps
-        marked = docs.withColumn("__t", F.md5("text")).join(maps, "__t", "left").withColumn("__redrawn", F.coalesce("__m", none)).drop("__t", "__m")
-    marked = marked.withColumn("__found", entities(F.col("text")))
-    new = F.transform("__found", lambda v: surrogate(v, F.col("__redrawn"), key))
-    gaps = F.when(F.exists("__found", lambda v: kind_of(v) == "name"), F.transform(between(F.col("text")), lambda a: bare_names_replaced(a, F.col("__found"), F.col("__redrawn"), key))).otherwise(between(F.col("text")))
+        marked = held.withColumn("t", F.md5("text")).join(maps, "t", "left").select("row", "text", F.coalesce("m", none).alias("redrawn"))
+    marked = marked.withColumn("found", entities(F.col("text")))
+    new = F.transform("found", lambda v: surrogate(v, F.col("redrawn"), key))
+    gaps = F.when(F.exists("found", lambda v: kind_of(v) == "name"), F.transform(between(F.col("text")), lambda a: bare_names_replaced(a, F.col("found"), F.col("redrawn"), key))).otherwise(between(F.col("text")))
     text = F.array_join(F.flatten(F.zip_with(gaps, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = marked.withColumn("text", F.when(F.size("__found") > 0, text).otherwise(F.col("text")))
+    out = marked.withColumn("text", F.when(F.size("found") > 0, text).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    counted = [F.coalesce(F.size("__found"), F.lit(0)).alias(count)] if count else []
-    return out.select(*docs.columns, *counted)
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    counted = [F.coalesce(F.size("found"), F.lit(0)).alias(count)] if count else []
+    return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns), *counted)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,11 +141,42 @@ def test_similar_texts_on_odd_rows(spark, odd, empty):
     assert {(r.doc_id, r.text) for r in similar_texts.keep_one(twice).collect()} == {(0, other.upper()), (1, "quite another text under the same id")}
 
 
+def naive_fingerprint(text, seed=edit_embedding.SEED):
+    """The walk one character and one step at a time, and the sampled steps by looking at all of them."""
+    e = edit_embedding
+    number = lambda x, s: int(e.mixed(np.array([x], np.uint64), s)[0])
+    out, i, j = [], 0, 0
+    while i < len(text):
+        kind = (number(ord(text[i]), seed + 2) >> 33) % e.KINDS
+        out.append(text[i])
+        i += number(kind * e.PERIOD + j % e.PERIOD, seed) >> 40 & 1
+        j += 1
+    best = {}
+    for s in range(2 * len(text)):
+        h = number(s, seed + 1)
+        best[h % e.BINS] = min(best.get(h % e.BINS, (h, s)), (h, s))
+    digits = []
+    for b in range(e.BINS):
+        while best and b % e.BINS not in best:
+            b += 1
+        step = best[b % e.BINS][1] if best else len(out)
+        digits.append(number(ord(out[step]), seed + 3) >> 37 & 15 if step < len(out) else 0)
+    return "".join(f"{x:x}" for x in digits)
+
+
+def test_fingerprints_are_those_of_a_naive_walk():
+    rnd = random.Random(4)
+    texts = ["", "é", "ab" * 40, "日本語 テキスト", *("".join(rnd.choice("abcde fgh\n😀") for _ in range(rnd.randrange(900))) for _ in range(8))]
+    assert [edit_embedding.as_hex(x) for x in edit_embedding.fingerprint(texts)] == [naive_fingerprint(x) for x in texts]
+
+
 def test_edit_embedding(spark, odd, empty):
     texts = ["abcdefghij" * 30, "abcdefghij" * 15 + "Z" + "abcdefghij" * 15, "quite another thing " * 15, "", "é"]
     a, b, c, none, one = edit_embedding.fingerprint(texts)
     assert (a == b).mean() > (a == c).mean() + 0.2
     assert not none.any() and len(one) == 256
+    whole = edit_embedding.with_edited(odd).toPandas()
+    assert len(whole) == len(ROWS) and whole[whole["doc_id"] == 5]["fingerprint"].nunique() == 1
     got = edit_embedding.with_edited(odd.dropDuplicates(["doc_id"])).toPandas()
     ids = [None, 1, 2, 3, 4, 5, 7]
     text = {r[0]: r[1] or "" for r in ROWS}
@@ -209,3 +240,9 @@ def test_neighbours(spark):
         own = got[got["query_id"] == q].sort_values("rank")
         assert own["vec_id"].tolist() == [i for _, i in want] and np.allclose(own["score"], [s for s, _ in want])
     assert neighbours.search(good.limit(0), good).count() == 0
+    assert neighbours.search(good.limit(0), good.limit(0)).count() == 0
+    # A repeated query row asks once for each copy's block and still gets ten ranks; its own copies are no candidates.
+    twice = spark.createDataFrame([*rows, (100, x[100].tolist())], "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "2 AS dim", "3 AS ids")
+    more = neighbours.good_vectors(twice)
+    again = neighbours.search(more.filter("vec_id = 100"), more).toPandas()
+    assert 100 not in again["vec_id"].tolist() and sorted(again["rank"]) == list(range(1, 11))

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -66,15 +67,70 @@ def test_quality(spark, odd, empty):
     assert quality_rules.score_documents(odd, labels.limit(0)).select("score").distinct().count() == 1
 
 
-def test_toxicity(spark, odd, empty):
+def test_quality_statistics_and_rules_against_plain_python(spark, odd):
+    """Statistics of sampled and odd texts by plain Python, and the column's scores by the rules themselves."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = toxicity.score_documents(docs, labels)
+    more = spark.createDataFrame([(1, "a a a\n\nb | | b! <x> Ä É ß 12"), (2, "x" * 200_000), (3, "one\ttwo\x0bthree\r\nfour\nfour")], "doc_id long, text string")
+    rows = quality_rules.with_statistics(docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(more)).select("text", "stats.*").toPandas()
+    part = lambda a, b: a / b if b else 0.0
+    for r in rows.itertuples():
+        t = r.text or ""
+        words, lines, n = re.findall("[^\x20\x09-\x0d]+", t), [x for x in t.split("\n") if x], len(t)
+        count = lambda signs: sum(c in signs for c in t)  # noqa: B023, E731
+        twins = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        want = {
+            "n_chars": n, "n_words": len(words), "word_length": part(n, len(words)), "capitals": part(count(quality_rules.CAPITALS), n), "digits": part(count("0123456789"), n), "signs": part(count(quality_rules.SIGNS), n),
+            "bangs": part(count("!"), len(words)), "bars": part(count("|"), len(words)), "stops": part(count(quality_rules.STOPS), len(words)), "distinct_words": part(len(set(words)), len(words)), "twin_words": part(twins, len(words)),
+            "distinct_lines": part(len(set(lines)), len(lines)), "words_a_line": part(len(words), len(lines)),
+        }
+        assert {k: getattr(r, k) for k in want} == pytest.approx(want, abs=1e-8)
+    model = quality_rules.fit(docs, labels)
+    assert len(model[1]) > 3
+    got = quality_rules.with_statistics(docs).select("stats.*", quality_rules.score_column(model).alias("score")).toPandas()
+    x = got[list(quality_rules.NAMES)].to_numpy(float)
+    odds = model[0] + sum(w * np.array([all((v[f] <= t) == most for f, most, t in rule) for v in x]) for rule, w in model[1])
+    assert np.allclose(got["score"], 1 / (1 + np.exp(-odds)))
+
+
+def test_toxicity(spark, odd, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    long = odd.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", F.lit("en").alias("lang"), "source", F.lit(0).cast("long").alias("n_chars"))
+    got = toxicity.score_documents(docs.unionByName(long), labels).cache()
     held = got.filter("held_out").join(labels, "doc_id")
-    assert got.count() == docs.count() and held.filter("predicted = toxic").count() >= 0.9 * held.count()
+    n = held.agg(F.count_if("predicted = 1 and toxic = 1").alias("hit"), F.count_if("toxic = 1").alias("toxic"), F.count_if("predicted = 1").alias("said")).first()
+    assert got.count() == docs.count() + len(ROWS) and n.toxic > 30 and n.hit >= 0.95 * n.toxic and n.hit >= 0.95 * n.said
+    assert got.filter("doc_id >= 10000000 or doc_id is null").filter("score between 0 and 1").count() == len(ROWS)
     assert toxicity.score_documents(odd, labels.limit(0)).filter("score = 0").count() == len(ROWS)
     assert toxicity.score_documents(empty, labels).count() == 0
 
 
+def test_toxicity_scores_are_those_of_all_examples(spark):
+    """Scores and evidence of the index against votes of all examples, cosine by cosine."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = toxicity.training_labels(labels)
+    words = toxicity.vocabulary(docs, seen)
+    vectors = docs.select("doc_id", "text").mapInArrow(toxicity._term_vectors(words), toxicity.VECTORS)
+    rows = {r.doc_id: (r.terms, r.counts) for r in vectors.collect()}
+    text = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    for i, (terms, counts) in rows.items():
+        naive = {}
+        for w in toxicity.RUN((text[i] or "").lower()):
+            naive[w] = naive.get(w, 0) + 1
+        assert {words[t]: c for t, c in zip(terms, counts, strict=True)} == {w: c for w, c in naive.items() if w in set(words)}
+    model = toxicity.fit(vectors, seen, len(words))
+    df = [sum(k in set(t) for t, _ in rows.values()) for k in range(len(words))]
+    idf = np.array([np.log((1 + len(rows)) / (1 + x)) + 1 for x in df])
+    assert np.allclose(model["idf"], idf)
+    unit = {i: dict(zip(*map(list, toxicity.unit(*v, idf)), strict=True)) for i, v in rows.items() if v[0]}
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    for i, v in unit.items():
+        every = sorted(((-round(sum(w * unit[int(e)].get(t, 0) for t, w in v.items()), 12), int(e), y) for e, y in zip(model["ids"], model["y"], strict=True)))[: toxicity.K]
+        every = [e for e in every if e[0] < 0]
+        x = toxicity.votes(np.array([e[2] for e in every]), np.array([-e[0] for e in every]), model["share"])
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(model["a"] + model["b"] * x))), abs=1e-6)
+        assert [e.doc_id for e in got[i].evidence] == [e[1] for e in every[:3]]
+
+
 def test_block_max_index_is_exact():
     rnd = np.random.default_rng(4)
     vectors = []
@@ -99,6 +155,40 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_features_against_plain_python(spark):
+    """Hosts, paths and rules by SQL, and the lexical features by plain Python, of all pages and some odd URLs."""
+    import duckdb
+
+    odd_urls = ["http://a.net/x", "x", None, "", "http://é-1.org/fr/?a=1&b==#-", "http://h.com" + "/seg9" * 3000 + "?" + "p=1&" * 2000, "a://net/", "a://net/"]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(None if i == 7 else -i, u) for i, u in enumerate(odd_urls)], "page_id long, url string"))
+    clash = pages.select("*", F.lit(5).alias("host"), F.lit("q").alias("y"), F.lit("q").alias("n"))
+    urls = url_filter.lexical(url_filter.with_rule(url_filter.split_url(clash))).toPandas()
+    frame = pages.toPandas()
+    sql = """SELECT url, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM frame"""
+    ruled = f"""SELECT host, path, (SELECT r.h || r.p FROM (VALUES ('net', '/'), ('example.net', '/en/'), ('example.com', '/de/'), ('org', '/fr/')) r(h, p) WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule FROM ({sql})"""
+    want = sorted(map(str, duckdb.sql(ruled).fetchall()))
+    assert sorted(map(str, zip(urls["host"], urls["path"], [None if r != r else r for r in urls["rule"]], strict=True))) == want
+    for r in urls.itertuples():
+        u = r.url or ""
+        share = {c: u.count(c) / len(u) for c in set(u)}
+        assert (r.n_chars, r.host_chars, r.depth, r.labels, r.parameters, r.hyphens) == (len(u), len(r.host), r.path.count("/"), r.host.count("."), u.count("="), u.count("-"))
+        assert r.digits == pytest.approx(sum(c in "0123456789" for c in u) / max(1, len(u))) and r.entropy == pytest.approx(-sum(p * np.log2(p) for p in share.values()), abs=1e-8)
+        assert (r.last_label, r.last_two) == (r.host.split(".")[-1], ".".join(r.host.split(".")[-2:]))
+    out = url_filter.judge(clash)
+    assert out.count() == len(frame) and out.filter("page_id is null").count() == 1 and out.filter("verdict not in ('allow', 'block')").count() == 0
+
+
+def test_suffix_rates_against_plain_python(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    urls = url_filter.with_suffix_rates(url_filter.lexical(url_filter.with_rule(url_filter.split_url(pages)))).toPandas()
+    known = urls[urls["y"].notna()]
+    overall = known["y"].mean()
+    for c in ("last_label", "last_two"):
+        for r in urls.itertuples():
+            peers = known[(known[c] == getattr(r, c)) & (known["page_id"] != r.page_id)]["y"]
+            assert getattr(r, f"{c}_rate") == pytest.approx((peers.sum() + url_filter.PRIOR * overall) / (len(peers) + url_filter.PRIOR))
+
+
 def test_surrogates(spark, odd, empty):
     rows = [
         (1, "Mail bo.b42@mail8.example.com, BO.B42@mail8.example.com; other c@d.org"),
@@ -151,6 +241,20 @@ def test_entities_are_replaced_to_their_end(spark):
     assert "x1x1" not in got[6] and "Aa" not in got[6]
 
 
+def test_phones_of_two_countries_stay_two(spark):
+    rows = [(1, "Call +44 20 7946 0958 or +49 20 7946 0958, +442079460958 too, or +353 1 123 4567."), (2, "+1 (456) 555-2186 and (456) 555-2186")]
+    d = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, found string, __found int")
+    out = surrogates.replace_personal_data(d)
+    assert out.columns == d.columns
+    got = {r.doc_id: r for r in out.collect()}
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    a, b, c, e = (digits(x) for x in got[1].text.replace("too, ", "").replace("Call ", "").replace(" or ", ",").split(",") if digits(x))
+    assert a == c and a[:2] == "44" and b[:2] == "49" and a[2:] != b[2:] and e[:3] == "353" and not {a[2:], b[2:]} & {"2079460958"}
+    one, two = got[2].text.split(" and ")
+    assert one.startswith("+1 (") and digits(one)[1:] == digits(two) != "4565552186"
+    assert got[1].found == "a" and got[1]["__found"] == 1
+
+
 def test_clashing_surrogates_are_drawn_again(spark):
     forms = spark.createDataFrame([("given_latin_f", f"name{i}") for i in range(120)], "kind string, norm string")
     again = surrogates.draws(forms)
