@@ -11,7 +11,7 @@ No pair is missed, and buckets are of 2**27 anchors a half.
 Equal fingerprints are one node before that, however many documents have them. An anchor with very many
 distinct fingerprints is dealt as pairs of blocks of at most BLOCK rows, and a block pair returns only a
 spanning forest of its links, so that such an anchor neither falls to one task nor emits all its pairs.
-Components are found by large-star and small-star rounds over the links between distinct fingerprints.
+Components of the links between distinct fingerprints are found within tasks first, then by large-star and small-star rounds.
 
 Nulls: a null or blank text has fingerprint zero and links like any other. A null doc_id gets its
 fingerprint and its component's smallest doc_id, but is never that one. Repeated rows stay. An empty table
@@ -154,14 +154,41 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, most
     return found.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): every node of edges (a, b) with the smallest node it can reach, by alternating large-star
-    and small-star rounds until nothing changes. Each round is two shuffles of at most the edges' size."""
+#: Edges that one task joins by itself before tasks exchange any.
+LOCAL = 500_000
+
+
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a task's edges (u, v) to (u, v) with v the least that u reaches by these edges alone."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    every = [(u, find(u)) for u in root]
+    u, v = zip(*((u, v) for u, v in every if u != v), strict=True) if len(every) > 1 else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def components(edges: DataFrame, rounds: int = 50, local: int = LOCAL) -> DataFrame:
+    """(node, root): every node of edges (a, b) with the smallest node it can reach. Tasks first join the edges they have, `local`
+    each; if there are several, alternating large-star and small-star rounds follow until nothing changes, each two shuffles of at
+    most the edges' size."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    tasks = max(1, -(-edges.count() // local))
+    dealt = edges.coalesce(tasks) if tasks <= edges.rdd.getNumPartitions() else edges.repartition(tasks)
+    edges = cut(dealt.mapInArrow(_stars, "u long, v long"))
     digest = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
-    before = edges.agg(*digest).first()
+    before = edges.agg(*digest).first() if tasks > 1 else None
     for _ in range(rounds):
-        if before["n"] == 0:
+        if tasks == 1 or before["n"] == 0:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

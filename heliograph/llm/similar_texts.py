@@ -157,6 +157,12 @@ def _sets(words: int):
 SETS = "node long, hashes array<long>"
 
 
+def few(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df written out, in as many partitions as its rows need."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def common_shingles(docs: DataFrame, words: int = WORDS, sampled: int = SAMPLED, least: int = LEAST_COMMON, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """The shingles, sorted, that come late in the order of keys, `most` at most, and their grades: 1 + log2 of their number."""
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0).select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"])
@@ -206,33 +212,35 @@ def node_roots(known: DataFrame, nodes: DataFrame, words: int = WORDS, similarit
 
     every = nodes.select("node", "n", F.explode("keys").alias("key"))
     held = every.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    left = cut(every.join(held, "key"))
+    left = few(every.join(held, "key"))
     # Keys with the same members count once.
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     once = left.groupBy("key").agg(F.count("*").alias("members"), *marks).groupBy("members", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    left = cut(left.join(once, "key"))
+    left = few(left.join(once, "key"))
 
     first = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")).select("fp", F.col("f.node").alias("lead"), F.col("f.n").alias("m")))
     near = simhash.links(first.select("fp"), most_pairs=200_000, block=1024)
     of_print = nodes.join(first, "fp").filter("node <> lead").select("lead", "m", "node", "n")
     of_near = near.join(first.withColumnRenamed("fp", "a"), "a").join(first.select(F.col("fp").alias("b"), F.col("lead").alias("node"), F.col("m").alias("n")), "b").select("lead", "m", "node", "n")
-    pairs = cut(of_print.unionByName(of_near).filter(fits).select(*ordered()).distinct())
+    pairs = few(of_print.unionByName(of_near).filter(fits).select(*ordered()).distinct())
 
     def sets_of(some: DataFrame) -> DataFrame:
         """The whole sets of the nodes in some, whose texts are read again."""
-        rows = cut(nodes.join(some, "node", "left_semi").select("doc_id", "t"))
-        return cut(known.join(small(rows, 100_000), ["doc_id", "t"], "left_semi").select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"]))
+        rows = few(nodes.join(small(some, 200_000), "node", "left_semi").select("doc_id", "t"))
+        return few(known.join(small(rows, 100_000), ["doc_id", "t"], "left_semi").select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"]), 5_000)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that have the similarity: first by what their keys leave possible, then by their sets."""
-        one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x"))
-        two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y"))
+        asked = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        of_pairs = nodes.join(small(asked, 200_000), "node", "left_semi")
+        one = of_pairs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x"))
+        two = of_pairs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y"))
         last = F.least(F.element_at("x", -1), F.element_at("y", -1))
         rest = lambda n, keys: F.col(n) - F.size(F.filter(keys, lambda k: k <= F.col("last")))
         bound = F.size(F.array_intersect("x", "y")) + F.least(rest("na", "x"), rest("nb", "y"))
         possible = pairs.join(one, "a").join(two, "b").withColumn("last", last).filter(bound * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
-        possible = cut(possible.select("a", "b"))
-        sets = sets_of(possible.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        possible = few(possible.select("a", "b"))
+        sets = sets_of(few(possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
         two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
@@ -244,10 +252,10 @@ def node_roots(known: DataFrame, nodes: DataFrame, words: int = WORDS, similarit
         rows = left.join(of, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("group"))
         sizes = rows.groupBy("key", "group").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("groups"))
         sizes = sizes.filter("groups > 1").select("key", ((F.col("members") * F.col("members") - F.col("within")) / 2).cast("long").alias("pairs"))
-        rows = cut(rows.join(sizes, "key"))
+        rows = few(rows.join(sizes, "key"))
         return rows, rows.groupBy("key").agg(F.first("pairs").alias("pairs"))
 
-    found = cut(similar(pairs))
+    found = few(similar(pairs))
     rows, sizes = unsettled(found)
     before = math.inf
     for i in range(rounds):
@@ -259,17 +267,16 @@ def node_roots(known: DataFrame, nodes: DataFrame, words: int = WORDS, similarit
         least = F.min(F.struct(F.xxhash64("node", F.lit(i), F.pmod("key", F.lit(4))).alias("h"), "node", "n", "group"))
         lead = rows.groupBy("key").agg(least.alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("m"), F.col("l.group").alias("lead_group"))
         asked = rows.join(lead, "key").filter(fits & (F.col("group") != F.col("lead_group"))).select(*ordered()).distinct()
-        found = cut(found.unionByName(similar(asked)))
+        found = few(found.unionByName(similar(few(asked))))
         rows, sizes = unsettled(found)
 
     other = rows.select("key", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("group").alias("lead_group"))
-    few = rows.filter(F.col("pairs") <= listed)
-    asked = few.join(other, "key").filter(fits & (F.col("group") < F.col("lead_group"))).select(*ordered()).distinct()
-    found = found.unionByName(similar(asked))
+    asked = rows.filter(F.col("pairs") <= listed).join(other, "key").filter(fits & (F.col("group") < F.col("lead_group"))).select(*ordered()).distinct()
+    found = found.unionByName(similar(few(asked)))
     many = rows.filter(F.col("pairs") > listed)
     if many.limit(1).count():
         blocks = many.groupBy("key").agg(F.ceil(F.sum("n") / elements).cast("int").alias("blocks"))
-        own = many.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(sets_of(many.select("node").distinct()), "node")
+        own = many.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).join(sets_of(few(many.select("node").distinct())), "node")
         both = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.array(F.struct(F.col("own").alias("i"), o.alias("j"), F.lit(0).alias("side")), F.struct(o.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))))), lambda p: p["i"] <= p["j"])
         dealt = own.select("key", "node", "n", "group", "hashes", F.explode(both).alias("p")).select("key", "node", "n", "group", "hashes", "p.*")
         found = found.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(_block_links(similarity), "a long, b long"))

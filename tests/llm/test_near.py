@@ -41,6 +41,15 @@ def test_links_and_components(spark):
     assert {frozenset(x) for x in got} == {frozenset(x) for x in want}
     groups = lambda links: {frozenset(m) for m in simhash.components(links).groupBy("root").agg({"node": "collect_list"}).toPandas().iloc[:, 1].map(tuple)}
     assert groups(simhash.links(nodes)) == groups(simhash.links(nodes, 3, 16, 0))
+    # By one task, and by rounds between tasks that have few edges each.
+    alone, dealt = (dict(map(tuple, simhash.components(simhash.links(nodes), local=n).collect())) for n in (10**6, 20))
+    root = brute_components(u.tolist())
+    signed = lambda x: int(np.array([x], np.uint64).view(np.int64)[0])
+    least = {}
+    for x, r in root.items():
+        least[r] = min(least.get(r, signed(x)), signed(x))
+    assert alone == dealt == {signed(x): least[r] for x, r in root.items() if signed(x) != least[r]}
+    assert simhash.components(simhash.links(nodes.limit(0))).count() == 0
 
 
 def test_near_duplicates(odd, empty):
