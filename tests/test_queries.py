@@ -9,6 +9,8 @@ import pytest
 from heliograph import plans
 
 SF = "/root/testdata/sf0.001"
+#: Queries whose rare rows the smallest tables lack; larger ones have them.
+EMPTY_HERE = {"a08_region_names", "a17_headline_worklist"}
 
 
 @pytest.fixture(scope="module")
@@ -34,5 +36,6 @@ def test_query(spark, duck, name):
         assert len(got)
         return
     want = duck.execute(plans.SQL[name]).df()
+    assert len(want) or name in EMPTY_HERE, "nothing compared"
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.astype(want.dtypes.to_dict() if len(got) and not got.isnull().values.any() else got.dtypes.to_dict())) == rows(want)
