@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import good_handle, host_suffixes, link_host, links_in, name_keys, name_variants
+from heliograph.operators.upsert import one_per_key
+from heliograph.shared import checkpointed
 
 
 def match_hosts(rows: DataFrame, host: str | Column, ids: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -46,21 +49,26 @@ def resolve_entities(outlets: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def first_listed(outlets: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Outlets of several lists, each once: in priority order, a row goes if a kept one of its country shares a
-    name key. What was dropped blocks nothing, so order matters; a country's outlets are few."""
-    renamed = outlets.join(F.broadcast(aliases.select("country", F.col("alias").alias("name"), F.col("name").alias("main"))), ["country", "name"], "left")
-    keyed = renamed.withColumn("keys", name_keys(F.coalesce("main", "name"))).drop("main")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        kept = []
-        for i, keys in rows.sort_values(["priority", "name"])["keys"].items():
-            if not taken.intersection(keys):
-                taken.update(keys)
-                kept.append(i)
-        return rows.loc[kept].drop(columns="keys")
-
-    return keyed.groupBy("country").applyInPandas(keep, outlets.schema)
+    """Outlets of several lists, each once: in order of priority and name, a row goes if a kept one of its country shares a
+    name key. What was dropped blocks nothing, so order matters: in rounds, rows that come first for all their keys stay, those
+    that share a key with them go, and the rest goes on, as many rounds as the longest chain of such rows."""
+    order = ["priority", "name"]
+    rows = one_per_key(outlets, ["country", *order])
+    renamed = rows.join(aliases.select("country", F.col("alias").alias("name"), F.col("name").alias("main")), ["country", "name"], "left")
+    # A row without any key has one that no other has.
+    alone = F.concat(F.lit(" "), F.col("priority").cast("string"), F.lit(" "), "name")
+    keyed = renamed.withColumn("key", F.explode_outer(name_keys(F.coalesce("main", "name")))).select("country", *order, F.coalesce("key", alone).alias("key"))
+    left, kept = checkpointed(keyed), []
+    while left.limit(1).count():
+        first = left.groupBy("country", "key").agg(F.min(F.struct(*order)).alias("first"))
+        judged = left.join(first, ["country", "key"]).withColumn("leads", F.struct(*order) == F.col("first"))
+        now = checkpointed(judged.groupBy("country", *order).agg(F.bool_and("leads").alias("leads")).filter("leads").select("country", *order))
+        kept.append(now)
+        taken = left.join(now, ["country", *order], "left_semi").select("country", "key").distinct()
+        gone = left.join(taken, ["country", "key"], "left_semi").select("country", *order).unionByName(now).distinct()
+        left = checkpointed(left.join(gone, ["country", *order], "left_anti"))
+    every = functools.reduce(DataFrame.unionByName, kept) if kept else keyed.select("country", *order)
+    return rows.join(every, ["country", *order], "left_semi").select(*outlets.columns)
 
 
 def assert_known(manual: DataFrame, outlets: DataFrame) -> DataFrame:

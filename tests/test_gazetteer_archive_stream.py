@@ -136,6 +136,11 @@ def test_registry(spark):
     lists = spark.createDataFrame([("CN", "Xin (New China)", 0), ("CN", "New China", 1), ("CN", "Other", 1), ("CN", "x.in", 2)], "country string, name string, priority int")
     none = spark.createDataFrame([], "country string, alias string, name string")
     assert {r.name for r in registry.first_listed(lists, none).collect()} == {"Xin (New China)", "Other"}
+    # A chain: b goes for a, so it no longer blocks c; d has no key at all and stays.
+    chain = spark.createDataFrame([("X", "A (B)", 0), ("X", "B (C)", 1), ("X", "C (D)", 2), ("X", "D", 3), ("X", "北京", 4), ("Y", "B", 9), ("X", "A (B)", 0)], "country string, name string, priority int")
+    assert {(r.country, r.name) for r in registry.first_listed(chain, none).collect()} == {("X", "A (B)"), ("X", "C (D)"), ("X", "北京"), ("Y", "B")}
+    renamed = spark.createDataFrame([("X", "D", "A")], "country string, alias string, name string")
+    assert "D" not in {r.name for r in registry.first_listed(chain, renamed).collect()} and registry.first_listed(chain.limit(0), none).count() == 0
     cand = spark.createDataFrame([("CN", "Xin", "Q1"), ("CN", "New China", "Q2"), ("CN", "Other", "Q3")], "country string, label string, qid string")
     got = {r.name: r.qid for r in registry.resolve_entities(lists.select("country", "name"), cand).collect()}
     assert got["Other"] == "Q3" and "Xin (New China)" not in got
