@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-K, QUERY_ROWS, CANDIDATE_ROWS = 10, 1024, 8192
+#: Every candidate goes once to each block of queries, so those are large: of so many bytes.
+K, QUERY_BYTES, CANDIDATE_ROWS = 10, 32 << 20, 8192
 BLOCK = "dim int, ids binary, vectors binary"
 HEAP = "query_id long, vec_id long, score double"
 
@@ -117,12 +118,13 @@ def good_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, fine) & F.exists(v, lambda x: x != 0))
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = K, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, k: int = K, query_rows: int | None = None, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows nearest to each query; both have (vec_id, v) from good_vectors."""
     spark = rows.sparkSession
     fit = max(1, spark.sparkContext.defaultParallelism)
-    n = queries.count()
-    blocks = max(1, -(-n // query_rows))
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first()
+    query_rows = query_rows or max(1024, QUERY_BYTES // (8 * size["dim"]))
+    blocks = max(1, -(-size["n"] // query_rows))
     packed = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition(blocks, "b").select("vec_id", "v").mapInArrow(pack_blocks(query_rows), BLOCK)
     # A query block for each number below its count; candidate blocks are copied to these numbers.
     asked = packed.select("dim", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")).withColumn("to", F.pmod(F.xxhash64("qids"), F.lit(blocks)))

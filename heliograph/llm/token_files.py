@@ -83,7 +83,7 @@ def write_files(folder: str, width: int):
         from pyspark import TaskContext
 
         store, base = storage(folder)
-        name = f"part-{TaskContext.get().partitionId():06d}.zst"
+        name = f"part-{TaskContext.get().partitionId():09d}.zst"
         own = posixpath.join(base, f"_{name}.{uuid.uuid4().hex}")
         ids, sizes, tokens, sums, out, at = [], [], [], [], None, 0
         for batch in batches:
