@@ -305,6 +305,29 @@ def t04(spark, d):
     return p.join(first_names(spark, d), "place_id").select("name", "uri")
 
 
+@query("t03_first_pointers", f"""WITH {FIRST_NAMES}, f AS (SELECT name, doc_id, row_number() OVER (PARTITION BY name, date_trunc('hour', make_timestamp(1790000000000000 + doc_id * 60000000)) ORDER BY doc_id) AS n FROM hit)
+SELECT name, 'at://d/app.bsky.feed.post/' || doc_id AS uri FROM f WHERE n <= 20""")
+def t03(spark, d):
+    """The first posts of each place and hour, kept by a stateful stream over the landed hits."""
+    out = new_folder(spark, "first")
+    hits = spark.readStream.schema("at timestamp, uri string, place_id long").parquet(f"{run_posts(spark, d)}/pointers")
+    streaming.run_once(streaming.first_pointers(hits), out, new_folder(spark, "first-checkpoint"))
+    return spark.read.parquet(out).join(first_names(spark, d), "place_id").select("name", "uri")
+
+
+@query("t05_hourly_editors", f"SELECT title, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(DISTINCT user_id) AS editors FROM ({EDITS}) WHERE NOT bot GROUP BY ALL")
+def t05(spark, d):
+    """Exact distinct editors of a stream; messages far later close the hours."""
+    path = land(edit_messages(spark, d).coalesce(1), "messages")
+    for days in (100, 200, 300):
+        late = F.to_json(F.struct(F.lit("enwiki").alias("wiki"), F.lit("en.wikipedia.org").alias("server_name"), F.lit("late").alias("title"), F.lit(0).alias("namespace"), F.lit("edit").alias("type"), F.lit("u").alias("user"), F.lit(False).alias("bot"), F.lit(1_706_572_800 + 86_400 * days).alias("timestamp"), F.struct(F.lit(-days).alias("new")).alias("revision")))
+        spark.range(1).select(late.alias("value")).coalesce(1).write.mode("append").text(path)
+    out = new_folder(spark, "editors")
+    editors = streaming.hourly_editors(snapshots.edit_rows(streaming.lines(spark, path, 1)))
+    streaming.run_once(editors, out, new_folder(spark, "editors-checkpoint"))
+    return spark.read.parquet(out).filter("title <> 'late'").select("title", stamp("hour").alias("hour"), "editors")
+
+
 @query("t09_theme_stream", f"WITH a AS ({ARTICLE_CELLS}) SELECT region, theme, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS articles FROM (SELECT o_orderkey, o_orderdate, unnest([country, 'US']) AS region, o_orderpriority FROM a) x, unnest([o_orderpriority, 'ALL']) AS u(theme) GROUP BY ALL")
 def t09(spark, d):
     """Theme counts of articles as a stream in update mode; readers take the latest value of each key."""
@@ -340,6 +363,55 @@ def s23(spark, d):
     return snapshots.outlet_pages(page).select("country", "name", F.array_join("trajectory", ",").alias("trajectory"))
 
 
+@query("s09_weather_alerts", "SELECT 'w' || o_orderkey AS external_id, strftime(o_orderdate + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS added_at, ['Severe', 'Minor'][(o_orderkey % 2 + 1)::INT] AS severity, 'w' || (o_orderkey - 1) AS refers, CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 0 END AS corners FROM orders")
+def s09(spark, d):
+    """Alerts that start at their onset, else when they take effect; each refers to the one before; every third has a shape."""
+    o = t.table(spark, d, "orders")
+    iso = lambda hours: F.date_format(F.col("o_orderdate") + F.expr(f"interval {hours} hours"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    number = F.col("o_orderkey").cast("string")
+    severity = F.element_at(F.array(F.lit("Severe"), F.lit("Minor")), (F.col("o_orderkey") % 2 + 1).cast("int"))
+    ring = F.array(*(F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((0, 0), (1, 0), (1, 1), (0, 0))))
+    props = F.struct(F.concat(F.lit("w"), number).alias("id"), F.lit("Area").alias("areaDesc"), iso(1).alias("sent"), F.when(F.col("o_orderkey") % 2 == 0, iso(5)).otherwise(iso(3)).alias("effective"), F.when(F.col("o_orderkey") % 2 == 1, iso(5)).alias("onset"), severity.alias("severity"), F.array(F.lit("z")).alias("affectedZones"), F.array(F.struct(F.concat(F.lit("w"), (F.col("o_orderkey") - 1).cast("string")).alias("identifier"))).alias("references"))
+    geometry = F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    a = snapshots.weather_alerts(spark, features(o, F.to_json(F.struct(geometry.alias("geometry"), props.alias("properties"))), "weather", "o_orderkey"))
+    return a.select("external_id", stamp("added_at").alias("added_at"), F.get_json_object("props", "$.severity").alias("severity"), F.col("refs")[0].alias("refers"), F.coalesce(F.size(F.col("geom")[0][0]), F.lit(0)).alias("corners"))
+
+
+@query("s10_tsunami_bulletins", "SELECT 't' || o_orderkey AS external_id, strftime(o_orderdate, '%Y-%m-%d') AS day, ['Warning', 'Information'][(o_orderkey % 2 + 1)::INT] AS category, CASE WHEN o_orderkey % 4 > 0 THEN (o_custkey % 9) / 10 + 6 END AS magnitude FROM orders WHERE o_orderkey % 5 <> 0")
+def s10(spark, d):
+    """Bulletins with category and magnitude in the summary's markup; every fifth has no place, every fourth no magnitude."""
+    o = t.table(spark, d, "orders")
+    number = F.col("o_orderkey").cast("string")
+    kind = F.element_at(F.array(F.lit("Warning"), F.lit("Information")), (F.col("o_orderkey") % 2 + 1).cast("int"))
+    place = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("<geo:lat>1.5</geo:lat><geo:long>2.5</geo:long>")
+    size = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("<b>Preliminary Magnitude:</b> "), ((F.col("o_custkey") % 9) / 10 + 6).cast("decimal(3,1)").cast("string"), F.lit("(Mw)")))
+    entry = F.concat(F.lit("<entry><id>t"), number, F.lit("</id><title>T</title><updated>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:00:00Z</updated>"), place, F.lit("<summary><div><b>Category:</b> "), kind, F.lit("<br/>"), size, F.lit("</div></summary></entry>"))
+    docs = o.groupBy(F.pmod("o_orderkey", F.lit(16)).cast("string").alias("part")).agg(F.concat(F.lit('<feed xmlns:geo="g">'), F.array_join(F.collect_list(entry), "\n"), F.lit("</feed>")).alias("value"))
+    e = snapshots.tsunami_bulletins(spark, land(docs, "tsunami", "part"))
+    return e.select("external_id", F.to_date("added_at").cast("string").alias("day"), F.get_json_object("props", "$.category").alias("category"), F.get_json_object("props", "$.magnitude").cast("double").alias("magnitude"))
+
+
+@query("s11_volcanoes", "SELECT n_nationkey || ':20260907' || lpad((n_nationkey % 24)::VARCHAR, 2, '0') || '0041' AS external_id, n_name AS geo_name, 'ORANGE' AS color FROM nation WHERE n_regionkey <> 3")
+def s11(spark, d):
+    """Elevated volcanoes; those of a region have no time of change."""
+    n = t.table(spark, d, "nation")
+    changed = F.when(F.col("n_regionkey") != 3, F.format_string("2026-09-07 %02d:00:41", F.col("n_nationkey").cast("int") % 24))
+    item = F.to_json(F.struct(F.col("n_nationkey").cast("string").alias("vnum"), F.col("n_name").alias("vName"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("long"), F.lit("ORANGE").alias("colorCode"), changed.alias("codeChangeDate")))
+    e = snapshots.volcanoes(spark, features(n, item, "volcanoes", "n_nationkey", "[", "]"), F.lit("2026-09-20 12:00:00").cast("timestamp"))
+    return e.select("external_id", "geo_name", F.get_json_object("props", "$.color").alias("color"))
+
+
+@query("f12_usable_names", """WITH n AS (SELECT DISTINCT unnest([w, upper(w), lower(w), w || '1', left(w, 2), left(upper(w), 3)]) AS name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖÙ-Üà-öù-ü]+')) AS w FROM documents)), m AS (SELECT name, length(name) % 2 = 0 AS main FROM n)
+SELECT name FROM m WHERE NOT regexp_matches(name, '\\p{Nd}') AND CASE WHEN regexp_matches(name, '^\\p{Lu}') THEN length(name) >= 3 AND NOT (upper(name) = name AND length(name) <= 4 AND NOT main) WHEN regexp_matches(name, '^\\p{Ll}') OR NOT regexp_matches(name, '^\\p{L}') THEN false ELSE length(name) >= 3 END""")
+def f12(spark, d):
+    from heliograph.functions import usable_name
+
+    w = t.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖÙ-Üà-öù-ü]+"), F.lit(0))).alias("w"))
+    forms = F.array(F.col("w"), F.upper("w"), F.lower("w"), F.concat("w", F.lit("1")), F.substring("w", 1, 2), F.substring(F.upper("w"), 1, 3))
+    names = w.select(F.explode(forms).alias("name")).distinct()
+    return names.filter(usable_name(F.col("name"), F.length("name") % 2 == 0))
+
+
 # The archive.
 
 
