@@ -39,7 +39,7 @@ from .shared import cut
 
 WORDS, SIMILARITY = 5, 0.8
 #: Common shingles are counted in one text of so many, and are those with at least LEAST_COMMON there, COMMON at most.
-SAMPLED, LEAST_COMMON, COMMON = 8, 2, 200_000
+SAMPLED, LEAST_COMMON, COMMON = 16, 2, 200_000
 #: Leader rounds, at most; they end when the pairs left are fewer than PAIRS_A_ROW for each row, or over half of those before.
 ROUNDS, PAIRS_A_ROW = 5, 4
 #: A key of more pairs than this is dealt in blocks of about ELEMENTS shingles.
@@ -165,7 +165,7 @@ def few(df: DataFrame, rows: int = 50_000) -> DataFrame:
 
 def common_shingles(docs: DataFrame, words: int = WORDS, sampled: int = SAMPLED, least: int = LEAST_COMMON, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """The shingles, sorted, that come late in the order of keys, `most` at most, and their grades: 1 + log2 of their number."""
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0).select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"])
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0).groupBy("t").agg(F.min("text").alias("text")).mapInArrow(_sets(words), SETS)
     counts = some.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "h").limit(most).select("h", F.least(F.floor(F.log2("n")) + 1, F.lit(31)).cast("int").alias("g")).toPandas()
     hashes, grades = rows["h"].to_numpy(np.int64).view(np.uint64), rows["g"].to_numpy(np.uint64)
@@ -225,9 +225,9 @@ def node_roots(known: DataFrame, nodes: DataFrame, words: int = WORDS, similarit
     pairs = few(of_print.unionByName(of_near).filter(fits).select(*ordered()).distinct())
 
     def sets_of(some: DataFrame) -> DataFrame:
-        """The whole sets of the nodes in some, whose texts are read again."""
+        """The whole sets of the nodes in some, whose texts are read again; rows of an equal id and text repeat theirs."""
         rows = few(nodes.join(small(some, 200_000), "node", "left_semi").select("doc_id", "t"))
-        return few(known.join(small(rows, 100_000), ["doc_id", "t"], "left_semi").select("text").mapInArrow(_sets(words), SETS).dropDuplicates(["node"]), 5_000)
+        return few(known.join(small(rows, 100_000), ["doc_id", "t"], "left_semi").select("text").mapInArrow(_sets(words), SETS), 5_000)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that have the similarity: first by what their keys leave possible, then by their sets."""
