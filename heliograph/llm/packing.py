@@ -5,7 +5,7 @@ follows from its number within the class alone: workers fill sequences of a clas
 other's lengths. Classes are 1 to 64 and the powers of two above.
 
 Documents may be cut. Whole sequences come off a long document first; what is left over is cut into at
-most three pieces, of which all but the last fill their slots exactly, so that together they leave the
+most four pieces, of which all but the last fill their slots exactly, so that together they leave the
 fewest tokens of padding (a table over all lengths below the capacity, made once a worker). Pieces that
 a class has beyond its last full sequence are fewer than the classes' slots in total, a fixed number
 whatever the input; those are packed together, largest first.
@@ -47,7 +47,7 @@ def classes(capacity: int) -> list[int]:
 
 
 @functools.lru_cache(maxsize=4)
-def cutting_table(capacity: int, cuts: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+def cutting_table(capacity: int, cuts: int = 3) -> tuple[np.ndarray, list[np.ndarray]]:
     """own[r]: class whose slot holds r tokens best; heads[m][r]: with at most m cuts, the class whose whole
     slot is to be cut off first, 0 for none."""
     ks = np.array(classes(capacity))
