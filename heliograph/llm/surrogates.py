@@ -10,7 +10,9 @@ and `Mrs. Berg`), and it keeps kind, gender, script and format: signs stay in pl
 and letters letters of their case; country codes, card networks, key prefixes and check sums hold.
 
 Distinctness: all distinct entities of the input are drawn for, and where two of a kind would get one
-surrogate, or one would get another's real value, the later is drawn for again until none is left. Those
+surrogate, or one would get another's real value, the later is drawn for again until none is left. Mailboxes and hosts are
+drawn apart, a mailbox among those of its host. Where a form has no more values than there are entities, further draws are
+longer: by a sign for mailboxes and names, for phone numbers and secrets from the third draw on. Those
 few are joined back by document. The text is cut at its entities once and put together with the surrogates,
 so no surrogate is ever matched again. All of it is Spark's own expressions.
 
@@ -29,6 +31,8 @@ from .shared import LOWER, UPPER, cut, table
 KEY = "surrogate-key-1"
 #: Draws for an entity before the run fails; each round leaves a small part of the last one's clashes.
 MOST_DRAWS = 40
+#: Draws in which secrets and phone numbers keep their length; later ones add a sign each.
+FORMED_DRAWS = 2
 
 # Titles by gender.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
@@ -136,7 +140,8 @@ def only_digits(v: Column) -> Column:
 def normal_form(kind: Column, v: Column) -> Column:
     """What all writings of an entity have in common. A name's is that of its family name; see name_parts."""
     return (
-        F.when(kind == "email", F.lower(v))
+        F.when(kind == "mailbox", F.lower(v))
+        .when(kind == "host", F.substring_index(F.lower(v), "@", -1))
         .when(kind == "secret", F.regexp_replace(F.regexp_replace(v, _SECRET_HEAD, ""), _SECRET_TAIL, ""))
         .when(kind == "iban", F.replace(v, F.lit(" "), F.lit("")))
         .when(kind == "ip", v)
@@ -179,9 +184,9 @@ def signs_of(v: Column) -> Column:
     return F.filter(F.split(v, ""), lambda c: c != "")
 
 
-def same_classes(v: Column, hexes: Column) -> Column:
-    """v with each digit and letter changed to one of its class, hex strings to hex digits; see ALPHABETS for other scripts."""
-    letters = F.when(v.rlike("^[0-9a-f]+$"), 6).otherwise(26)
+def same_classes(v: Column, hexes: Column, hexadecimal: bool = True) -> Column:
+    """v with each digit and letter changed to one of its class, hex strings to hex digits if so asked; see ALPHABETS for other scripts."""
+    letters = F.when(v.rlike("^[0-9a-f]+$"), 6).otherwise(26) if hexadecimal else F.lit(26)
 
     def other(c: Column, n: Column) -> Column:
         out = c
@@ -197,14 +202,21 @@ def same_classes(v: Column, hexes: Column) -> Column:
     return F.array_join(F.transform(signs_of(v), lambda c, i: let(number(hexes, i), lambda n: stepped(c, n))), "")
 
 
+def grown(v: Column, draw: Column, free: int = 0) -> Column:
+    """v with one more sign of its last letter's or digit's class for each draw beyond the free ones, so that there are always
+    more surrogates than values of one form."""
+    last = F.regexp_extract(v, "([\\p{L}\\p{N}])[^\\p{L}\\p{N}]*$", 1)
+    return F.when(draw > free, F.concat(v, F.repeat(F.when(last == "", "x").otherwise(last), draw - free))).otherwise(v)
+
+
 def lay_digits(v: Column, digits: Column) -> Column:
-    """v with its digits replaced by those of the string digits, in order."""
+    """v with its digits replaced by those of the string digits, in order; digits beyond v's own come behind its last digit's place."""
 
     def step(acc: Column, c: Column) -> Column:
         digit = c.between("0", "9")
         return F.struct(F.concat(acc["out"], F.when(digit, F.substring(digits, acc["i"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + digit.cast("int")).alias("i"))
 
-    return F.aggregate(signs_of(v), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
+    return F.aggregate(signs_of(v), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: F.concat(acc["out"], F.substring(digits, acc["i"] + 1, F.length(digits))))
 
 
 def luhn(digits: Column) -> Column:
@@ -264,17 +276,19 @@ def drawn(kind: Column, norm: Column, draw: Column, key: str = KEY) -> Column:
 
 def drawn_from(kind: Column, norm: Column, hexes: Column, draw: Column, key: str) -> Column:
     user, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
+    number_of = lambda v: same_classes(grown(v, draw, FORMED_DRAWS), hexes)
     code = F.regexp_extract(F.substring(norm, F.lit(2), F.length(norm)), CALLING_CODE, 0)
-    abroad = let(code, lambda c: F.concat(F.lit("+"), c, same_classes(F.substring(norm, F.length(c) + 2, F.length(norm)), hexes)))
-    address = F.concat(same_classes(user, hexes), F.lit("@"), F.substring(stream(key, F.lit("host"), host, F.lit(0)), 1, 8), F.lit(".example.org"))
+    abroad = let(code, lambda c: F.concat(F.lit("+"), c, number_of(F.substring(norm, F.length(c) + 2, F.length(norm)))))
     return (
-        F.when(kind == "email", address)
-        .when(kind == "secret", same_classes(norm, hexes))
+        F.when(kind == "mailbox", F.concat(same_classes(grown(user, draw), hexes, hexadecimal=False), F.lit("@@"), host))
+        .when(kind == "host", F.concat(F.substring(hexes, F.lit(1), draw + 8), F.lit(".example.org")))
+        .when(kind == "secret", number_of(norm))
         .when(kind == "iban", iban_digits(norm, hexes))
         .when(kind == "ip", F.concat_ws(".", F.when(draw == 0, "10").otherwise(number(hexes, F.lit(3)).cast("string")), *(number(hexes, F.lit(i)).cast("string") for i in range(3))))
         .when(kind == "card", card_digits(norm, hexes))
         .when((kind == "phone") & norm.startswith("+"), abroad)
-        .when(kind.isin("phone", "ssn"), same_classes(norm, hexes))
+        .when(kind == "phone", number_of(norm))
+        .when(kind == "ssn", same_classes(norm, hexes))
         .otherwise(drawn_name(kind, hexes, draw))
     )
 
@@ -302,7 +316,9 @@ def surrogate(v: Column, redrawn: Column, key: str = KEY) -> Column:
     plain = lambda kind: let(normal_form(kind, v), lambda norm: let(drawn(kind, norm, lookup(redrawn, kind, norm), key), lambda new: written_like(v, kind, new)))
     part = lambda p: F.when(p["kind"] == "kept", p["norm"]).when(p["kind"] == "initial", same_classes(p["norm"], stream(key, p["kind"], p["norm"], F.lit(0)))).otherwise(part_surrogate(p, redrawn, key))
     name = lambda: F.concat_ws(" ", F.split(v, " ")[0], F.array_join(F.transform(name_parts(v), part), " "))
-    return let(kind_of(v), lambda kind: F.when(kind == "name", name()).otherwise(plain(kind)))
+    half = lambda kind: let(normal_form(F.lit(kind), v), lambda norm: drawn(F.lit(kind), norm, lookup(redrawn, F.lit(kind), norm), key))
+    address = lambda: F.concat_ws("@", F.substring_index(half("mailbox"), "@@", 1), half("host"))
+    return let(kind_of(v), lambda kind: F.when(kind == "name", name()).when(kind == "email", address()).otherwise(plain(kind)))
 
 
 def written_like(v: Column, kind: Column, new: Column) -> Column:
@@ -331,10 +347,11 @@ def between(text: Column) -> Column:
 
 
 def normal_forms(found: DataFrame) -> DataFrame:
-    """(kind, norm) of column v, one row for each part of a name."""
-    kind = kind_of(F.col("v"))
-    whole = F.array(F.struct(kind.alias("kind"), normal_form(kind, F.col("v")).alias("norm")))
-    return found.select("*", F.explode(F.when(kind == "name", name_parts(F.col("v"))).otherwise(whole)).alias("p")).select(*found.columns, "p.*").drop("v").filter("kind not in ('kept', 'initial')")
+    """(kind, norm) of column v, one row for each part of a name, and for the mailbox and the host of an address."""
+    kind, v = kind_of(F.col("v")), F.col("v")
+    form = lambda k: F.struct(k.alias("kind"), normal_form(k, v).alias("norm"))
+    parts = F.when(kind == "name", name_parts(v)).when(kind == "email", F.array(form(F.lit("mailbox")), form(F.lit("host")))).otherwise(F.array(form(kind)))
+    return found.select("*", F.explode(parts).alias("p")).select(*found.columns, "p.*").drop("v").filter("kind not in ('kept', 'initial')")
 
 
 def draws(forms: DataFrame, key: str = KEY, most: int = MOST_DRAWS) -> DataFrame:
