@@ -113,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float
     so only the sampled texts are read through the join and measured."""
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    found = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "y", "stats.*")
+    # One doc_id may stand on any number of rows, so the joined rows are held to the bound as well.
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "y").limit(sample)
+    found = with_statistics(known).select("doc_id", "y", "stats.*")
     rows = found.toPandas().sort_values(["doc_id", "y", *NAMES])
     y = rows["y"].to_numpy(float)
     if len(set(y)) < 2:

@@ -10,14 +10,16 @@ examples; all three bounds are parameters.
 Examples lie in an inverted index: each term has its postings, in order of the examples, and for each block of examples with the
 term its largest weight there. A document's terms give an upper bound of its cosine with any example of a block; blocks are
 scored in the order of their bounds until no bound exceeds the k-th cosine found, so the k nearest are exact. Votes are weighted
-by squared cosine, drawn towards the share of toxic labels, and calibrated by a logistic curve fitted on
-the examples themselves, each without its own vote. The nearest examples are returned as evidence.
+by squared cosine and drawn towards the share of toxic labels. A cosine says which terms a document has, not how much of it they
+are, so a logistic curve of the vote and of the terms in a thousand words (logarithm of 1 + that) gives the score; it is fitted on the
+examples themselves, each without its own vote. The nearest examples are returned as evidence.
 
 Labels of documents with crc32(doc_id) mod 3 = 1 are held out and never seen in fitting.
 
 Nulls: a null text counts as empty; a document with none of the terms has no neighbours and gets the
 calibrated share. Without labels of both kinds every score is the share of label 1, or 0 without labels.
-Rows with a null doc_id are scored and not held out. Repeated rows stay; other columns are left out.
+Rows with a null doc_id are scored and not held out. Very long texts count whole. Ties of cosines go to the smaller doc_id.
+Repeated rows stay; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ FOLDS, HELD_OUT = 3, 1
 #: Least likelihood ratio of a term, least toxic share of the labelled documents with it, and the votes that the overall share counts for.
 LEAST_RATIO, LEAST_SHARE, PRIOR_VOTES = 12.0, 0.5, 0.3
 RUN = re.compile(r"[^\W\d_]+").findall
-VECTORS = "doc_id long, terms array<int>, counts array<int>"
+VECTORS = "doc_id long, terms array<int>, counts array<int>, words long"
 SCORES = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
 
 
@@ -81,12 +83,14 @@ def _term_vectors(terms: list[str]):
         place = {t: k for k, t in enumerate(terms)}
         memory = _Memory(lambda w: tuple(place[t] for t in RUN(w) if t in place), 200_000)
         for batch in batches:
-            ids, counts = [], []
+            ids, counts, lengths = [], [], []
             for text in batch.column("text"):
-                found = Counter(t for hit in filter(None, map(memory.__getitem__, (text.as_py() or "").lower().split())) for t in hit)
+                words = (text.as_py() or "").lower().split()
+                found = Counter(t for hit in filter(None, map(memory.__getitem__, words)) for t in hit)
                 ids.append(sorted(found))
                 counts.append([found[t] for t in ids[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+                lengths.append(len(words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int64())], names=["doc_id", "terms", "counts", "words"])
 
     return run
 
@@ -152,17 +156,27 @@ def votes(y: np.ndarray, cosines: np.ndarray, share: float) -> float:
     return float(((w * y).sum() + PRIOR_VOTES * share) / (w.sum() + PRIOR_VOTES))
 
 
-def logistic_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a + b x))) by Newton steps; b is kept from running off where x separates y."""
-    w, one = np.zeros(2), np.column_stack([np.ones(len(x)), x])
+def density(counts: list[int], words: int) -> float:
+    """Logarithm of 1 + the terms in a thousand words."""
+    return float(np.log1p(1000 * sum(counts) / max(1, words)))
+
+
+def logistic_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights w of 1 / (1 + exp(-(w[0] + w[1:] x))) by Newton steps; they are kept from running off where x separates y."""
+    one = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(one.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(one @ w, -30, 30)))
-        h = one.T @ (one * np.maximum(p * (1 - p), 1e-9)[:, None]) + ridge * np.eye(2)
+        h = one.T @ (one * np.maximum(p * (1 - p), 1e-9)[:, None]) + ridge * np.eye(len(w))
         step = np.linalg.solve(h, one.T @ (p - y) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def calibrated(curve: np.ndarray, vote: float, dense: float) -> float:
+    return float(1 / (1 + np.exp(-(curve[0] + curve[1] * vote + curve[2] * dense))))
 
 
 def _scores(model: dict):
@@ -170,12 +184,11 @@ def _scores(model: dict):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = BlockMaxIndex(model["ids"], model["y"], model["vectors"], len(model["idf"]))
-        curve = lambda x: 1 / (1 + np.exp(-(model["a"] + model["b"] * x)))
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for terms, counts, words in zip(*(batch.column(c).to_pylist() for c in ("terms", "counts", "words")), strict=True):
                 rows, cosines = index.nearest(*unit(terms, counts, model["idf"])) if terms else (np.zeros(0, np.int64), np.zeros(0))
-                scores.append(float(curve(votes(index.y[rows], cosines, model["share"]))))
+                scores.append(calibrated(model["curve"], votes(index.y[rows], cosines, model["share"]), density(counts, words)))
                 evidence.append([{"doc_id": int(index.ids[r]), "cosine": float(c), "toxic": int(index.y[r])} for r, c in zip(rows[:3], cosines[:3], strict=True)])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
@@ -198,12 +211,13 @@ def fit(vectors: DataFrame, seen: DataFrame, n_terms: int, examples: int = EXAMP
     blank = known.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     model = {"idf": idf, "share": counts["share"], "ids": np.array([r["doc_id"] for r in rows], np.int64), "y": np.array([r["y"] for r in rows], float), "vectors": [unit(r["terms"], r["counts"], idf) for r in rows]}
     index = BlockMaxIndex(model["ids"], model["y"], model["vectors"], n_terms)
-    x = [votes(index.y[n], c, model["share"]) for i, v in zip(model["ids"], model["vectors"], strict=True) for n, c in [index.nearest(*v, without=int(i))]]
+    vote = [votes(index.y[n], c, model["share"]) for i, v in zip(model["ids"], model["vectors"], strict=True) for n, c in [index.nearest(*v, without=int(i))]]
+    x = [(v, density(r["counts"], r["words"])) for v, r in zip(vote, rows, strict=True)]
     # Documents without any term stand for themselves in the right proportion to the sampled examples.
     m = max(2, round(blank["n"] * len(rows) / max(1, some)))
     toxic = round(m * (blank["y"] / max(1, blank["n"])))
-    x = np.array([*x, *[model["share"]] * m])
-    model["a"], model["b"] = logistic_curve(x, np.array([*model["y"], *[1.0] * toxic, *[0.0] * (m - toxic)]))
+    x = np.array([*x, *[(model["share"], 0.0)] * m])
+    model["curve"] = logistic_curve(x, np.array([*model["y"], *[1.0] * toxic, *[0.0] * (m - toxic)]))
     return model
 
 

@@ -98,7 +98,12 @@ def test_toxicity(spark, odd, empty):
     got = toxicity.score_documents(docs.unionByName(long), labels).cache()
     held = got.filter("held_out").join(labels, "doc_id")
     n = held.agg(*(F.count_if(F.expr(c)).alias(k) for k, c in (("hit", "predicted = 1 and toxic = 1"), ("toxic", "toxic = 1"), ("said", "predicted = 1")))).first()
-    assert got.count() == docs.count() + len(ROWS) and n.toxic > 30 and n.hit >= 0.7 * n.toxic and n.hit >= 0.85 * n.said
+    assert got.count() == docs.count() + len(ROWS) and n.toxic > 30 and n.hit >= 0.93 * n.toxic and n.hit >= 0.95 * n.said
+    # What is missed has no word that labelled toxic documents have more often than clean ones: nothing to find it by.
+    terms = set(toxicity.vocabulary(docs, toxicity.training_labels(labels)))
+    with_terms = [r.doc_id for r in held.filter("toxic = 1").join(docs.select("doc_id", "text"), "doc_id").collect() if terms & set(toxicity.RUN((r.text or "").lower()))]
+    found = {r.doc_id for r in held.filter("predicted = 1").collect()}
+    assert len(found & set(with_terms)) >= 0.98 * len(with_terms)
     assert got.filter("doc_id >= 10000000 or doc_id is null").filter("score between 0 and 1").count() == len(ROWS)
     assert toxicity.score_documents(odd, labels.limit(0)).filter("score = 0").count() == len(ROWS)
     assert toxicity.score_documents(empty, labels).count() == 0
@@ -127,7 +132,8 @@ def test_toxicity_scores_are_those_of_all_examples(spark):
         every = sorted(((-round(sum(w * unit[int(e)].get(t, 0) for t, w in v.items()), 12), int(e), y) for e, y in zip(model["ids"], model["y"], strict=True)))[: toxicity.K]
         every = [e for e in every if e[0] < 0]
         x = toxicity.votes(np.array([e[2] for e in every]), np.array([-e[0] for e in every]), model["share"])
-        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(model["a"] + model["b"] * x))), abs=1e-6)
+        dense = np.log(1 + 1000 * sum(rows[i][1]) / len((text[i] or "").split()))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(model["curve"] @ [1, x, dense]))), abs=1e-6)
         assert [e.doc_id for e in got[i].evidence] == [e[1] for e in every[:3]]
 
 
@@ -272,7 +278,7 @@ def test_ten_thousand_names_of_a_kind_get_their_own_surrogates(spark):
 
 
 def test_queries_are_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
 
 
 def test_sql_is_text():
