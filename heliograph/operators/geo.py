@@ -44,8 +44,8 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return F.pmod(F.size(F.filter(edges, crossed)), F.lit(2)) == 1
 
 
-def edge_distance(x: Column, y: Column, edges: Column, squeeze: Column | float = 1.0) -> Column:
-    """Distance in degrees from a point to a polygon, x shrunk by `squeeze`; 0 inside."""
+def nearest_edge(x: Column, y: Column, edges: Column, squeeze: Column | float = 1.0) -> Column:
+    """Distance in degrees from a point to the nearest of some edges, x shrunk by `squeeze`."""
     by = squeeze if isinstance(squeeze, Column) else F.lit(squeeze)
 
     def to_edge(e: Column) -> Column:
@@ -54,7 +54,12 @@ def edge_distance(x: Column, y: Column, edges: Column, squeeze: Column | float =
         t = F.when(long > 0, F.least(F.greatest((px * dx + py * dy) / long, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
         return F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
 
-    return F.when(inside(x, y, edges), 0.0).otherwise(F.array_min(F.transform(edges, to_edge)))
+    return F.array_min(F.transform(edges, to_edge))
+
+
+def edge_distance(x: Column, y: Column, edges: Column, squeeze: Column | float = 1.0) -> Column:
+    """Distance in degrees from a point to a polygon, given by all its edges; 0 inside."""
+    return F.when(inside(x, y, edges), 0.0).otherwise(nearest_edge(x, y, edges, squeeze))
 
 
 def edge_km(x: Column, y: Column, edges: Column) -> Column:
@@ -62,7 +67,8 @@ def edge_km(x: Column, y: Column, edges: Column) -> Column:
 
 
 def covered_cells(shapes: DataFrame, size: float, margin_km: float = 0.0) -> DataFrame:
-    """(code, edges, cx, cy): each polygon at the cells of its bounding box, widened by the margin; x wraps at 180."""
+    """(code, edges, cx, cy): each polygon with all its edges at the cells of its bounding box, widened by the margin; x wraps at
+    180. For shapes of few edges, like hulls; see `clipped_cells` and `edge_cells` for others."""
     parts = shapes.select("code", F.explode("geom").alias("rings"))
     outer = F.col("rings")[0]
     box = parts.select("code", edges_of(F.col("rings")).alias("edges"), *(f(outer.getField(k)).alias(n) for n, f, k in (("x1", F.array_min, "x"), ("x2", F.array_max, "x"), ("y1", F.array_min, "y"), ("y2", F.array_max, "y"))))
@@ -78,40 +84,176 @@ def with_cell(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("cx", F.pmod(cell(F.col("lon"), size), F.lit(round(360 / size)))).withColumn("cy", cell(F.col("lat"), size))
 
 
+def edge_rows(shapes: DataFrame) -> DataFrame:
+    """(code, part, x1, y1, x2, y2): every edge of every polygon of a shape; polygons of a code are numbered in their own order."""
+    whole = shapes.groupBy("code").agg(F.flatten(F.array_sort(F.collect_list("geom"))).alias("geom"))
+    return whole.select("code", F.posexplode("geom").alias("part", "rings")).select("code", "part", F.explode(edges_of(F.col("rings"))).alias("e")).select("code", "part", "e.*")
+
+
+#: Edges this near to a border count as on both of its sides, so that rounding never takes one away.
+SLACK = 1e-9
+CLIPPED = f"cx long, cy long, base int, flips array<double>, edges {EDGES}"
+
+
+def clip_band(size: float):
+    """For the edges of one polygon in one band of cells: what each cell of the band has to know. A ray to the right from a point of
+    a cell crosses some of the cell's own edges, and of those beyond the cell all whose heights it lies between. The latter are kept
+    as the heights at which the number of crossings changes: heights that occur twice cancel out, so a chain of any number of
+    edges is as two."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        code, cy = rows["code"].iloc[0], int(rows["cy"].iloc[0])
+        floor, top = cy * size, (cy + 1) * size
+        x1, y1, x2, y2 = (rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+        slope = np.divide(x2 - x1, y2 - y1, out=np.zeros(len(x1)), where=y1 != y2)
+        ends = [np.where(y1 == y2, x, x1 + slope * (np.clip(y, low, high) - y1)) for x, y in ((x1, floor), (x2, top))]
+        first = np.floor((np.minimum(*ends) - SLACK) / size).astype("int64")
+        last = np.floor((np.maximum(*ends) + SLACK) / size).astype("int64")
+        own: dict[int, list[int]] = {}
+        for k in np.flatnonzero(y1 != y2):
+            for c in range(first[k], last[k] + 1):
+                own.setdefault(c, []).append(k)
+        order, at, heights, out = np.argsort(-first, kind="stable"), 0, set(), []
+        for c in range(int(last.max()), int(first.min()) - 1, -1):
+            while at < len(order) and first[order[at]] > c:
+                k = order[at]
+                if low[k] < high[k]:
+                    heights ^= {low[k], high[k]}
+                at += 1
+            base = sum(h <= floor - SLACK for h in heights) % 2
+            flips = sorted(h for h in heights if floor - SLACK < h < top + SLACK)
+            edges = [{"x1": x1[k], "y1": y1[k], "x2": x2[k], "y2": y2[k]} for k in own.get(c, [])]
+            if base or flips or edges:
+                out.append((code, c, cy, base, flips, edges))
+        return pd.DataFrame(out, columns=["code", "cx", "cy", "base", "flips", "edges"])
+
+    return run
+
+
+def clipped_cells(shapes: DataFrame, size: float) -> DataFrame:
+    """(code, cx, cy, base, flips, edges): the cells that a shape reaches, each with the edges that cross it alone; cells wholly
+    within carry none (base 1)."""
+    kind = shapes.schema["code"].dataType.simpleString()
+    bands = edge_rows(shapes).withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2"), size), cell(F.greatest("y1", "y2"), size))))
+    cells = bands.groupBy("code", "part", "cy").applyInPandas(clip_band(size), f"code {kind}, {CLIPPED}")
+    return cells.withColumn("cx", F.pmod("cx", F.lit(round(360 / size))))
+
+
+def within_cell(x: Column, y: Column) -> Column:
+    """Whether a point of a clipped cell is inside: an odd number of crossings in all; see `inside`."""
+    crossed = lambda e: F.when((e["y1"] > y) != (e["y2"] > y), x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).otherwise(False)
+    beyond = F.size(F.filter("flips", lambda h: h <= y))
+    return F.pmod(F.col("base") + beyond + F.size(F.filter("edges", crossed)), F.lit(2)) == 1
+
+
 def containing(points: DataFrame, shapes: DataFrame, size: float = 1.0) -> DataFrame:
     """(id, code) of the shape that holds each point, the least code of several."""
-    near = with_cell(points, size).join(covered_cells(shapes, size), ["cx", "cy"])
-    return near.filter(inside(F.col("lon"), F.col("lat"), F.col("edges"))).groupBy("id").agg(F.min("code").alias("code"))
+    near = with_cell(points, size).join(clipped_cells(shapes, size), ["cx", "cy"])
+    return near.filter(within_cell(F.col("lon"), F.col("lat"))).groupBy("id").agg(F.min("code").alias("code"))
+
+
+def edge_cells(shapes: DataFrame, size: float, margin_km: float) -> DataFrame:
+    """(code, cx, cy, edges): at each cell the edges of a shape that may be within the margin of one of its points, in km or in
+    degrees of either axis."""
+    rows = edge_rows(shapes)
+    dy = F.lit(margin_km / KM_PER_DEGREE)
+    widest = F.least(F.greatest(F.abs("y1"), F.abs("y2")) + dy, F.lit(89.0))
+    by = dy / F.greatest(F.cos(F.radians(widest)), F.lit(0.01))
+    n = round(360 / size)
+    xs = F.explode(F.array_distinct(F.transform(F.sequence(cell(F.least("x1", "x2") - by, size), cell(F.greatest("x1", "x2") + by, size)), lambda i: F.pmod(i, F.lit(n)))))
+    ys = F.explode(F.sequence(cell(F.least("y1", "y2") - by, size), cell(F.greatest("y1", "y2") + by, size)))
+    spread = rows.withColumn("by", by).withColumn("cx", xs).withColumn("cy", ys)
+    return spread.groupBy("code", "cx", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
 
 
 def reverse_geocode(points: DataFrame, shapes: DataFrame, most_km: float = 100.0, size: float = 1.0) -> DataFrame:
     """points with country: the shape that holds them, else the nearest within most_km (nearest in degrees, as
     the limit is in km), else ''."""
-    held = containing(points, shapes, size)
+    held = checkpointed(containing(points, shapes, size))
     left = points.join(held, "id", "left_anti")
-    near = with_cell(left, size).join(covered_cells(shapes, size, most_km), ["cx", "cy"]).withColumn("km", edge_km(F.col("lon"), F.col("lat"), F.col("edges"))).filter(F.col("km") <= most_km)
-    best = near.withColumn("deg", edge_distance(F.col("lon"), F.col("lat"), F.col("edges"))).groupBy("id").agg(F.min(F.struct("deg", "code")).alias("b")).select("id", F.col("b.code").alias("code"))
+    x, y = F.col("lon"), F.col("lat")
+    near = with_cell(left, size).join(edge_cells(shapes, size, most_km), ["cx", "cy"])
+    near = near.filter(nearest_edge(x, y, F.col("edges"), F.cos(F.radians(y))) * KM_PER_DEGREE <= most_km).withColumn("deg", nearest_edge(x, y, F.col("edges")))
+    best = near.groupBy("id").agg(F.min(F.struct("deg", "code")).alias("b")).select("id", F.col("b.code").alias("code"))
     return points.join(held.unionByName(best), "id", "left").withColumn("country", F.coalesce("code", F.lit(""))).drop("code")
 
 
-def fill_country(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+def fill_country(rows: DataFrame, shapes: DataFrame, most_km: float = 100.0) -> DataFrame:
     """Only rows without a country are placed."""
-    blank = rows.filter("country = ''").drop("country")
-    return rows.filter("country <> ''").unionByName(reverse_geocode(blank, shapes).select(*rows.columns))
+    known = F.coalesce("country", F.lit("")) != ""
+    return rows.filter(known).unionByName(reverse_geocode(rows.filter(~known).drop("country"), shapes, most_km).select(*rows.columns))
+
+
+#: Most pairs of points that two cells may have to be compared point by point; beyond that cells are halved first.
+MOST_PAIRS = 1 << 16
+#: How often cells are halved; what is still open then is compared point by point.
+HALVINGS = 20
+SQUARE = ["n", "a", "x1", "x2", "y1", "y2"]
+
+
+def squares(points: DataFrame, level: int) -> DataFrame:
+    """Cells of a level (side / 2^level) with their points' number, least id and bounding box; fx and fy are places of the finest level."""
+    at = lambda c: F.shiftright(c, HALVINGS - level)
+    return points.groupBy(at("fx").alias("cx"), at("fy").alias("cy")).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+
+
+def far_side(cells: DataFrame) -> DataFrame:
+    """The same cells under other names, for the second cell of a pair."""
+    return cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), *(F.col(c).alias(f"o_{c}") for c in SQUARE))
+
+
+def judged(pairs: DataFrame, eps: float) -> DataFrame:
+    """Pairs of cells that may hold points at most eps apart, with `sure` where all of their points are."""
+    zero = F.lit(0.0)
+    gap = [F.greatest(F.col(f"o_{k}1") - F.col(f"{k}2"), F.col(f"{k}1") - F.col(f"o_{k}2"), zero) for k in ("x", "y")]
+    span = [F.greatest(F.col(f"o_{k}2") - F.col(f"{k}1"), F.col(f"{k}2") - F.col(f"o_{k}1")) for k in ("x", "y")]
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1])
+    return pairs.filter(length(gap) <= eps * (1 + 1e-9)).withColumn("sure", length(span) <= eps * (1 - 1e-9))
+
+
+def compared(points: DataFrame, pairs: DataFrame, level: int, eps: float) -> DataFrame:
+    """(a, b): one link of each pair of cells that has one, by comparing all their points."""
+    at = lambda c: F.shiftright(c, HALVINGS - level)
+    one = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), at("fx").alias("cx"), at("fy").alias("cy"))
+    two = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), at("fx").alias("ox"), at("fy").alias("oy"))
+    cells = ["cx", "cy", "ox", "oy"]
+    met = pairs.select(*cells).join(one, ["cx", "cy"]).join(two, ["ox", "oy"]).filter(planar(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps)
+    return met.groupBy(*cells).agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b")
 
 
 def near_edges(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b): enough links between points at most eps apart to connect each group. Points of one cell of side
-    eps / sqrt(2) are all within eps, so they link to the least of them; links between cells are exact and
-    one is kept for each pair of cells."""
+    """(a, b): enough links between points at most eps apart to connect each group. Points of one cell of side eps / sqrt(2) are all
+    within eps, so they link to the least of them. Whether two cells have a link is told by their points' bounding boxes, by
+    comparing points where these are few, and else by halving both cells again and again: of the quarters, those too far apart go, and
+    the first that are surely near settle the pair. No step compares more than MOST_PAIRS points for a pair of cells."""
     side = eps / math.sqrt(2) * (1 - 1e-12)
-    placed = points.select("id", "x", "y", cell(F.col("x"), side).alias("cx"), cell(F.col("y"), side).alias("cy"))
-    least = placed.groupBy("cx", "cy").agg(F.min("id").alias("a"))
-    within = placed.join(least, ["cx", "cy"]).filter("id <> a").select("a", F.col("id").alias("b"))
-    other = placed.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), around(F.col("x"), side, 2).alias("cx"), "y").select("*", around(F.col("y2"), side, 2).alias("cy")).drop("y")
-    close = planar(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= eps
-    across = placed.join(other, ["cx", "cy"]).filter((F.struct("cx", "cy") < F.struct("ox", "oy")) & close).groupBy("cx", "cy", "ox", "oy").agg(F.min(F.struct(F.col("id").alias("a"), "b")).alias("e")).select("e.a", "e.b")
-    return within.unionByName(across)
+    fine = lambda c: F.floor(F.col(c) / side * F.lit(float(1 << HALVINGS))).cast("long")
+    placed = checkpointed(points.select("id", "x", "y", fine("x").alias("fx"), fine("y").alias("fy")))
+    cells = checkpointed(squares(placed, 0))
+    at = lambda c: F.shiftright(c, HALVINGS)
+    within = placed.select("id", at("fx").alias("cx"), at("fy").alias("cy")).join(cells.select("cx", "cy", "a"), ["cx", "cy"]).filter("id <> a").select("a", F.col("id").alias("b"))
+    near = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)))
+    pairs = cells.withColumn("_d", F.explode(near)).withColumn("ox", F.col("cx") + F.col("_d.i")).withColumn("oy", F.col("cy") + F.col("_d.j")).drop("_d").join(far_side(cells), ["ox", "oy"])
+    pairs = checkpointed(judged(pairs, eps).withColumn("pair", F.struct("cx", "cy", "ox", "oy")))
+    links, level = within, 0
+    while True:
+        small = (F.col("n") * F.col("o_n") <= MOST_PAIRS) | F.lit(level == HALVINGS)
+        links = links.unionByName(pairs.filter("sure").select("a", F.col("o_a").alias("b"))).unionByName(compared(placed, pairs.filter(~F.col("sure") & small), level, eps))
+        settled = pairs.filter("sure").select("pair").distinct()
+        left = checkpointed(pairs.filter(~F.col("sure") & ~small).join(settled, "pair", "left_anti").select("pair", "cx", "cy", "ox", "oy"))
+        if level == HALVINGS or not left.limit(1).count():
+            return links
+        # Quarters of the cells of open pairs.
+        level += 1
+        both = left.select("cx", "cy").union(left.select("ox", "oy")).distinct()
+        up = lambda c: F.shiftright(c, HALVINGS - level + 1)  # noqa: B023, E731
+        quarters = checkpointed(squares(placed.join(both.select(F.col("cx").alias("_x"), F.col("cy").alias("_y")), (up("fx") == F.col("_x")) & (up("fy") == F.col("_y")), "left_semi"), level))
+        parent = lambda c: F.shiftright(c, 1)
+        one = quarters.withColumn("px", parent("cx")).withColumn("py", parent("cy"))
+        two = far_side(quarters).withColumn("qx", parent("ox")).withColumn("qy", parent("oy"))
+        open_ = left.select("pair", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("ox").alias("qx"), F.col("oy").alias("qy"))
+        pairs = checkpointed(judged(open_.join(one, ["px", "py"]).join(two, ["qx", "qy"]).drop("px", "py", "qx", "qy"), eps))
 
 
 def reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -214,13 +356,14 @@ def place_alerts(alerts: DataFrame, zones: DataFrame) -> DataFrame:
     return shaped.withColumn("_p", inner_point(F.col("shape"))).withColumn("lon", F.col("_p.x")).withColumn("lat", F.col("_p.y")).drop("_p", "zone", "shape")
 
 
-def join_fires(pixels: DataFrame, fires: DataFrame, km: float = 1.0, hours: int = 48, size: float = 0.05) -> DataFrame:
-    """(id, fire_id): the nearest fire whose hull is within `km` of a detection and that was seen within `hours`
-    before it. fires has fire_id, hull, last_seen; pixels has id, lon, lat, acq_at."""
+def join_fires(pixels: DataFrame, fires: DataFrame, km: float = 1.0, hours: int = 48, size: float = 0.05, degrees: float = 0.018) -> DataFrame:
+    """(id, fire_id): the fire nearest in degrees, of equals the least id, of those whose hull is within `km` and `degrees` of a
+    detection and that were seen within `hours` before it. fires has fire_id, hull, last_seen; pixels has id, lon, lat, acq_at."""
     shapes = fires.select(F.col("fire_id").alias("code"), F.array(F.array("hull")).alias("geom"))
     cells = covered_cells(shapes, size, km).withColumnRenamed("code", "fire_id").join(fires.select("fire_id", "last_seen"), "fire_id")
     near = with_cell(pixels, size).join(cells, ["cx", "cy"]).filter(F.col("last_seen") > F.col("acq_at") - F.expr(f"interval {hours} hours"))
-    near = near.withColumn("far", edge_km(F.col("lon"), F.col("lat"), F.col("edges"))).filter(F.col("far") <= km)
+    x, y, edges = F.col("lon"), F.col("lat"), F.col("edges")
+    near = near.withColumn("far", edge_distance(x, y, edges)).filter((F.col("far") <= degrees) & (edge_km(x, y, edges) <= km))
     return near.groupBy("id").agg(F.min(F.struct("far", "fire_id")).alias("b")).select("id", F.col("b.fire_id").alias("fire_id"))
 
 
