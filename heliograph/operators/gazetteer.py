@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from heliograph.functions import UNSPACED, usable_name
 
@@ -66,10 +71,14 @@ def grams(texts: DataFrame, runs: list[int], signs: list[int], first: str) -> Da
         return F.struct(F.array_join(F.slice(p, i, F.lit(2 * n - 1)), "").alias("body"), at(i, F.lit(1)).alias("start"), at(i + 2 * n - 2, F.lit(last)).alias("end"), F.concat(F.coalesce(F.get(p, i + 2 * n - 2), F.lit("")), F.when(i + 2 * n - 1 >= F.size(p), " ").otherwise("")).alias("after"))
 
     def of_signs(i: Column, n: int) -> Column:
-        """n signs from each sign of an unspaced script in part i; the part is split once."""
-        chars = F.split(F.get(p, i - 1), "")
-        places = lambda c: F.filter(F.sequence(F.lit(1), F.size(c)), lambda k: (k + n - 1 <= F.size(c)) & F.get(c, k - 1).rlike(f"[{UNSPACED}]"))
-        one = lambda c: F.transform(places(c), lambda k: F.struct(F.array_join(F.slice(c, k, F.lit(n)), "").alias("body"), at(i, k).alias("start"), at(i, k + n - 1).alias("end"), F.lit(" ").alias("after")))
+        """n signs from each sign of an unspaced script in part i, on into the parts behind it; these are split once."""
+        chars = F.split(F.array_join(F.slice(p, i, F.lit(n)), ""), "")
+        places = lambda c: F.filter(F.sequence(F.lit(1), F.length(F.get(p, i - 1))), lambda k: (k + n - 1 <= F.size(c)) & F.get(c, k - 1).rlike(f"[{UNSPACED}]"))
+        # Lengths of parts are taken off in turn, until the last sign lies within one.
+        state = lambda part, left, done: F.struct(part.alias("part"), left.alias("left"), done.alias("done"))
+        walk = lambda acc, x: F.when(acc["done"] | (acc["left"] <= F.length(x)), state(acc["part"], acc["left"], F.lit(True))).otherwise(state(acc["part"] + 1, acc["left"] - F.length(x), F.lit(False)))
+        end = lambda k: F.aggregate(F.slice(p, i, F.lit(n)), state(i, k + n - 1, F.lit(False)), walk, lambda acc: at(acc["part"], acc["left"]))
+        one = lambda c: F.transform(places(c), lambda k: F.struct(F.array_join(F.slice(c, k, F.lit(n)), "").alias("body"), at(i, k).alias("start"), end(k).alias("end"), F.lit(" ").alias("after")))
         return F.element_at(F.transform(F.array(chars), one), 1)
 
     parts = texts.filter("text <> ''").select("id", F.split("text", BORDER).alias("p"))
@@ -81,10 +90,88 @@ def grams(texts: DataFrame, runs: list[int], signs: list[int], first: str) -> Da
     return parts.select("id", F.explode(F.concat(*made)).alias("g")).select("id", "g.*") if made else parts.select("id", F.lit("").alias("body"), at(F.lit(0), F.lit(0)).alias("start"), at(F.lit(0), F.lit(0)).alias("end"), F.lit("").alias("after")).limit(0)
 
 
-def match_names(texts: DataFrame, names: DataFrame, first: str = "^[\\p{L}&&[^\\p{Ll}]]") -> DataFrame:
-    """(id, place_id, start): names as written in texts, by an equality on n-grams. A name in a script with spaces between words
-    stands between signs that are no letters or digits; of overlapping matches the leftmost holds, of those the longest. Names begin
-    as the pattern `first` says (usable names: with a capital, or in a script without). names has one place a name."""
+#: How names begin: with a capital, or in a script without.
+FIRST = "^[\\p{L}&&[^\\p{Ll}]]"
+#: Most names, and most signs of them together, for which every worker holds an automaton; more are matched by n-grams.
+MOST_NAMES, MOST_SIGNS = 1_000_000, 20_000_000
+
+
+def match_names(texts: DataFrame, names: DataFrame, first: str = FIRST, most_names: int = MOST_NAMES, most_signs: int = MOST_SIGNS) -> DataFrame:
+    """(id, place_id, start): names as written in texts. A name in a script with spaces between words stands between signs that are no
+    letters or digits; of overlapping matches the leftmost holds, of those the longest. `start` orders the matches of a text. Names
+    begin as the pattern `first` says. names has one place a name (of several, the least counts).
+
+    Names within both bounds are looked for by one automaton, in one pass over each text; no text is shuffled. More names than that
+    meet the texts' n-grams by a join."""
+    good = names.filter(F.col("name").rlike(first) | F.col("name").rlike(f"^[{UNSPACED}]")).filter("name <> ''")
+    rows = good.select("name", "place_id", F.col("name").rlike(f"^[{UNSPACED}]").alias("loose")).limit(most_names + 1).collect()
+    if len(rows) > most_names or sum(len(r["name"]) for r in rows) > most_signs:
+        return match_by_grams(texts, names, first)
+    return match_by_automaton(texts, [tuple(r) for r in rows])
+
+
+def name_automaton(rows: Iterable[tuple[str, int, bool]]):
+    """An automaton over (name, place_id, loose) rows; None for none."""
+    import ahocorasick
+
+    least: dict[str, tuple[int, int, bool]] = {}
+    for name, place, loose in rows:
+        if name not in least or place < least[name][1]:
+            least[name] = (len(name), place, loose)
+    if not least:
+        return None
+    out = ahocorasick.Automaton()
+    for name, value in least.items():
+        out.add_word(name, value)
+    out.make_automaton()
+    return out
+
+
+def apart(text: str, at: int) -> bool:
+    """Whether no letter or digit is there."""
+    return not 0 <= at < len(text) or unicodedata.category(text[at])[0] not in "LN"
+
+
+def named_in(automaton, text: str) -> list[tuple[int, int]]:
+    """(start, place_id) of the names that hold, in order."""
+    hits = []
+    for end, (n, place, loose) in automaton.iter(text):
+        start = end - n + 1
+        if loose or (apart(text, start - 1) and apart(text, end + 1)):
+            hits.append((start, -end, place))
+    out, free = [], -1
+    for start, less, place in sorted(hits):
+        if start > free:
+            out.append((start, place))
+            free = -less
+    return out
+
+
+def match_by_automaton(texts: DataFrame, rows: list[tuple[str, int, bool]]) -> DataFrame:
+    """`match_names` by an automaton over (name, place_id, loose) rows, built once and sent to every worker once."""
+    spark, given = texts.sparkSession, texts.select("id", F.col("text").cast("string").alias("text"))
+    schema = StructType([texts.schema["id"], StructField("place_id", LongType()), StructField("start", LongType())])
+    automaton = name_automaton(rows)
+    if automaton is None:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, starts, places = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                for start, place in named_in(shared.value, text.as_py() or ""):
+                    at.append(k)
+                    starts.append(start)
+                    places.append(place)
+            ids = batch.column("id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(places, pa.int64()), pa.array(starts, pa.int64())], names=["id", "place_id", "start"])
+
+    return given.mapInArrow(run, schema)
+
+
+def match_by_grams(texts: DataFrame, names: DataFrame, first: str = FIRST) -> DataFrame:
+    """`match_names` by an equality on n-grams, for any number of names."""
     parts = name_parts(names)
     sizes = parts.select("runs", "signs").distinct().collect()  # as many rows as names have lengths
     made = grams(texts, sorted({r["runs"] for r in sizes} - {0}), sorted({r["signs"] for r in sizes} - {0}), first)

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -39,12 +40,35 @@ def test_names_in_texts(spark):
     texts = ["In Lviv, New York and York", "Lvivska _Lviv_ lviv", "我在北京和東京。東京都京都", "في القاهرة اليوم", "New York City Hall, New York City", "", None, "in St. John's; Washington D.C. or Washington D.C", "ในประเทศไทย", "York City York", "Lviv", "New  York New\nYork", "北京Lviv 京都X", "Lviv " * 400, "New York " * 300 + "City Hall"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     names = spark.createDataFrame(list(NAMES.items()), "name string, place_id long")
-    got = {}
-    for r in gazetteer.match_names(rows, names).collect():
-        got.setdefault(r.id, []).append(r.place_id)
     want = {i: m for i, x in enumerate(texts) if x and (m := naive_match(x))}
-    assert {i: sorted(m) for i, m in got.items()} == want and want[4] == [2, 7, 8] and len(want[13]) == 400
-    assert gazetteer.match_names(rows.limit(0), names).count() == 0 and gazetteer.match_names(rows, names.limit(0)).count() == 0
+    for match in (gazetteer.match_names, gazetteer.match_by_grams):
+        got = {}
+        for r in match(rows, names).collect():
+            got.setdefault(r.id, []).append((r.start, r.place_id))
+        assert {i: sorted(p for _, p in m) for i, m in got.items()} == want and want[4] == [2, 7, 8] and len(want[13]) == 400
+        assert match(rows.limit(0), names).count() == 0 and match(rows, names.limit(0)).count() == 0
+    few = gazetteer.match_names(rows, names, most_names=2)  # more names than the bound: n-grams, with the same result
+    assert few.count() == sum(map(len, want.values()))
+
+
+def test_automaton_and_grams_agree(spark):
+    """Names and texts at random, of letters, digits, marks and signs in scripts with and without spaces."""
+    rnd = random.Random(3)
+    signs = ["A", "b", "é", "7", " ", "-", ".", "・", "東", "京", "サ", "ン", "م", "\u0301", "Ж"]
+    word = lambda n: "".join(rnd.choice(signs) for _ in range(rnd.randint(1, n)))
+    own = {w: k for k, w in enumerate({"サン・サン", "京.A", *(word(5) for _ in range(150))})}
+    texts = [word(60) for _ in range(150)] + ["サン・サン・サン", "x京.A-京.Ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    names = spark.createDataFrame([(w, k) for w, k in own.items() if w.strip()], "name string, place_id long")
+    both = [[(i, [p for _, p in sorted(m)]) for i, m in sorted(groups(match(rows, names)).items())] for match in (gazetteer.match_names, gazetteer.match_by_grams)]
+    assert len(both[0]) > 50 and both[0] == both[1]
+
+
+def groups(hits):
+    out = {}
+    for r in hits.collect():
+        out.setdefault(r.id, []).append((r.start, r.place_id))
+    return out
 
 
 def test_usable_names(spark):
