@@ -52,8 +52,9 @@ def unloaded(files: DataFrame, fetch_log: DataFrame) -> DataFrame:
     return files.join(fetch_log.select("source_id", "file"), ["source_id", "file"], "left_anti")
 
 
-def active_source(sources: DataFrame, name: str) -> DataFrame:
-    return sources.filter((F.col("name") == name) & F.col("enabled"))
+def active_sources(sources: DataFrame, names: list[str]) -> DataFrame:
+    """Sources of some names that are enabled."""
+    return sources.filter(F.col("name").isin(*names) & F.col("enabled"))
 
 
 def prop(name: str, kind: str = "string") -> Column:
@@ -99,11 +100,15 @@ def newest_live(rows: DataFrame, as_of: Column, narrowed: str = "usgs", hours: i
     return rows.filter((F.col("kind") != narrowed) | (F.col("added_at") > ago(as_of, f"{hours} hours"))).orderBy(F.desc("added_at"), "external_id").limit(limit)
 
 
-def superseded(alerts: DataFrame) -> DataFrame:
-    """alerts with superseded_by: the latest message that refers to them (of equals the greatest id)."""
+def last_referrer(alerts: DataFrame) -> DataFrame:
+    """(external_id, superseded_by): of the messages that refer to an alert the latest one, of equals the greatest id."""
     refers = alerts.select(F.explode("refs").alias("external_id"), F.struct("added_at", F.col("external_id").alias("by")).alias("b"))
-    last = refers.groupBy("external_id").agg(F.max("b").alias("b")).select("external_id", F.col("b.by").alias("superseded_by"))
-    return alerts.drop("superseded_by").join(last, "external_id", "left")
+    return refers.groupBy("external_id").agg(F.max("b").alias("b")).select("external_id", F.col("b.by").alias("superseded_by"))
+
+
+def superseded(alerts: DataFrame) -> DataFrame:
+    """alerts with superseded_by, null where no other refers to them."""
+    return alerts.drop("superseded_by").join(last_referrer(alerts), "external_id", "left")
 
 
 def hot_pages(edits: DataFrame, cache: DataFrame, as_of: Column, editors: int = 3, limit: int = 200) -> DataFrame:

@@ -5,10 +5,12 @@ Tables are DataFrames by name; a run returns those it changed, to be written as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, rollup, upsert
+from heliograph.shared import checkpointed
+
+from . import archive, publish, rollup, upsert
 
 HOURS, BASELINE_DAYS, HOT_DAYS = 48, 30, 35
 #: How long buffers without an archive keep rows: the time column and an interval.
@@ -40,7 +42,7 @@ def rolled_up(tables: dict[str, DataFrame], as_of: Column, since: Column, scores
     if edited is not None:
         t["wiki_activity"] = replaced(t["wiki_activity"], rollup.page_activity(t["wiki_edit"].filter(F.col("at") >= edited)), ["wiki", "title", "hour"])
     t["chatter_hourly"] = replaced(t["chatter_hourly"], rollup.chatter_hourly(t["chatter_5min"].filter(F.col("bucket") >= since)), ["source", "place_id", "hour"])
-    t["attention_hourly"] = hourly
+    hourly = t["attention_hourly"] = checkpointed(hourly)  # read by days, scores and the writer
     days = rollup.attention_daily(hourly.filter(F.col("hour") >= F.date_trunc("day", since)))
     t["attention_daily"] = replaced(t["attention_daily"], days, ["region_kind", "region", "day"])
     if scores:
@@ -70,3 +72,16 @@ def pruned(tables: dict[str, DataFrame], folder: str | None, as_of: Column, prun
         return dict(tables), {}, {}
     kept = {name: archive.retained(rows, *own[:1], as_of, own[1]) if (own := BUFFERS.get(name)) else rows for name, rows in tables.items()}
     return archive.archive_all(kept, folder, as_of)
+
+
+HOURLY = "region_kind string, region string, hour timestamp, events long, mentions long, sources long"
+
+
+def published_hours(spark: SparkSession, folder: str, event: DataFrame, mention: DataFrame, as_of: Column, hours: int = HOURS) -> str | None:
+    """A run over the published hourly series: of the days that its window touches, and only these, the stored rows are read, the
+    window's hours counted anew and the days published as a whole. Returns the run's name."""
+    kind = event.schema["added_at"].dataType.simpleString()
+    first = F.to_date(as_of - F.expr(f"interval {hours} hours"))
+    base = publish.current(spark, folder, HOURLY.replace("timestamp", kind), first)
+    out = rollup.incremental(base.drop("day"), event, mention, as_of, hours).withColumn("day", F.to_date("hour"))
+    return publish.publish(out.filter(F.col("day") >= first), folder, base.select("day").distinct())

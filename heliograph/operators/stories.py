@@ -49,9 +49,9 @@ def with_headline(top: DataFrame, event: DataFrame, story: DataFrame) -> DataFra
     return top.join(shown, "rep", "left").join(titles, "url", "left").orderBy(F.desc("outlets"), F.desc("outlets_1h"), "skey")
 
 
-def headline_worklist(event: DataFrame, mention: DataFrame, story: DataFrame, as_of: Column, hours: int = 24, least: int = 2, attempts: int = 3, retry_hours: int = 6) -> DataFrame:
+def headline_worklist(event: DataFrame, mention: DataFrame, story: DataFrame, as_of: Column, hours: int = 24, least: int = 2, attempts: int = 3, retry_hours: int = 6, limit: int = 2000) -> DataFrame:
     """Links worth fetching, those with most sources first: the larger of an event's own source count and of the link's outlets in
-    the window, at least `least`, not fetched yet or failed and due again."""
+    the window, at least `least`, not fetched yet or failed and due again; `limit` of them a run."""
     since = as_of - F.expr(f"interval {hours} hours")
     linked = event.filter(F.col("url").isNotNull())
     first = linked.filter(F.col("added_at") > since).select("url", F.col("num_sources").cast("long").alias("n"))
@@ -61,4 +61,4 @@ def headline_worklist(event: DataFrame, mention: DataFrame, story: DataFrame, as
     best = first.unionByName(later).groupBy("url").agg(F.max("n").alias("sources")).filter(F.col("sources") >= least)
     known = story.select("url", "status", "attempts", "fetched_at")
     due = F.col("status").isNull() | ((F.col("status") == "fail") & (F.col("attempts") < attempts) & (F.col("fetched_at") < as_of - F.expr(f"interval {retry_hours} hours")))
-    return best.join(known, "url", "left").filter(due).orderBy(F.desc("sources"), "url").select("url", "sources")
+    return best.join(known, "url", "left").filter(due).orderBy(F.desc("sources"), "url").limit(limit).select("url", "sources")

@@ -161,11 +161,12 @@ def s30(spark, d):
     return facts.unloaded(log.select("source_id", "file").distinct(), log.filter((F.col("event_id") % 3 == 0) & (F.col("fetched_at") < at("2024-01-15 00:00:00"))))
 
 
-@query("f24_active_source", with_("sources", "SELECT name, kind FROM sources WHERE enabled AND name IN ('s1', 's3')"))
+@query("f24_active_source", "SELECT s_name AS name, 'K' || s_nationkey AS kind FROM supplier WHERE s_acctbal > 4000 AND s_name IN (SELECT s_name FROM supplier WHERE s_suppkey <= 6)")
 def f24(spark, d):
-    """Of two sources by name, the one that is enabled."""
-    s = t.sources(spark)
-    return facts.active_source(s, "s1").unionByName(facts.active_source(s, "s3")).select("name", "kind")
+    """Of six suppliers as sources, by name, those that are enabled."""
+    s = t.table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("K"), "s_nationkey").alias("kind"), (F.col("s_acctbal") > 4000).alias("enabled"), "s_suppkey")
+    names = [r["name"] for r in s.filter("s_suppkey <= 6").select("name").collect()]
+    return facts.active_sources(s, names).select("name", "kind")
 
 
 ARTICLES = """article AS (SELECT doc_id AS article_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 100) AS added_at, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS themes, source, lang FROM documents),
@@ -331,19 +332,28 @@ def ground_truth(spark, d):
 
 
 NOW = f"TIMESTAMP '{t.MIDDAY}'"
+
+
+def newer(value: str, hours: int) -> str:
+    """The value, as a time, is less than so many hours before the moment t; a missing one is not."""
+    return f"date_diff('microsecond', {value}::TIMESTAMP, t) < {hours} * 3600000000"
+
+
+#: For each kind, the limits that a current and notable event keeps.
+LIMITS = {
+    "usgs": [newer("added_at", 72)],
+    "tsunami": [newer("added_at", 24), "(category IS NULL OR category <> 'Information')"],
+    "ucdp": ["date_diff('day', occurred_on, t::DATE) < 60"],
+    "volcano": [newer("seen", 3)],
+    "firms": [newer("last_seen", 24), "detections > 49"],
+    "gdacs": [newer("modified", 24 * 30), "(alert IS NULL OR alert <> 'Green')"],
+    "nws": [newer("expires", 0), "severity SIMILAR TO 'Severe|Extreme'", "superseded_by IS NULL"],
+    "ioda": [newer('"end"', 3), newer("added_at", 48)],
+    "radar": ["(" + newer('"end"', 3) + ' OR "end" IS NULL)'],
+}
 LIVE = f"""e AS (SELECT event_id, {list(KINDS)}[((event_id % 20) // 2 + 1)::INT] AS kind, event_id % 2 = 1 AS attention, ts AS added_at, ts::DATE - (event_id % 90)::INT AS occurred_on, CASE WHEN event_id % 4 = 2 THEN 'y' END AS superseded_by,
   {", ".join(f"{sql} AS {chr(34)}{k}{chr(34)}" for k, (sql, _) in PROPS.items())} FROM events WHERE ts <= {NOW}),
-live AS (SELECT * FROM e WHERE NOT attention AND CASE kind
-  WHEN 'usgs' THEN added_at > {NOW} - INTERVAL 72 HOUR
-  WHEN 'gdacs' THEN coalesce(alert, '') <> 'Green' AND modified::TIMESTAMP > {NOW} - INTERVAL 30 DAY
-  WHEN 'nws' THEN superseded_by IS NULL AND expires::TIMESTAMP > {NOW} AND severity IN ('Severe', 'Extreme')
-  WHEN 'tsunami' THEN category IS DISTINCT FROM 'Information' AND added_at > {NOW} - INTERVAL 24 HOUR
-  WHEN 'volcano' THEN seen::TIMESTAMP > {NOW} - INTERVAL 3 HOUR
-  WHEN 'firms' THEN detections >= 50 AND last_seen::TIMESTAMP > {NOW} - INTERVAL 24 HOUR
-  WHEN 'ioda' THEN "end"::TIMESTAMP > {NOW} - INTERVAL 3 HOUR AND added_at > {NOW} - INTERVAL 48 HOUR
-  WHEN 'radar' THEN coalesce("end"::TIMESTAMP, TIMESTAMP '9999-01-01') > {NOW} - INTERVAL 3 HOUR
-  WHEN 'ucdp' THEN occurred_on > {NOW}::DATE - 60
-  ELSE false END)"""
+moments AS (SELECT *, {NOW} AS t FROM e WHERE attention = false), live AS (SELECT event_id, kind, added_at FROM moments JOIN ({" UNION ALL ".join(f"SELECT event_id AS held, '{kind}' AS by_kind FROM moments WHERE {' AND '.join(limits)}" for kind, limits in LIMITS.items())}) r ON r.held = event_id AND r.by_kind = kind)"""
 
 
 @query("f22_live", f"WITH {LIVE} SELECT event_id, kind FROM live")
@@ -356,6 +366,15 @@ def f23(spark, d):
     return facts.newest_live(facts.live(*ground_truth(spark, d), at(t.MIDDAY)), at(t.MIDDAY), hours=24).select("event_id")
 
 
+@query("f20_legend", "SELECT o_orderkey AS k, ['verbal cooperation', 'material cooperation', 'verbal conflict', 'material conflict'][NULLIF(o_orderkey % 6, 0)] AS class, CASE o_custkey % 24 WHEN 14 THEN 'protest' WHEN 19 THEN 'fight' WHEN 4 THEN 'consult' END AS root FROM orders WHERE o_custkey % 24 IN (0, 4, 14, 19, 21)")
+def f20(spark, d):
+    """Names of codes; some codes have none."""
+    from heliograph.functions import EVENT_ROOTS, QUAD_CLASSES, legend
+
+    o = t.table(spark, d, "orders").filter((F.col("o_custkey") % 24).isin(0, 4, 14, 19, 21))
+    return o.select(F.col("o_orderkey").alias("k"), legend((F.col("o_orderkey") % 6).cast("int"), QUAD_CLASSES).alias("class"), legend(F.lpad((F.col("o_custkey") % 24).cast("string"), 2, "0"), EVENT_ROOTS).alias("root"))
+
+
 @query("f16_iso_to_fips", "SELECT c_custkey, CASE WHEN n_regionkey <> 2 THEN n_name END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def f16(spark, d):
     n = t.table(spark, d, "nation")
@@ -402,7 +421,13 @@ def g05(spark, d):
     return points(spark, d).select("id", F.round(sphere_km(F.col("lon"), F.col("lat"), F.lit(20.0), F.lit(10.0)), 6).alias("km"))
 
 
-@query("g01_hull_areas")
+@query("g01_hull_areas", """WITH p AS (SELECT DISTINCT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+way AS (SELECT a.label, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)),
+turn AS (SELECT label, x, y, coalesce(lead(t) OVER w, min(t) OVER (PARTITION BY label, x, y) + 2 * pi()) - t AS free FROM way WINDOW w AS (PARTITION BY label, x, y ORDER BY t)),
+corner AS (SELECT label, x, y FROM turn GROUP BY label, x, y HAVING max(free) > pi()),
+ring AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY atan2(y - cy, x - cx)) AS k, count(*) OVER (PARTITION BY label) AS n FROM (SELECT *, avg(x) OVER (PARTITION BY label) AS cx, avg(y) OVER (PARTITION BY label) AS cy FROM corner))
+SELECT a.label, count(*)::INT AS corners, round(abs(sum((radians(b.x) - radians(a.x)) * (2 + sin(radians(a.y)) + sin(radians(b.y))))) / 2 * 6371.0088 * 6371.0088, 6) AS area_km2
+FROM ring a JOIN ring b ON a.label = b.label AND b.k = a.k % a.n + 1 GROUP BY a.label""")
 def g01(spark, d):
     p = t.table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return geo.hulls(p, "label").select("label", F.size("hull").alias("corners"), F.round("area_km2", 6).alias("area_km2"))
@@ -425,16 +450,32 @@ def head_names(spark, d):
     return t.table(spark, d, "documents").select(F.explode(heads).alias("name")).filter("name <> ''").distinct().withColumn("place_id", F.xxhash64("name"))
 
 
-@query("j19_gazetteer_match", """WITH names AS (SELECT DISTINCT unnest([""" + ", ".join(f"regexp_extract(text, '{HEAD % n}', 1)" for n in range(4)) + """]) AS name FROM documents), named AS (SELECT name FROM names WHERE name <> ''),
+NAMED = """WITH names AS (SELECT DISTINCT unnest([""" + ", ".join(f"regexp_extract(text, '{HEAD % n}', 1)" for n in range(4)) + """]) AS name FROM documents), named AS (SELECT name FROM names WHERE name <> ''),
 every AS (SELECT '(?:^|[^\\p{L}\\p{N}])(' || string_agg(replace(name, ' ', '  '), '|' ORDER BY length(name) DESC, name) || ')(?:[^\\p{L}\\p{N}]|$)' AS p FROM named),
 m AS (SELECT doc_id, replace(unnest(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}])', '\\1\\1', 'g'), p, 1)), '  ', ' ') AS name FROM documents, every)
-SELECT doc_id, name, count(*) AS hits FROM m GROUP BY ALL""")
-def j19(spark, d):
-    from heliograph.operators.gazetteer import match_names
+SELECT doc_id, name, count(*) AS hits FROM m GROUP BY ALL"""
 
+
+def hits_by_name(spark, d, match):
     names = head_names(spark, d)
     texts = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return match_names(texts, names).join(names, "place_id").groupBy(F.col("id").alias("doc_id"), "name").agg(F.count("*").alias("hits"))
+    return match(texts, names).join(names, "place_id").groupBy(F.col("id").alias("doc_id"), "name").agg(F.count("*").alias("hits"))
+
+
+@query("j19_gazetteer_match", NAMED)
+def j19(spark, d):
+    """By one automaton over all names."""
+    from heliograph.operators.gazetteer import match_names
+
+    return hits_by_name(spark, d, match_names)
+
+
+@query("j19_gazetteer_grams", NAMED)
+def j19_grams(spark, d):
+    """By n-grams, as for more names than a worker holds."""
+    from heliograph.operators.gazetteer import match_by_grams
+
+    return hits_by_name(spark, d, match_by_grams)
 
 
 @query("j20_name_to_place", "SELECT c_mktsegment AS name, c_custkey AS place_id FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey % 3, c_acctbal DESC, c_custkey) = 1")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import streaming
-from heliograph.operators import archive, geo, registry, rollup
+from heliograph.operators import archive, geo, registry
 from heliograph.shared import new_folder
 from heliograph.sources import files, snapshots
 
@@ -34,6 +34,10 @@ def land(rows: DataFrame, name: str, by: str | None = None) -> str:
     return path
 
 
+#: Keys that share one landed document, so that the number of documents follows the rows.
+IN_ONE = 1000
+
+
 def documents_of(rows: DataFrame, item: Column, head: str, foot: str, by: Column) -> DataFrame:
     """One text for each value of by: its items between head and foot."""
     return rows.groupBy(by.cast("string").alias("part")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(item), ","), F.lit(foot)).alias("value"))
@@ -66,7 +70,7 @@ def s02(spark, d):
 def t08(spark, d):
     """The same files as a stream, a micro-batch a file."""
     out, cp = new_folder(spark, "series"), new_folder(spark, "series-checkpoint")
-    streaming.load_series(spark, land(event_lines(spark, d).coalesce(3), "events"), out, cp)
+    streaming.load_series(spark, land(event_lines(spark, d), "events"), out, cp)
     e = spark.read.parquet(f"{out}/batch=*")
     return e.select("external_id", F.col("occurred_on").cast("string").alias("occurred_on"), stamp("added_at").alias("added_at"), "country", "lat", "lon", "num_mentions", "url")
 
@@ -154,8 +158,8 @@ def s28(spark, d):
 
 
 def features(rows: DataFrame, item: Column, name: str, key: str = "event_id", head: str = '{"features":[', foot: str = "]}") -> str:
-    """rows in feature collections, one for each of 16 parts of the key."""
-    return land(documents_of(rows, item, head, foot, F.pmod(key, F.lit(16))), name, "part")
+    """rows in feature collections of at most some hundred rows each, however many there are."""
+    return land(documents_of(rows, item, head, foot, F.floor(F.col(key) / IN_ONE)), name, "part")
 
 
 
@@ -179,7 +183,7 @@ def s08(spark, d):
     point = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat((F.col("o_custkey") % 80).cast("string"), F.lit(" 20.5")))
     severity = F.concat(F.lit('<gdacs:severity unit="M" value="'), (F.col("o_orderkey") % 100).cast("string"), F.lit('">Magnitude</gdacs:severity>'))
     item = F.concat(F.lit("<item>"), tag("title", F.lit("T")), tag("link", F.lit("l")), tag("pubDate", when), tag("gdacs:eventtype", F.lit("EQ")), tag("gdacs:eventid", F.col("o_orderkey").cast("string")), tag("gdacs:alertlevel", alert), tag("gdacs:iscurrent", F.lit("true")), severity, tag("georss:point", point), F.lit("</item>"))
-    docs = t.table(spark, d, "orders").groupBy(F.pmod("o_orderkey", F.lit(16)).cast("string").alias("part")).agg(F.concat(F.lit('<rss xmlns:gdacs="g" xmlns:georss="r"><channel>'), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("value"))
+    docs = t.table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / IN_ONE).cast("string").alias("part")).agg(F.concat(F.lit('<rss xmlns:gdacs="g" xmlns:georss="r"><channel>'), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("value"))
     e = snapshots.disasters(spark, land(docs, "disasters", "part"))
     return e.select("external_id", F.to_date("added_at").cast("string").alias("day"), F.get_json_object("props", "$.alert").alias("alert"), "lat", F.get_json_object("props", "$.severity_value").cast("double").alias("severity"))
 
@@ -239,6 +243,8 @@ def s17(spark, d):
     return f.select("iso3", F.col("month").cast("string").alias("month"), "fatalities", "run")
 
 
+#: Files a micro-batch where all that has landed is one.
+EVERY = 1 << 30
 EDITS = "SELECT event_id, user_id, event_type AS title, ts, json_extract_string(props, '$.k')::INT % 10 = 0 AS bot FROM events WHERE event_type <> 'view'"
 
 
@@ -254,18 +260,11 @@ def edit_messages(spark, d) -> DataFrame:
 def t01(spark, d):
     """Edits of a stream (S19), each revision once."""
     out = new_folder(spark, "edits")
-    messages = streaming.lines(spark, land(edit_messages(spark, d).coalesce(1), "messages"))
+    messages = streaming.lines(spark, land(edit_messages(spark, d), "messages"), EVERY)
     streaming.run_once(streaming.edits(messages), out, new_folder(spark, "edits-checkpoint"))
     return spark.read.parquet(out).select("rev", "title", stamp("at").alias("at"), "bot", "user_hash")
 
 
-@query("t06_late_edits", f"SELECT title, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS edits, count(DISTINCT user_id) FILTER (NOT bot) AS editors FROM ({EDITS}) GROUP BY ALL")
-def t06(spark, d):
-    """The hours of pages from all landed edits: what came late is in its hour."""
-    e = snapshots.edit_rows(spark.read.text(land(edit_messages(spark, d), "messages"))).dropDuplicates(["wiki", "rev"])
-    return rollup.page_activity(e).select("title", stamp("hour").alias("hour"), "edits", "editors")
-
-
 def post_messages(spark, d) -> DataFrame:
     """Documents as posts, a minute after each other; every tenth is deleted at the end."""
     docs = t.table(spark, d, "documents").filter("text is not null")
@@ -285,7 +284,7 @@ def first_names(spark, d) -> DataFrame:
 
 def run_posts(spark, d) -> str:
     folder = new_folder(spark, "posts")
-    messages = streaming.lines(spark, land(post_messages(spark, d).coalesce(2), "messages"), 1)
+    messages = streaming.lines(spark, land(post_messages(spark, d), "messages"), EVERY)
     streaming.run_once(messages, "", new_folder(spark, "posts-checkpoint"), streaming.post_batches(first_names(spark, d), folder))
     return folder
 
@@ -297,14 +296,6 @@ def t02(spark, d):
     return counts.join(first_names(spark, d), "place_id").select("name", stamp("bucket").alias("bucket"), "posts")
 
 
-@query("t04_live_pointers", f"""WITH {FIRST_NAMES}, f AS (SELECT name, doc_id, row_number() OVER (PARTITION BY name, date_trunc('hour', make_timestamp(1790000000000000 + doc_id * 60000000)) ORDER BY doc_id) AS n FROM hit)
-SELECT name, 'at://d/app.bsky.feed.post/' || doc_id AS uri FROM f WHERE n <= 20 AND doc_id % 10 <> 0""")
-def t04(spark, d):
-    """The first posts of each place and hour (T03's batch twin), without the deleted ones."""
-    p = streaming.live_pointers(spark, run_posts(spark, d))
-    return p.join(first_names(spark, d), "place_id").select("name", "uri")
-
-
 @query("t03_first_pointers", f"""WITH {FIRST_NAMES}, f AS (SELECT name, doc_id, row_number() OVER (PARTITION BY name, date_trunc('hour', make_timestamp(1790000000000000 + doc_id * 60000000)) ORDER BY doc_id) AS n FROM hit)
 SELECT name, 'at://d/app.bsky.feed.post/' || doc_id AS uri FROM f WHERE n <= 20""")
 def t03(spark, d):
@@ -318,13 +309,13 @@ def t03(spark, d):
 @query("t05_hourly_editors", f"SELECT title, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(DISTINCT user_id) AS editors FROM ({EDITS}) WHERE NOT bot GROUP BY ALL")
 def t05(spark, d):
     """Exact distinct editors of a stream; messages far later close the hours."""
-    path = land(edit_messages(spark, d).coalesce(1), "messages")
+    path, out, cp = land(edit_messages(spark, d), "messages"), new_folder(spark, "editors"), new_folder(spark, "editors-checkpoint")
+    run = lambda: streaming.run_once(streaming.hourly_editors(snapshots.edit_rows(streaming.lines(spark, path, EVERY))), out, cp)
+    run()
     for days in (100, 200, 300):
         late = F.to_json(F.struct(F.lit("enwiki").alias("wiki"), F.lit("en.wikipedia.org").alias("server_name"), F.lit("late").alias("title"), F.lit(0).alias("namespace"), F.lit("edit").alias("type"), F.lit("u").alias("user"), F.lit(False).alias("bot"), F.lit(1_706_572_800 + 86_400 * days).alias("timestamp"), F.struct(F.lit(-days).alias("new")).alias("revision")))
-        spark.range(1).select(late.alias("value")).coalesce(1).write.mode("append").text(path)
-    out = new_folder(spark, "editors")
-    editors = streaming.hourly_editors(snapshots.edit_rows(streaming.lines(spark, path, 1)))
-    streaming.run_once(editors, out, new_folder(spark, "editors-checkpoint"))
+        spark.range(1).select(late.alias("value")).write.mode("append").text(path)
+        run()
     return spark.read.parquet(out).filter("title <> 'late'").select("title", stamp("hour").alias("hour"), "editors")
 
 
@@ -332,7 +323,7 @@ def t05(spark, d):
 def t09(spark, d):
     """Theme counts of articles as a stream in update mode; readers take the latest value of each key."""
     folder = new_folder(spark, "themes")
-    lines = streaming.lines(spark, land(article_lines(spark, d).coalesce(1), "articles"))
+    lines = streaming.lines(spark, land(article_lines(spark, d), "articles"), EVERY)
     counts = streaming.theme_counts(files.articles(lines))
     streaming.run_once(counts, "", new_folder(spark, "themes-checkpoint"), streaming.replacing(folder, ["day", "region", "theme"]), "update")
     return streaming.current(spark, folder, ["day", "region", "theme"]).select("region", "theme", F.date_format("day", "yyyy-MM-dd").alias("day"), "articles")
@@ -340,10 +331,10 @@ def t09(spark, d):
 
 @query("s21_channel_posts", """SELECT event_type AS handle, event_id AS post_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS posted_at, 'Post & ' || event_id AS text, event_id % 900 * 100 + 1000 AS views FROM events""")
 def s21(spark, d):
-    """Channel pages with all posts of a day."""
+    """Channel pages with some posts each."""
     e = t.table(spark, d, "events")
     post = F.concat(F.lit('<div data-post="'), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit('"><time datetime="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00"></time><div class="message_text">Post &amp; <a href="https://a.b/c?x=1&amp;y=2">'), F.col("event_id").cast("string"), F.lit('</a></div><span class="message_views">'), F.format_string("%.1fK", (F.col("event_id") % 900) / 10 + 1), F.lit("</span></div>"))
-    pages = e.groupBy(F.col("event_type").alias("handle"), F.to_date("ts").alias("day")).agg(F.concat(F.lit("<html>"), F.array_join(F.collect_list(post), "\n"), F.lit("</html>")).alias("html"))
+    pages = e.groupBy(F.col("event_type").alias("handle"), F.floor(F.col("event_id") / IN_ONE)).agg(F.concat(F.lit("<html>"), F.array_join(F.collect_list(post), "\n"), F.lit("</html>")).alias("html"))
     return snapshots.channel_posts(pages).select("handle", "post_id", stamp("posted_at").alias("posted_at"), "text", "views")
 
 
@@ -386,7 +377,7 @@ def s10(spark, d):
     place = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("<geo:lat>1.5</geo:lat><geo:long>2.5</geo:long>")
     size = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("<b>Preliminary Magnitude:</b> "), ((F.col("o_custkey") % 9) / 10 + 6).cast("decimal(3,1)").cast("string"), F.lit("(Mw)")))
     entry = F.concat(F.lit("<entry><id>t"), number, F.lit("</id><title>T</title><updated>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:00:00Z</updated>"), place, F.lit("<summary><div><b>Category:</b> "), kind, F.lit("<br/>"), size, F.lit("</div></summary></entry>"))
-    docs = o.groupBy(F.pmod("o_orderkey", F.lit(16)).cast("string").alias("part")).agg(F.concat(F.lit('<feed xmlns:geo="g">'), F.array_join(F.collect_list(entry), "\n"), F.lit("</feed>")).alias("value"))
+    docs = o.groupBy(F.floor(F.col("o_orderkey") / IN_ONE).cast("string").alias("part")).agg(F.concat(F.lit('<feed xmlns:geo="g">'), F.array_join(F.collect_list(entry), "\n"), F.lit("</feed>")).alias("value"))
     e = snapshots.tsunami_bulletins(spark, land(docs, "tsunami", "part"))
     return e.select("external_id", F.to_date("added_at").cast("string").alias("day"), F.get_json_object("props", "$.category").alias("category"), F.get_json_object("props", "$.magnitude").cast("double").alias("magnitude"))
 
@@ -427,17 +418,18 @@ def archive_names(spark) -> DataFrame:
 CUT = "TIMESTAMP '1995-04-15' - INTERVAL 60 DAY"
 
 
-@query("m07_archive_round_trip", f"SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS tag, o_orderdate < {CUT} AND o_orderkey % 5 <> 0 AS cold FROM orders")
+@query("m07_archive_round_trip", f"SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS tag, o_totalprice::FLOAT::DOUBLE AS price, o_orderdate < {CUT} AND o_orderkey % 5 <> 0 AS cold FROM orders")
 def m07(spark, d):
-    """Orders as events: those that are due are in the archive and no longer hot, the others stay; read by SQL over a view (S31, S32)."""
+    """Orders as events: those that are due are in the archive, single precision widened, and no longer hot, the others stay; read by
+    SQL over a view (S31, S32)."""
     folder = new_folder(spark, "archive")
     tables = {"event": archived_event(spark, d), "source": archive_names(spark)}
     hot, _, failed = archive.archive_all(tables, folder, F.lit("1995-04-15 13:00:00").cast("timestamp"))
     if failed:
         raise RuntimeError(str(failed))
-    cold = archive.archive_query(spark, "SELECT id, added_at, tags, true AS cold FROM event", folder, ["event", "none"])
-    both = cold.unionByName(hot["event"].select("id", "added_at", "tags", F.lit(False).alias("cold")))
-    return both.select("id", F.date_format("added_at", "yyyy-MM-dd").alias("day"), F.col("tags")[0].alias("tag"), "cold")
+    cold = archive.archive_query(spark, "SELECT id, added_at, tags, price, true AS cold FROM event", folder, ["event", "none"])
+    both = cold.unionByName(hot["event"].select("id", "added_at", "tags", F.col("price").cast("double").alias("price"), F.lit(False).alias("cold")))
+    return both.select("id", F.date_format("added_at", "yyyy-MM-dd").alias("day"), F.col("tags")[0].alias("tag"), "price", "cold")
 
 
 @query("u14_failures_apart", f"""SELECT 'event' AS table_name, count(*) FILTER (o_orderdate < {CUT} AND o_orderkey % 5 <> 0) AS archived, false AS failed FROM orders UNION ALL SELECT 'wiki_activity', 0, true
@@ -493,25 +485,37 @@ def k05(spark, d):
     return geo.nearest(p, q, 2).select("id", "place_id", F.round("km", 6).alias("km"), "n")
 
 
-@query("j11_fire_joins", """WITH p AS (SELECT event_id AS id, (user_id % 12)::DOUBLE + 0.02 * (event_id % 3) AS lon, 10.0 AS lat, ts FROM events), f AS (SELECT n_nationkey AS fire_id, n_nationkey::DOUBLE AS lon, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * n_nationkey AS last_seen FROM nation)
-SELECT id, fire_id FROM p JOIN f ON f.lon = round(p.lon) AND abs(p.lon - f.lon) < 0.001 AND last_seen > ts - INTERVAL 48 HOUR""")
+@query("j11_fire_joins", """WITH p AS (SELECT event_id AS id, (user_id % 25)::DOUBLE + (event_id % 50) * 0.001 AS lon, 65.0 + (event_id % 30) * 0.0005 AS lat, ts FROM events),
+f AS (SELECT 2 * n_nationkey + k AS fire_id, CASE k WHEN 0 THEN n_nationkey + 0.025 ELSE n_nationkey END AS x1, CASE k WHEN 0 THEN n_nationkey + 0.026 ELSE n_nationkey + 0.04 END AS x2,
+  CASE k WHEN 0 THEN 65.0 ELSE 65.0165 END AS y1, CASE k WHEN 0 THEN 65.0005 ELSE 65.017 END AS y2, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * n_nationkey AS last_seen FROM nation, (VALUES (0), (1)) v(k)),
+c AS (SELECT id, fire_id, greatest(x1 - lon, lon - x2, 0) AS dx, greatest(y1 - lat, lat - y2, 0) AS dy, lat FROM p JOIN f ON abs(lon - x1) < 1 AND last_seen > ts - INTERVAL 48 HOUR)
+SELECT id, fire_id FROM c WHERE sqrt(dx * dx + dy * dy) <= 0.018 AND 111.195 * sqrt(dx * cos(radians(lat)) * dx * cos(radians(lat)) + dy * dy) <= 1.0
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt(dx * dx + dy * dy), fire_id) = 1""")
 def j11(spark, d):
-    """Detections on, or two and four kilometres beside, fires of one point each."""
+    """Detections at 65 degrees north, where a degree of longitude is short: of a fire to the east and one to the north the nearer in
+    degrees is not always the nearer in kilometres."""
     e = t.table(spark, d, "events")
-    pixels = e.select(F.col("event_id").alias("id"), ((F.col("user_id") % 12) + 0.02 * (F.col("event_id") % 3)).cast("double").alias("lon"), F.lit(10.0).alias("lat"), F.col("ts").alias("acq_at"))
-    n = t.table(spark, d, "nation")
-    fires = n.select(F.col("n_nationkey").alias("fire_id"), F.array(F.struct(F.col("n_nationkey").cast("double").alias("x"), F.lit(10.0).alias("y"))).alias("hull"), (at("2024-01-01 00:00:00") + F.make_dt_interval(days=F.col("n_nationkey").cast("int"))).alias("last_seen"))
+    pixels = e.select(F.col("event_id").alias("id"), ((F.col("user_id") % 25) + (F.col("event_id") % 50) * 0.001).cast("double").alias("lon"), (65.0 + (F.col("event_id") % 30) * 0.0005).cast("double").alias("lat"), F.col("ts").alias("acq_at"))
+    n, x = t.table(spark, d, "nation"), F.col("n_nationkey").cast("double")
+    box = lambda x1, x2, y1, y2: F.array(*(F.struct(a.alias("x"), F.lit(b).alias("y")) for a, b in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))))
+    hulls = F.array(F.struct(F.lit(0).alias("k"), box(x + 0.025, x + 0.026, 65.0, 65.0005).alias("hull")), F.struct(F.lit(1).alias("k"), box(x, x + 0.04, 65.0165, 65.017).alias("hull")))
+    fires = n.withColumn("h", F.explode(hulls)).select((F.col("n_nationkey") * 2 + F.col("h.k")).alias("fire_id"), F.col("h.hull").alias("hull"), (at("2024-01-01 00:00:00") + F.make_dt_interval(days=F.col("n_nationkey").cast("int"))).alias("last_seen"))
     return geo.join_fires(pixels, fires)
 
 
 @query("g04_fires", """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS lon, embedding[2]::DOUBLE AS lat FROM embeddings), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) <= 0.009),
-r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(root) AS fire_id FROM r GROUP BY id) SELECT fire_id, count(*) AS detections, count(*) FILTER (id % 2 = 0) AS high_conf, round(sum(id), 3) AS frp_sum, max(id)::DOUBLE AS frp_max FROM c GROUP BY fire_id""")
+r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(root) AS fire_id FROM r GROUP BY id), pt AS (SELECT DISTINCT fire_id, lon AS x, lat AS y FROM c JOIN p USING (id)), way AS (SELECT a.fire_id, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t FROM pt a JOIN pt b ON a.fire_id = b.fire_id AND (a.x <> b.x OR a.y <> b.y)),
+turn AS (SELECT fire_id, x, y, coalesce(lead(t) OVER w, min(t) OVER (PARTITION BY fire_id, x, y) + 2 * pi()) - t AS free FROM way WINDOW w AS (PARTITION BY fire_id, x, y ORDER BY t)),
+corner AS (SELECT fire_id, x, y, avg(x) OVER (PARTITION BY fire_id) AS cx, avg(y) OVER (PARTITION BY fire_id) AS cy FROM (SELECT fire_id, x, y FROM turn GROUP BY fire_id, x, y HAVING max(free) > pi())),
+ring AS (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY atan2(y - cy, x - cx)) AS k, count(*) OVER (PARTITION BY fire_id) AS n FROM corner),
+hull AS (SELECT a.fire_id, count(*)::INT AS corners, abs(sum((radians(b.x) - radians(a.x)) * (2 + sin(radians(a.y)) + sin(radians(b.y))))) / 2 * 6371.0088 * 6371.0088 AS area FROM ring a JOIN ring b ON a.fire_id = b.fire_id AND b.k = a.k % a.n + 1 GROUP BY a.fire_id)
+SELECT fire_id, count(*) AS detections, count(*) FILTER (id % 2 = 0) AS high_conf, round(sum(id), 3) AS frp_sum, max(id)::DOUBLE AS frp_max, coalesce(any_value(corners), 1) AS corners, round(coalesce(any_value(CASE WHEN corners > 2 THEN area END), 0), 6) AS area_km2 FROM c LEFT JOIN hull USING (fire_id) GROUP BY fire_id""")
 def g04(spark, d):
-    """All detections of one run in which no fire is known: clusters, their heads (A23) and totals (A13)."""
+    """All detections of one run in which no fire is known: clusters, their heads (A23), totals and hulls (A13)."""
     p = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("lon"), F.col("embedding")[1].cast("double").alias("lat"), at().alias("acq_at"), F.col("vec_id").cast("double").alias("frp"), F.when(F.col("vec_id") % 2 == 0, "high").otherwise("low").alias("confidence"))
     none = spark.createDataFrame([], f"fire_id long, hull {geo.HULL}, last_seen timestamp_ntz")
     _, totals = geo.track_fires(p.withColumn("fire_id", F.lit(None).cast("long")).limit(0), p, none)
-    return totals.select("fire_id", "detections", "high_conf", F.round("frp_sum", 3).alias("frp_sum"), "frp_max")
+    return totals.select("fire_id", "detections", "high_conf", F.round("frp_sum", 3).alias("frp_sum"), "frp_max", F.size("hull").alias("corners"), F.round("area_km2", 6).alias("area_km2"))
 
 
 @query("j13_placed_alerts", "SELECT o_orderkey AS external_id, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE 'zones' END AS within FROM orders WHERE o_orderkey % 3 <> 2")

@@ -79,7 +79,8 @@ def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 def post_batches(names: DataFrame, folder: str):
     """For foreachBatch over messages: each micro-batch's place counts of five minutes, its pointers and its deleted posts, each
-    in a folder of the batch's own, so that a repeated batch replaces itself. names is read anew each time."""
+    in a folder of the batch's own, so that a repeated batch replaces itself. For names that change while the stream runs, and for
+    pointers that the stream itself takes back, see `batches.live_posts`."""
 
     def write(messages: DataFrame, batch_id: int) -> None:
         messages = messages.persist()
