@@ -53,3 +53,16 @@ def uniform(c: Column, salt: str) -> Column:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_commonest_apart(rows: DataFrame, values: DataFrame, key: str, times: str, most: int = 50_000) -> DataFrame:
+    """rows with the columns of values, one row a key, null where there is none; `times` says how many rows have a key and is left
+    out. The values of the `most` commonest keys go to every task, so that no key with very many rows is dealt to one task; what
+    is left has few rows a key (a most-th part of all at most) and is joined by the key."""
+    common = cut(values.orderBy(F.desc(times), key).limit(most).drop(times))
+    first = rows.join(F.broadcast(common.withColumn("_here", F.lit(True))), key, "left")
+    if values.limit(most + 1).count() <= most:
+        return first.drop("_here")
+    others = values.drop(times).join(F.broadcast(common.select(key)), key, "left_anti")
+    rest = first.filter("_here is null").drop("_here", *(c for c in common.columns if c != key)).join(others, key, "left")
+    return first.filter("_here").drop("_here").unionByName(rest)

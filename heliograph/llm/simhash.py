@@ -13,7 +13,8 @@ distinct fingerprints is dealt as pairs of blocks of at most BLOCK rows, and a b
 spanning forest of its links, so that such an anchor neither falls to one task nor emits all its pairs.
 Components of the links between distinct fingerprints are found within tasks first, then by large-star and small-star rounds.
 
-Nulls: a null or blank text has fingerprint zero and links like any other. A null doc_id gets its
+Nulls: a null or blank text has fingerprint zero and links like any other. A very long text has one fingerprint of all
+its shingles. A bit set in exactly half of them is 0. A null doc_id gets its
 fingerprint and its component's smallest doc_id, but is never that one. Repeated rows stay. An empty table
 gives an empty result. Other columns are left out.
 """
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, cut, table
+from .shared import LOWER, UPPER, cut, join_commonest_apart, table
 
 SHINGLE, SEED, THRESHOLD, BLOCK = 3, 42, 3, 2048
 #: An anchor above this many comparisons is dealt in blocks.
@@ -209,13 +210,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, thr
     """doc_id, fingerprint (16 lower-case hex digits) and component_id, the smallest doc_id reachable over
     links of at most threshold differing bits."""
     prints = cut(fingerprints(docs, words, seed))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")))
     roots = components(links(nodes.select("fp"), threshold)).withColumnRenamed("node", "fp")
-    rooted = cut(nodes.join(roots, "fp").union(nodes.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", "first_id", F.col("fp").alias("root"))))
+    named = nodes.drop("times")
+    rooted = cut(named.join(roots, "fp").union(named.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", "first_id", F.col("fp").alias("root"))))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_linked = rooted.join(ids, "root").select("fp", "component_id")
-    of_node = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_node = cut(nodes.join(of_linked, "fp", "left").select("fp", "times", F.coalesce("component_id", "first_id").alias("component_id")))
+    # Blank texts and boilerplate may have one fingerprint a third of all rows.
+    return join_commonest_apart(prints, of_node, "fp", "times").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trees
-from .mixing import small
-from .shared import ascii_lower, table
+from .shared import ascii_lower, cut, join_commonest_apart, table
 
 #: (verdict, host, path): a rule fits its host and subdomains where the path starts with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -81,8 +80,8 @@ def with_suffix_rates(urls: DataFrame) -> DataFrame:
     overall = urls.agg(F.avg("y")).first()[0]
     overall = 0.5 if overall is None else overall
     for suffix in ("last_label", "last_two"):
-        known = urls.filter("y is not null").groupBy(suffix).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-        urls = urls.join(small(known, 50_000), suffix, "left")
+        known = cut(urls.groupBy(suffix).agg(F.count("*").alias("times"), F.count("y").alias("n"), F.sum("y").alias("blocked")))
+        urls = join_commonest_apart(urls, known, suffix, "times")
         own = F.when(F.col("y").isNotNull(), 1).otherwise(0)
         rate = (F.coalesce("blocked", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)) + PRIOR * overall) / (F.coalesce("n", F.lit(0)) - own + PRIOR)
         urls = urls.withColumn(f"{suffix}_rate", rate).drop("n", "blocked")
@@ -101,7 +100,7 @@ def fit(urls: DataFrame, sample: int = SAMPLE) -> tuple[float, list] | None:
 
 def judge(pages: DataFrame, rules: tuple = RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' score of every page."""
-    urls = with_suffix_rates(lexical(with_rule(split_url(pages), rules)))
+    urls = with_suffix_rates(cut(lexical(with_rule(split_url(pages), rules))))  # features are made once, not for every pass
     model = fit(urls, sample)
     if model is None:
         score = F.lit(0.0)
