@@ -2,6 +2,11 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again, and all but the last return
 the columns of `documents`. See README.md for the parameters.
+
+Nulls: a null text is an empty one in every stage, and stays null up to the mix, which takes no words of it; a null doc_id, source or other
+column stays. Rows without a doc_id are never near-duplicates of others. Very long texts go whole through all stages. Repeated
+rows are near-duplicates, of which one stays. Of equal documents the least doc_id stays. An empty table gives an empty result in every
+stage. Further columns are kept up to the last stage, also where their names are those that a stage uses itself.
 """
 
 from __future__ import annotations

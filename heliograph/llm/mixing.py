@@ -11,7 +11,8 @@ their distribution function; sums of buckets give each bucket's start, and rows
 their bucket. So a source with a third of all rows costs no task more than the others.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last, a null or repeated
-doc_id is allowed. Documents of size 0 are taken in no words. An empty table gives an empty result. More
+doc_id is allowed. Documents of size 0 are taken in no words. Very long texts count whole. Documents of equal keys, like repeated rows, are
+taken together or not at all. An empty table gives an empty result. More
 columns of the input are left out of `mix_plan` and kept by `mix`.
 """
 

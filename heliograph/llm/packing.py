@@ -11,7 +11,8 @@ a class has beyond its last full sequence are fewer than the classes' slots in t
 whatever the input; those are packed together, largest first.
 
 Nulls: a null text is empty, and its one piece is the end id. Rows with a null doc_id and repeated rows
-are packed like others. An empty table gives an empty result.
+are packed like others. Very long texts are encoded whole. Ways to cut that leave equal padding go to the fewer slots; equal
+pieces go by task and row. Columns other than doc_id and text are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Labels of documents with crc32(doc_id) mod 4 = 2 are held out and never seen in
 
 Nulls: a null text counts as empty; all statistics of an empty text are 0 and it is scored like others.
 Without labels of both kinds the score is the share of label 1, or 0.5. Rows with a null doc_id are scored
-and not held out. Repeated rows and repeated labels stay as they are; a null label is none. Other columns
+and not held out. Very long texts are measured whole, and an empty table gives an empty result. Repeated rows and repeated labels stay as they are; a null label is none. Other columns
 are left out by `score_documents` and kept by `keep_good`.
 """
 

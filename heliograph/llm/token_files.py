@@ -12,7 +12,7 @@ text) are dealt by ranges of doc_id, sorted, and each task writes one file under
 renames it, so a repeated attempt leaves the same file. Starts come from one row per file.
 
 Nulls: a null text is empty and has only its end id; rows with a null doc_id come first. Repeated rows are
-written as often as they come. An empty table writes no file. Other columns are not written.
+written as often as they come. A very long text is one frame. An empty table writes no file. Other columns are not written.
 """
 
 from __future__ import annotations
