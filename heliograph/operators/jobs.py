@@ -85,3 +85,46 @@ def published_hours(spark: SparkSession, folder: str, event: DataFrame, mention:
     base = publish.current(spark, folder, HOURLY.replace("timestamp", kind), first)
     out = rollup.incremental(base.drop("day"), event, mention, as_of, hours).withColumn("day", F.to_date("hour"))
     return publish.publish(out.filter(F.col("day") >= first), folder, base.select("day").distinct())
+
+
+#: The series that a run keeps: their columns (without a time's kind) and the column that says the day.
+SERIES = {
+    "attention_hourly": (HOURLY, "hour"),
+    "attention_daily": ("region_kind string, region string, events long, mentions long, sources long", "day"),
+    "mention_hourly": ("event_id {id}, hour timestamp, mentions long, sources long", "hour"),
+    "wiki_activity": ("wiki string, title string, hour timestamp, edits long, editors long, created boolean", "hour"),
+    "chatter_hourly": ("source string, place_id {id}, hour timestamp, posts long", "hour"),
+    "attention_anomaly": ("region_kind string, region string, hour timestamp, events long, mentions long, sources long, baseline_mean double, baseline_sd double, z double, computed_at timestamp", "hour"),
+    "region_name": ("region_kind string, region string, name string", None),
+}
+#: Where a table without a time is kept.
+NO_DAY = "1970-01-01"
+
+
+def with_day(rows: DataFrame, time: str | None) -> DataFrame:
+    return rows if time == "day" else rows.withColumn("day", F.to_date(F.lit(NO_DAY)) if time is None else F.to_date(time))
+
+
+def series_of(spark: SparkSession, folder: str, since: Column | None = None, kind: str = "timestamp", key: str = "string") -> dict[str, DataFrame]:
+    """The published series with their column day; `kind` is the kind of their times, `key` that of events and places."""
+    read = lambda name, ddl, time: publish.current(spark, folder, ddl.format(id=key).replace("timestamp", kind), since if time else None, name)
+    return {name: read(name, *own) for name, own in SERIES.items()}
+
+
+def publish_series(series: dict[str, DataFrame], folder: str, touched: dict[str, DataFrame] | None = None) -> str | None:
+    """All series at once; those of a run name the days it has touched, which it then publishes as a whole."""
+    return publish.publish_all({name: (with_day(rows, SERIES[name][1]), (touched or {}).get(name)) for name, rows in series.items()}, folder)
+
+
+def published_run(spark: SparkSession, folder: str, buffers: dict[str, DataFrame], as_of: Column, hours: int = HOURS) -> str | None:
+    """An hourly run over the published series: the stored days under the window's baselines are read, all series counted anew, and
+    the days that the window touches published, those of all series at once."""
+    kind, key = (buffers["event"].schema[c].dataType.simpleString() for c in ("added_at", "id"))
+    first = F.to_date(as_of - F.expr(f"interval {hours} hours"))
+    stored = series_of(spark, folder, F.date_sub(first, BASELINE_DAYS), kind, key)
+    own = {name: rows if SERIES[name][1] == "day" else rows.drop("day") for name, rows in stored.items()}
+    out = rolled_up({**buffers, **own}, as_of, as_of - F.expr(f"interval {hours} hours"))
+    recent = lambda rows, time: rows if time is None else rows.filter(F.col("day") >= first)
+    new = {name: recent(with_day(out[name].select(*own[name].columns), time), time) for name, (_, time) in SERIES.items()}
+    touched = {name: recent(stored[name], time).select("day").distinct() for name, (_, time) in SERIES.items()}
+    return publish.publish_all({name: (new[name], touched[name]) for name in SERIES}, folder)

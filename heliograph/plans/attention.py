@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import functions as own
-from heliograph.operators import jobs, rollup, share, stories
-from heliograph.shared import checkpointed
+from heliograph.operators import jobs, publish, rollup, share, stories
+from heliograph.shared import checkpointed, new_folder
 
 from . import standins as t
 from .standins import AS_OF, MIDDAY, at, stamp, with_
@@ -131,16 +131,46 @@ def job_tables(spark, d) -> dict[str, DataFrame]:
     }
 
 
-@query("m01_hourly_job", with_("daily anomaly mention", f""",
+AFTER_A_RUN = with_("daily anomaly mention", f""",
 edits AS (SELECT event_type AS title, ts AS seen_at, user_id, json_extract_string(props, '$.k')::INT % 10 = 0 AS bot FROM events)
 SELECT 'days' AS series, region_kind || ' ' || region AS key, strftime(day, '%Y-%m-%d') AS at, mentions, events AS more FROM daily
 UNION ALL SELECT 'scores', region_kind || ' ' || region, strftime(hour, '%Y-%m-%d %H:%M:%S'), mentions, round(1000 * {{Z}})::BIGINT FROM anomaly WHERE hour >= TIMESTAMP '2024-01-29'
 UNION ALL SELECT 'mentions', event_id::VARCHAR, strftime(date_trunc('hour', mentioned_at), '%Y-%m-%d %H:%M:%S'), count(*), count(DISTINCT source_name) FROM mention GROUP BY ALL
 UNION ALL SELECT 'edits', title, strftime(date_trunc('hour', seen_at), '%Y-%m-%d %H:%M:%S'), count(*), count(DISTINCT user_id) FILTER (NOT bot) FROM edits GROUP BY ALL
-UNION ALL SELECT 'posts', event_type || ' ' || user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S'), count(*), 0 FROM events GROUP BY ALL""".replace("{Z}", Z)))
+UNION ALL SELECT 'posts', event_type || ' ' || user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S'), count(*), 0 FROM events GROUP BY ALL""".replace("{Z}", Z))
+
+
+@query("m01_hourly_job", AFTER_A_RUN)
 def m01_job(spark, d):
     """All series after one run of the hourly job."""
-    out = jobs.hourly_run(job_tables(spark, d), at())
+    return side_by_side(jobs.hourly_run(job_tables(spark, d), at()))
+
+
+@query("m01_published_job", AFTER_A_RUN)
+def m01_published(spark, d):
+    """The same over series published by day: the old ones, a run that fails while it writes its fifth series, and the run twice."""
+    tables, folder = job_tables(spark, d), new_folder(spark, "series")
+    scores = tables["attention_hourly"].limit(0).select("*", *(F.lit(0.0).alias(c) for c in ("baseline_mean", "baseline_sd", "z")), at().alias("computed_at"))
+    jobs.publish_series({**{name: tables[name] for name in jobs.SERIES}, "attention_anomaly": scores}, folder)
+    buffers = {name: tables[name] for name in ("event", "mention", "wiki_edit", "chatter_5min")}
+    bad = {**buffers, "chatter_5min": buffers["chatter_5min"].withColumn("posts", F.when(F.col("posts") > 0, F.raise_error(F.lit("stop")).cast("long")))}
+    before = publish.versions(spark, folder).count()
+    try:
+        jobs.published_run(spark, folder, bad, at())
+    except Exception as x:
+        if "stop" not in str(x):
+            raise
+    else:
+        raise AssertionError("the run was to fail")
+    if publish.versions(spark, folder).count() != before:
+        raise AssertionError("a run that failed was published")
+    for _ in range(2):
+        jobs.published_run(spark, folder, buffers, at())
+    return side_by_side(jobs.series_of(spark, folder, None, "timestamp_ntz", "bigint"))
+
+
+def side_by_side(out: dict[str, DataFrame]) -> DataFrame:
+    """Rows of all series under common columns."""
     place, hour = F.concat_ws(" ", "region_kind", "region"), stamp("hour")
     row = lambda name, table, key, time, first, more: out[table].select(F.lit(name).alias("series"), key.alias("key"), time.alias("at"), F.col(first).cast("long").alias("mentions"), more.cast("long").alias("more"))
     return (

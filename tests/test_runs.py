@@ -64,6 +64,20 @@ def test_runner_of_sources(spark, tmp_path):
     assert {r.external_id: r.lat for r in third.collect()} == {"a": 0.5, "b": 40.0, "c": 0.2}
 
 
+def test_alerts_that_later_runs_refer_to(spark):
+    box = [[[{"x": float(x), "y": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]]]
+    shapes = spark.createDataFrame([("AA", box)], f"code string, geom {geo.SHAPE}")
+    lots = {"one": [("a", 1, []), ("b", 2, [])], "two": [("b", 3, []), ("c", 3, ["a"])], "three": [("a", 9, [])]}
+    ddl = "external_id string, added_at timestamp, lon double, lat double, refs array<string>"
+    read = lambda spark, lot: spark.createDataFrame([(k, datetime(2026, 9, 20, h), 0.5, 0.5, refs) for k, h, refs in lots[lot]], ddl)
+    job = source_jobs.SourceJob("alerts", read, refers=True)
+    stored, now = spark.createDataFrame([], snapshots.schemas.EVENT + ", superseded_by string"), F.lit(datetime(2026, 9, 20, 12))
+    for lot, want in (("one", {"a": None, "b": None}), ("two", {"a": "c", "b": None, "c": None}), ("three", {"a": "c", "b": None, "c": None})):
+        stored, _ = source_jobs.run_source(spark, job, lot, stored, shapes, now)
+        assert {r.external_id: r.superseded_by for r in stored.collect()} == want
+    assert {r.country for r in stored.collect()} == {"AA"}
+
+
 def post(k, text, op="create", s=0):
     return json.dumps({"did": "d", "time_us": (1790000000 + s) * 1_000_000, "kind": "commit", "commit": {"collection": "app.bsky.feed.post", "operation": op, "rkey": k, "record": {"text": text}}})
 
