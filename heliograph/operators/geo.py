@@ -240,9 +240,12 @@ def near_edges(points: DataFrame, eps: float) -> DataFrame:
     while True:
         small = (F.col("n") * F.col("o_n") <= MOST_PAIRS) | F.lit(level == HALVINGS)
         links = links.unionByName(pairs.filter("sure").select("a", F.col("o_a").alias("b"))).unionByName(compared(placed, pairs.filter(~F.col("sure") & small), level, eps))
+        crowded = pairs.filter(~F.col("sure") & ~small)
+        if level == HALVINGS or not crowded.limit(1).count():
+            return links
         settled = pairs.filter("sure").select("pair").distinct()
-        left = checkpointed(pairs.filter(~F.col("sure") & ~small).join(settled, "pair", "left_anti").select("pair", "cx", "cy", "ox", "oy"))
-        if level == HALVINGS or not left.limit(1).count():
+        left = checkpointed(crowded.join(settled, "pair", "left_anti").select("pair", "cx", "cy", "ox", "oy"))
+        if not left.limit(1).count():
             return links
         # Quarters of the cells of open pairs.
         level += 1
