@@ -32,6 +32,11 @@ def around(c: Column, size: float, by: int = 1) -> Column:
 EDGES = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
 
 
+def named(value: Column, then) -> Column:
+    """then(value), where value is worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def edges_of(rings: Column) -> Column:
     """The edges of all rings of a polygon; a ring's last point need not repeat its first."""
     ring = lambda r: F.transform(r, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at(r, F.pmod(i + 1, F.size(r)) + 1)["x"].alias("x2"), F.element_at(r, F.pmod(i + 1, F.size(r)) + 1)["y"].alias("y2")))
@@ -336,27 +341,35 @@ def inner_point(shape: Column) -> Column:
     between two of its corners' latitudes."""
     area = lambda rings: F.abs(F.aggregate(edges_of(F.array(rings[0])), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"]))
     largest = F.array_max(F.transform(shape, lambda rings, i: F.struct(area(rings).alias("area"), (-i).alias("i"))))
-    part = F.element_at(shape, -largest["i"] + 1)
 
     def stretches(edges: Column, y: Column) -> Column:
         cuts = F.array_sort(F.transform(F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-        pairs = F.transform(cuts, lambda x, i: F.struct((F.get(cuts, i + 1) - x).alias("wide"), ((F.get(cuts, i + 1) + x) / 2).alias("x"), y.alias("y")))
-        return F.filter(pairs, lambda p, i: (i % 2 == 0) & p["wide"].isNotNull())
+        pairs = lambda c: F.transform(c, lambda x, i: F.struct((F.get(c, i + 1) - x).alias("wide"), ((F.get(c, i + 1) + x) / 2).alias("x"), y.alias("y")))
+        return F.filter(named(cuts, pairs), lambda p, i: (i % 2 == 0) & p["wide"].isNotNull())
+
+    def widest(edges: Column) -> Column:
+        ys = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["y1"])))
+        lines = named(ys, lambda v: F.filter(F.transform(v, lambda y, i: (y + F.get(v, i + 1)) / 2), lambda y: y.isNotNull()))
+        return F.array_max(F.flatten(F.transform(lines, lambda y: stretches(edges, y))))
+
+    def within(part: Column) -> Column:
+        corner = F.struct(part[0][0]["x"].alias("x"), part[0][0]["y"].alias("y"))
+        best = named(edges_of(part), widest)
+        return named(best, lambda b: F.coalesce(F.when(b.isNotNull(), F.struct(b["x"].alias("x"), b["y"].alias("y"))), corner))
 
-    edges = edges_of(part)
-    ys = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["y1"])))
-    lines = F.filter(F.transform(ys, lambda y, i: (y + F.get(ys, i + 1)) / 2), lambda y: y.isNotNull())
-    best = F.array_max(F.flatten(F.transform(lines, lambda y: stretches(edges, y))))
-    corner = F.struct(part[0][0]["x"].alias("x"), part[0][0]["y"].alias("y"))
-    return F.coalesce(F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y"))), corner)
+    return named(F.element_at(shape, -largest["i"] + 1), within)
 
 
 def place_alerts(alerts: DataFrame, zones: DataFrame) -> DataFrame:
-    """Alerts with lon and lat: on their own shape, else on the parts of all their zones together; others are dropped."""
-    by_zone = alerts.filter("geom is null").select("external_id", F.explode("zones").alias("url")).distinct().join(zones.filter("geom is not null").select("url", F.col("geom").alias("zone")), "url")
-    union = by_zone.groupBy("external_id").agg(F.flatten(F.array_sort(F.collect_list("zone"))).alias("zone"))
-    shaped = alerts.join(union, "external_id", "left").withColumn("shape", F.coalesce("geom", "zone")).filter("shape is not null")
-    return shaped.withColumn("_p", inner_point(F.col("shape"))).withColumn("lon", F.col("_p.x")).withColumn("lat", F.col("_p.y")).drop("_p", "zone", "shape")
+    """Alerts with lon and lat: on their own shape, else on the parts of all their zones together; others are dropped. Zones are put
+    together once for all alerts that have the same ones."""
+    blank = alerts.filter("geom is null")
+    sets = blank.select("external_id", F.explode("zones").alias("url")).groupBy("external_id").agg(F.array_sort(F.collect_set("url")).alias("_urls"))
+    known = sets.select("_urls").distinct().select("_urls", F.explode("_urls").alias("url")).join(zones.filter("geom is not null").select("url", F.col("geom").alias("zone")), "url")
+    unions = known.groupBy("_urls").agg(F.flatten(F.array_sort(F.collect_list("zone"))).alias("zone")).select("_urls", inner_point(F.col("zone")).alias("_p"))
+    own = alerts.filter("geom is not null").withColumn("_p", inner_point(F.col("geom")))
+    both = own.unionByName(blank.join(sets, "external_id").join(unions, "_urls").select(*alerts.columns, "_p"))
+    return both.select(*alerts.columns, F.col("_p.x").alias("lon"), F.col("_p.y").alias("lat"))
 
 
 def join_fires(pixels: DataFrame, fires: DataFrame, km: float = 1.0, hours: int = 48, size: float = 0.05, degrees: float = 0.018) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from heliograph import plans, streaming
+from heliograph.operators import geo
 
 
 def test_pointer_state_is_by_hour_not_by_place(spark, tmp_path):
@@ -35,3 +36,17 @@ def test_page_title_resolves_what_its_sql_does(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == dict(c.execute(plans.SQL["f06_page_title"]).fetchall())
+
+
+def test_inner_point_works_each_step_out_once(spark):
+    """An expression within a lambda is worked out for every use, so none may be there twice."""
+    shape = spark.createDataFrame([], f"s {geo.SHAPE}").select(geo.inner_point(F.col("s")).alias("p"))
+    assert shape._jdf.queryExecution().analyzed().toString().count("array_sort(") == 2
+
+
+def test_zones_are_united_once_for_alike_alerts(spark):
+    box = lambda x: [[[{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]]]
+    z = spark.createDataFrame([("u", box(0.0)), ("v", box(5.0)), ("w", None)], f"url string, geom {geo.SHAPE}")
+    rows = [("a", None, ["u", "v", "u"]), ("b", None, ["v", "u"]), ("c", box(9.0), ["u"]), ("d", None, ["w", "none"]), ("e", None, []), ("f", None, None), ("g", None, ["v"])]
+    got = {r.external_id: (r.lon, r.lat) for r in geo.place_alerts(spark.createDataFrame(rows, f"external_id string, geom {geo.SHAPE}, zones array<string>"), z).collect()}
+    assert got == {"a": (0.5, 0.5), "b": (0.5, 0.5), "c": (9.5, 0.5), "g": (5.5, 0.5)}
