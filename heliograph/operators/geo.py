@@ -7,11 +7,15 @@ rings of (x, y) structs, the first one outer; a shape is an array of polygons.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from heliograph.functions import planar, sphere_km
 from heliograph.shared import checkpointed
@@ -372,14 +376,42 @@ def place_alerts(alerts: DataFrame, zones: DataFrame) -> DataFrame:
     return both.select(*alerts.columns, F.col("_p.x").alias("lon"), F.col("_p.y").alias("lat"))
 
 
+def hull_distances(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`edge_distance` and, with x shrunk by `squeeze`, the same in km, of rows (id, fire_id, lon, lat, squeeze, edges), some thousand rows at
+    a time; edges with a missing coordinate count as none."""
+    for batch in batches:
+        rows = batch.filter(pc.greater(pc.list_value_length(batch.column("edges")), 0))
+        if not rows.num_rows:
+            continue
+        listed = rows.column("edges")
+        counts = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+        e = listed.flatten()
+        x1, y1, x2, y2 = (pc.cast(c, pa.float64()).to_numpy(zero_copy_only=False) for c in e.flatten())
+        x, y, by = (np.repeat(rows.column(c).to_numpy(zero_copy_only=False), counts) for c in ("lon", "lat", "squeeze"))
+        starts = np.cumsum(counts) - counts
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossed = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            inner = np.add.reduceat(crossed.astype("int64"), starts) % 2 == 1
+
+            def far(by) -> np.ndarray:
+                dx, dy, px, py = (x2 - x1) * by, y2 - y1, (x - x1) * by, y - y1
+                long = dx * dx + dy * dy
+                t = np.where(long > 0, np.minimum(np.maximum((px * dx + py * dy) / long, 0.0), 1.0), 0.0)
+                to_edge = np.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+                return np.where(inner, 0.0, np.fmin.reduceat(to_edge, starts))
+
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("fire_id"), pa.array(far(1.0)), pa.array(far(by) * KM_PER_DEGREE)], names=["id", "fire_id", "far", "km"])
+
+
 def join_fires(pixels: DataFrame, fires: DataFrame, km: float = 1.0, hours: int = 48, size: float = 0.05, degrees: float = 0.018) -> DataFrame:
     """(id, fire_id): the fire nearest in degrees, of equals the least id, of those whose hull is within `km` and `degrees` of a
     detection and that were seen within `hours` before it. fires has fire_id, hull, last_seen; pixels has id, lon, lat, acq_at."""
     shapes = fires.select(F.col("fire_id").alias("code"), F.array(F.array("hull")).alias("geom"))
     cells = covered_cells(shapes, size, km).withColumnRenamed("code", "fire_id").join(fires.select("fire_id", "last_seen"), "fire_id")
     near = with_cell(pixels, size).join(cells, ["cx", "cy"]).filter(F.col("last_seen") > F.col("acq_at") - F.expr(f"interval {hours} hours"))
-    x, y, edges = F.col("lon"), F.col("lat"), F.col("edges")
-    near = near.withColumn("far", edge_distance(x, y, edges)).filter((F.col("far") <= degrees) & (edge_km(x, y, edges) <= km))
+    asked = near.select("id", "fire_id", *(F.col(c).cast("double").alias(c) for c in ("lon", "lat")), F.cos(F.radians("lat")).alias("squeeze"), "edges")
+    kinds = StructType([asked.schema["id"], asked.schema["fire_id"], StructField("far", DoubleType()), StructField("km", DoubleType())])
+    near = asked.mapInArrow(hull_distances, kinds).filter((F.col("far") <= degrees) & (F.col("km") <= km))
     return near.groupBy("id").agg(F.min(F.struct("far", "fire_id")).alias("b")).select("id", F.col("b.fire_id").alias("fire_id"))
 
 

@@ -50,3 +50,20 @@ def test_zones_are_united_once_for_alike_alerts(spark):
     rows = [("a", None, ["u", "v", "u"]), ("b", None, ["v", "u"]), ("c", box(9.0), ["u"]), ("d", None, ["w", "none"]), ("e", None, []), ("f", None, None), ("g", None, ["v"])]
     got = {r.external_id: (r.lon, r.lat) for r in geo.place_alerts(spark.createDataFrame(rows, f"external_id string, geom {geo.SHAPE}, zones array<string>"), z).collect()}
     assert got == {"a": (0.5, 0.5), "b": (0.5, 0.5), "c": (9.5, 0.5), "g": (5.5, 0.5)}
+
+
+def test_fires_are_as_near_as_column_expressions_say(spark):
+    """Hull distances in Arrow batches against the same by expressions, which no row goes through any more."""
+    rng = random.Random(3)
+    ring = lambda x, y: [{"x": x + rng.uniform(0, 0.03), "y": y + rng.uniform(0, 0.01)} for _ in range(rng.randint(1, 6))]
+    at = datetime(2026, 9, 20, 12)
+    fires = spark.createDataFrame([(k, ring(rng.uniform(0, 0.2), 65 + rng.uniform(0, 0.1)), at) for k in range(40)], f"fire_id long, hull {geo.HULL}, last_seen timestamp")
+    pixels = spark.createDataFrame([(k, rng.uniform(0, 0.2), 65 + rng.uniform(0, 0.1), at) for k in range(500)], "id long, lon double, lat double, acq_at timestamp")
+    met = geo.join_fires(pixels, fires)
+    assert "MapInArrow" in met._jdf.queryExecution().executedPlan().toString()
+    edges = geo.edges_of(F.array("hull"))
+    far, km = geo.edge_distance(F.col("lon"), F.col("lat"), edges), geo.edge_km(F.col("lon"), F.col("lat"), edges)
+    every = pixels.crossJoin(fires).withColumn("far", far).filter((F.col("far") <= 0.018) & (km <= 1.0))
+    want = every.groupBy("id").agg(F.min(F.struct("far", "fire_id")).alias("b")).select("id", "b.fire_id")
+    got = {tuple(r) for r in met.collect()}
+    assert got == {tuple(r) for r in want.collect()} and len(got) > 50
