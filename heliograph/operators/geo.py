@@ -222,13 +222,15 @@ def judged(pairs: DataFrame, eps: float) -> DataFrame:
 
 
 def compared(points: DataFrame, pairs: DataFrame, level: int, eps: float) -> DataFrame:
-    """(a, b): one link of each pair of cells that has one, by comparing all their points."""
+    """(a, b): a link of each pair of cells that has one, between their least points, to which all others of their cells are linked. A point
+    is done with another cell at the first point that is near; nothing is kept of a pair of cells but that it has a link."""
     at = lambda c: F.shiftright(c, HALVINGS - level)
-    one = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), at("fx").alias("cx"), at("fy").alias("cy"))
-    two = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), at("fx").alias("ox"), at("fy").alias("oy"))
-    cells = ["cx", "cy", "ox", "oy"]
-    met = pairs.select(*cells).join(one, ["cx", "cy"]).join(two, ["ox", "oy"]).filter(planar(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps)
-    return met.groupBy(*cells).agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b")
+    one = points.select(F.col("x").alias("ax"), F.col("y").alias("ay"), at("fx").alias("cx"), at("fy").alias("cy"))
+    two = points.select(F.col("x").alias("bx"), F.col("y").alias("by"), at("fx").alias("ox"), at("fy").alias("oy"))
+    asked = pairs.select("cx", "cy", "ox", "oy", F.col("a").alias("least"), F.col("o_a").alias("o_least")).join(one, ["cx", "cy"]).alias("l")
+    near = planar(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps
+    met = asked.join(two.alias("r"), (F.col("l.ox") == F.col("r.ox")) & (F.col("l.oy") == F.col("r.oy")) & near, "left_semi")
+    return met.select(F.col("least").alias("a"), F.col("o_least").alias("b")).distinct()
 
 
 def near_edges(points: DataFrame, eps: float) -> DataFrame:

@@ -67,3 +67,15 @@ def test_fires_are_as_near_as_column_expressions_say(spark):
     want = every.groupBy("id").agg(F.min(F.struct("far", "fire_id")).alias("b")).select("id", "b.fire_id")
     got = {tuple(r) for r in met.collect()}
     assert got == {tuple(r) for r in want.collect()} and len(got) > 50
+
+
+def test_links_of_cells_keep_no_pairs_of_points(spark):
+    """Two cells of 50 points, all near each other: one link, and no sort of all pairs on the way to it."""
+    points = [(k, 0.001 * (k % 10), 0.0) for k in range(50)] + [(100 + k, 0.001 * (k % 10), 0.009) for k in range(50)]
+    fine = lambda c: F.floor(F.col(c) / 0.0084 * F.lit(float(1 << geo.HALVINGS))).cast("long")
+    placed = spark.createDataFrame(points, "id long, x double, y double").filter("x < 0.008").select("id", "x", "y", fine("x").alias("fx"), fine("y").alias("fy"))
+    pair = spark.createDataFrame([(0, 0, 0, 1, 0, 100)], "cx long, cy long, ox long, oy long, a long, o_a long")
+    links = geo.compared(placed, pair, 0, 0.012)
+    assert [tuple(r) for r in links.collect()] == [(0, 100)]
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "SortAggregate" not in plan
