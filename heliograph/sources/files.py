@@ -6,6 +6,8 @@ Timestamps are UTC.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +20,21 @@ AT = {"external_id": 0, "day": 1, "actor1_name": 6, "actor1_country": 7, "actor2
 STAMP = "yyyyMMddHHmmss"
 
 
-def fields(lines: DataFrame) -> DataFrame:
-    return lines.select(F.split("value", "\t", -1).alias("f"))
+def fields(lines: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    return lines.select(*also, F.split("value", "\t", -1).alias("f"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def event_rows(lines: DataFrame) -> DataFrame:
-    """All event rows with `kept`: of full width, with a place, its country and coordinates. A bad day is null."""
+def event_rows(lines: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """All event rows with `kept`: of full width, with a place, its country and coordinates. A bad day is null. Columns `also` stay."""
     f = lambda name: F.get(F.col("f"), F.lit(AT[name]))
     text = lambda name: empty_to_null(f(name)).alias(name)
     number = lambda name, kind: f(name).try_cast(kind).alias(name)
-    rows = fields(lines).select(
-        "f", text("external_id"), F.to_date(F.try_to_timestamp(f("day"), F.lit("yyyyMMdd"))).alias("occurred_on"), F.try_to_timestamp(f("added_at"), F.lit(STAMP)).alias("added_at"), text("cameo_code"), text("cameo_root"),
+    rows = fields(lines, also).select(
+        *also, "f", text("external_id"), F.to_date(F.try_to_timestamp(f("day"), F.lit("yyyyMMdd"))).alias("occurred_on"), F.try_to_timestamp(f("added_at"), F.lit(STAMP)).alias("added_at"), text("cameo_code"), text("cameo_root"),
         number("quad_class", "short"), number("goldstein", "double"), number("tone", "double"), *(text(c) for c in ("actor1_name", "actor1_country", "actor2_name", "actor2_country")), number("geo_type", "short"), text("geo_name"), text("country"), text("adm1"),
         number("lon", "double"), number("lat", "double"), *(number(c, "int") for c in ("num_mentions", "num_sources", "num_articles")), text("url"), F.lit(None).cast("string").alias("props"),
     )
@@ -44,10 +46,10 @@ def events(lines: DataFrame) -> DataFrame:
     return event_rows(lines).filter("kept").drop("kept")
 
 
-def mention_rows(lines: DataFrame) -> DataFrame:
+def mention_rows(lines: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """All mention rows with `kept`: at least 14 columns, an event, a time and an outlet."""
     f = lambda i: F.get(F.col("f"), F.lit(i))
-    rows = fields(lines).select(F.size("f").alias("n"), empty_to_null(f(0)).alias("event_id"), F.try_to_timestamp(f(2), F.lit(STAMP)).alias("mentioned_at"), empty_to_null(f(4)).alias("source_name"))
+    rows = fields(lines, also).select(*also, F.size("f").alias("n"), empty_to_null(f(0)).alias("event_id"), F.try_to_timestamp(f(2), F.lit(STAMP)).alias("mentioned_at"), empty_to_null(f(4)).alias("source_name"))
     good = (F.col("n") >= 14) & F.col("event_id").isNotNull() & F.col("mentioned_at").isNotNull() & F.col("source_name").isNotNull()
     return rows.withColumn("kept", good).drop("n")
 
@@ -78,11 +80,11 @@ def place_list(c: Column) -> Column:
     return F.array_distinct(F.filter(made, lambda p: p["country"].isNotNull() & p["lat"].isNotNull() & p["lon"].isNotNull()))
 
 
-def articles(lines: DataFrame) -> DataFrame:
+def articles(lines: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Articles with their themes and places; rows of less than 16 columns or without id, time, site or link are no articles."""
     f = lambda i: F.get(F.col("f"), F.lit(i))
     tone = F.get(F.split(f(15), ","), F.lit(0)).try_cast("double")
-    rows = fields(lines).filter(F.size("f") >= 16).select(empty_to_null(f(0)).alias("gkg_id"), F.try_to_timestamp(f(1), F.lit(STAMP)).alias("added_at"), empty_to_null(f(4)).alias("url"), empty_to_null(f(3)).alias("site"), tone.alias("tone"), theme_list(f(7)).alias("themes"), place_list(f(9)).alias("places"))
+    rows = fields(lines, also).filter(F.size("f") >= 16).select(*also, empty_to_null(f(0)).alias("gkg_id"), F.try_to_timestamp(f(1), F.lit(STAMP)).alias("added_at"), empty_to_null(f(4)).alias("url"), empty_to_null(f(3)).alias("site"), tone.alias("tone"), theme_list(f(7)).alias("themes"), place_list(f(9)).alias("places"))
     return rows.filter("gkg_id is not null and added_at is not null and site is not null and url is not null")
 
 

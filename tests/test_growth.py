@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from heliograph import plans, streaming
 from heliograph.operators import geo
+from heliograph.sources import files
+from heliograph.streaming import batches
 
 
 def test_pointer_state_is_by_hour_not_by_place(spark, tmp_path):
@@ -79,3 +81,21 @@ def test_links_of_cells_keep_no_pairs_of_points(spark):
     assert [tuple(r) for r in links.collect()] == [(0, 100)]
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "SortAggregate" not in plan
+
+
+def test_files_of_a_kind_are_loaded_at_once(spark, tmp_path, monkeypatch):
+    """Five files of a kind are parsed in one step, and the ledger still has a row a file, also of one that kept nothing."""
+    land, calls = tmp_path / "land", []
+    land.mkdir()
+    own = files.mention_rows
+    monkeypatch.setattr(files, "mention_rows", lambda *a: calls.append(1) or own(*a))
+    event = [""] * files.WIDTH
+    for name, value in {"external_id": "7", "geo_type": "4", "country": "X", "lat": "1", "lon": "2"}.items():
+        event[files.AT[name]] = value
+    (land / "0.export").write_text("\t".join(event) + "\n")
+    said = lambda k: "\t".join([str(k), "", "20260920120000", "1", "site", *["x"] * 9])
+    for n in range(5):
+        (land / f"{n}.mentions").write_text(f"{said(7)}\n{said(8)}\n" * n + "short\n")
+    batches.load_files(spark, str(land), str(tmp_path / "out"), str(tmp_path / "cp"), 100)
+    ledger = {r.file: (r.rows_seen, r.rows_kept) for r in batches.loaded(spark, str(tmp_path / "out"), "ledger").collect()}
+    assert ledger == {"0.export": (1, 1), **{f"{n}.mentions": (2 * n + 1, n) for n in range(5)}} and len(calls) == 1
