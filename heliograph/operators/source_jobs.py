@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.shared import new_folder
+from heliograph.shared import checkpointed, new_folder
 
 from . import facts, geo, upsert
 
@@ -67,7 +67,8 @@ def run_source(spark: SparkSession, job: SourceJob, path: str, base: DataFrame,
     if job.refers:
         new = new.withColumn("superseded_by", F.lit(None).cast("string"))
     missing = [F.lit("" if c == "country" else None).cast(base.schema[c].dataType).alias(c) for c in base.columns if c not in new.columns]
-    out = geocoded(stored(base, new.select("*", *missing).select(*base.columns), job), shapes, most_km)
+    # Placing reads the events several times, and the next run reads this one's.
+    out = geocoded(checkpointed(stored(base, new.select("*", *missing).select(*base.columns), job)), shapes, most_km)
     if job.refers:  # also to alerts of earlier runs
         later = facts.last_referrer(new).withColumnRenamed("superseded_by", "_by")
         out = out.join(later, "external_id", "left").withColumn("superseded_by", F.coalesce("_by", "superseded_by")).select(*base.columns)

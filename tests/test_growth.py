@@ -2,12 +2,14 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
 
 from heliograph import plans, streaming
 from heliograph.operators import geo
+from heliograph.plans import landed
 from heliograph.sources import files
 from heliograph.streaming import batches
 
@@ -99,3 +101,10 @@ def test_files_of_a_kind_are_loaded_at_once(spark, tmp_path, monkeypatch):
     batches.load_files(spark, str(land), str(tmp_path / "out"), str(tmp_path / "cp"), 100)
     ledger = {r.file: (r.rows_seen, r.rows_kept) for r in batches.loaded(spark, str(tmp_path / "out"), "ledger").collect()}
     assert ledger == {"0.export": (1, 1), **{f"{n}.mentions": (2 * n + 1, n) for n in range(5)}} and len(calls) == 1
+
+
+def test_landed_documents_lie_in_one_folder(spark):
+    """A file a document, but no folder a document."""
+    path = landed.land(spark.range(30).select(F.col("id").cast("string").alias("part"), F.lit("{}").alias("value")), "documents", "part")
+    left = [p.name for p in Path(path.removeprefix("file:")).iterdir() if not p.name.startswith((".", "_"))]
+    assert len(left) == 30 and all(x.startswith("part-") for x in left)
