@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import all_fields_json
 from heliograph.operators import facts, geo, registry, rollup, upsert
+from heliograph.shared import checkpointed
 
 from . import attention
 from . import standins as t
@@ -457,7 +458,7 @@ SELECT doc_id, name, count(*) AS hits FROM m GROUP BY ALL"""
 
 
 def hits_by_name(spark, d, match):
-    names = head_names(spark, d)
+    names = checkpointed(head_names(spark, d))  # the documents are read once for them
     texts = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return match(texts, names).join(names, "place_id").groupBy(F.col("id").alias("doc_id"), "name").agg(F.count("*").alias("hits"))
 

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from heliograph import plans, streaming
-from heliograph.operators import geo
+from heliograph.operators import gazetteer, geo
 from heliograph.plans import landed
 from heliograph.sources import files
 from heliograph.streaming import batches
@@ -108,3 +108,14 @@ def test_landed_documents_lie_in_one_folder(spark):
     path = landed.land(spark.range(30).select(F.col("id").cast("string").alias("part"), F.lit("{}").alias("value")), "documents", "part")
     left = [p.name for p in Path(path.removeprefix("file:")).iterdir() if not p.name.startswith((".", "_"))]
     assert len(left) == 30 and all(x.startswith("part-") for x in left)
+
+
+def test_grams_that_no_name_has_stay_in_their_task(spark):
+    """Of some 800 n-grams of a text only those reach the join whose hash some name has, and starts count signs as the automaton's do."""
+    text = " ".join(f"Word{k}" for k in range(200)) + " New York City 東京都, St. John's. D.C."
+    texts = spark.createDataFrame([(1, text), (2, "in New York City Hall"), (3, None), (None, "York")], "id long, text string")
+    rows = [("New York", 1), ("York", 2), ("York", 0), ("New York City Hall", 3), ("東京", 4), ("St. John's", 5), ("D.C.", 6), ("東京都", 7)]
+    names = spark.createDataFrame(rows, "name string, place_id long")
+    assert gazetteer.grams(texts, gazetteer.name_parts(names)).count() < 20
+    both = [sorted((r.id or 0, r.start, r.place_id) for r in match(texts, names).collect()) for match in (gazetteer.match_names, gazetteer.match_by_grams)]
+    assert both[0] == both[1] and [p for _, _, p in both[0]] == [0, 1, 7, 5, 6, 3]
