@@ -119,3 +119,11 @@ def test_grams_that_no_name_has_stay_in_their_task(spark):
     assert gazetteer.grams(texts, gazetteer.name_parts(names)).count() < 20
     both = [sorted((r.id or 0, r.start, r.place_id) for r in match(texts, names).collect()) for match in (gazetteer.match_names, gazetteer.match_by_grams)]
     assert both[0] == both[1] and [p for _, _, p in both[0]] == [0, 1, 7, 5, 6, 3]
+
+
+def test_more_names_than_workers_hold_go_by_grams(spark, monkeypatch):
+    """A quarter of a million names and one more build no automaton, whose size on each worker would follow the names."""
+    monkeypatch.setattr(gazetteer, "name_automaton", lambda rows: 1 / 0)
+    names = spark.range(250_001).select(F.concat(F.lit("N"), "id").alias("name"), F.col("id").alias("place_id"))
+    texts = spark.createDataFrame([(1, "N7 N250000 N250001"), (2, "xN7 N007")], "id long, text string")
+    assert sorted(tuple(r) for r in gazetteer.match_names(texts, names).collect()) == [(1, 7, 0), (1, 250_000, 3)]
