@@ -127,3 +127,11 @@ def test_more_names_than_workers_hold_go_by_grams(spark, monkeypatch):
     names = spark.range(250_001).select(F.concat(F.lit("N"), "id").alias("name"), F.col("id").alias("place_id"))
     texts = spark.createDataFrame([(1, "N7 N250000 N250001"), (2, "xN7 N007")], "id long, text string")
     assert sorted(tuple(r) for r in gazetteer.match_names(texts, names).collect()) == [(1, 7, 0), (1, 250_000, 3)]
+
+
+def test_messages_are_read_once_for_their_hits(spark, tmp_path):
+    """Hits carry their post's time and uri along; no second reading of all messages is joined to them."""
+    (tmp_path / "1.json").write_text("")
+    names = spark.createDataFrame([("Lviv", 7)], "name string, place_id long")
+    plan = streaming.place_hits(spark.read.text(str(tmp_path)), names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
