@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph import plans, streaming
 from heliograph.operators import gazetteer, geo
-from heliograph.plans import landed
+from heliograph.plans import landed, runs
 from heliograph.sources import files
 from heliograph.streaming import batches
 
@@ -135,3 +135,13 @@ def test_messages_are_read_once_for_their_hits(spark, tmp_path):
     names = spark.createDataFrame([("Lviv", 7)], "name string, place_id long")
     plan = streaming.place_hits(spark.read.text(str(tmp_path)), names)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_lots_are_dealt_before_messages_are_made(spark):
+    """What lands first and what later is told by keys of the tables, not by reading the messages made of them again."""
+    d = "/root/testdata/sf0.001"
+    late = landed.edit_messages(spark, d, F.col("event_id") % 10 == 0)
+    every = landed.edit_messages(spark, d)
+    assert 0 < late.count() < every.count() and late.exceptAll(every).count() == 0
+    for rows in runs.halves(spark, d):
+        assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
