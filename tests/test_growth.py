@@ -1,7 +1,8 @@
 """Steps whose work once grew faster than their input, and results that larger tables showed to be wrong."""
 
+import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from heliograph import plans, streaming
 from heliograph.operators import gazetteer, geo
 from heliograph.plans import landed, runs
-from heliograph.sources import files
+from heliograph.sources import files, snapshots
 from heliograph.streaming import batches
 
 
@@ -145,3 +146,31 @@ def test_lots_are_dealt_before_messages_are_made(spark):
     assert 0 < late.count() < every.count() and late.exceptAll(every).count() == 0
     for rows in runs.halves(spark, d):
         assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def edit_message(user: str | None, at: datetime, rev: int, bot: bool = False) -> str:
+    return json.dumps({"wiki": "enwiki", "server_name": "en.wikipedia.org", "title": "T", "namespace": 0, "type": "edit", "user": user, "bot": bot, "timestamp": int(at.replace(tzinfo=timezone.utc).timestamp()), "revision": {"new": rev}})
+
+
+def test_edit_messages_are_parsed_once(spark):
+    """Filters on a message's fields parse it no further time; null, torn and foreign messages still give no row."""
+    whole = edit_message("u", datetime(2026, 9, 20, 12), 7)
+    rows = snapshots.edit_rows(spark.createDataFrame([(whole,), (None,), ("",), (whole[:60],), (whole.replace('"namespace": 0', '"namespace": 1'),)], "value string"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    assert [(r.title, r.rev, r.bot) for r in rows.collect()] == [("T", 7, False)]
+
+
+def test_state_of_an_hour_grows_with_groups_not_with_editors(spark, tmp_path):
+    """2,000 editors of an hour in three batches, many of them again and again: a row of state a group of users, and the exact count."""
+    at, land, out, cp = datetime(2026, 9, 20, 12), *(str(tmp_path / x) for x in ("land", "out", "cp"))
+    run = lambda: streaming.run_once(streaming.hourly_editors(snapshots.edit_rows(streaming.lines(spark, land))), out, cp)
+    put = lambda rows: spark.createDataFrame([(edit_message(*r),) for r in rows], "value string").write.mode("append").text(land)
+    states = 0
+    for lot in (range(1200), range(800, 2000), range(500, 600)):
+        put([(f"u{k}", at + timedelta(minutes=k % 60), k) for k in lot] + [(f"bot{k}", at, -k, True) for k in lot[:5]] + [(None, at, -9)])
+        q = run()
+        states = max([states, *(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])])
+    put([("late", at + timedelta(days=9), 1)])
+    run()
+    got = [(r.title, r.hour, r.editors) for r in spark.read.parquet(out).collect()]
+    assert got == [("T", at, 2000)] and states <= streaming.USER_GROUPS
